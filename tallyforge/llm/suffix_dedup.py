@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, named, stored, text_slices, whole_groups
+from .common import U64, gram_hashes, list_column, named, stored, text_slices, whole_groups
 
 #: Words a passage has at least, and words of the prefix by which suffixes are first sorted.
 PASSAGE = 50
 PREFIX = 15
-#: Bits of the map of repeated prefixes (4 MB): its size is fixed, and a bit set in vain only keeps a suffix for the exact step.
-MAP_BITS = 25
+#: Bits of the map of repeated prefixes (8 MB): its size is fixed, and a bit set in vain only keeps a suffix for the exact step.
+MAP_BITS = 26
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -60,35 +60,45 @@ def _prefix_counts(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
     return docs.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
 
 
-def _windows(docs: DataFrame, again: DataFrame, hot: np.ndarray, passage: int, prefix: int) -> DataFrame:
-    """(wh, uid, start, hot): windows whose minimiser begins a repeated suffix; wh: hash of prefix and both extensions."""
+def _extended(docs: DataFrame, again: DataFrame, hot: np.ndarray, passage: int, prefix: int) -> tuple[DataFrame, DataFrame]:
+    """(key, uid, start, whs): retained suffixes whose prefix is repeated, those with a hot prefix apart.
+
+    whs has a hash of each window that has the suffix as its minimiser, from
+    start on: the prefix with so many words before it and the rest after it.
+    """
     slot = again.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("slot"))
     words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     known = np.zeros(1 << (MAP_BITS - 6), np.int64)
     known[words["word"].to_numpy()] = words["bits"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast((known, hot))
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hot = sent.value
-        for b in batches:
-            uid = b.column(0).to_numpy()
-            for lo, _, h, offsets, _, _ in text_slices(b.column(1)):
-                starts, row, places, g = window_places(h, offsets, passage, prefix)
-                slot = (g[places] >> U64(64 - MAP_BITS)).astype(np.int64)
-                keep = (known[slot >> 6] >> (slot & 63)) & 1 == 1
-                starts, row, places = starts[keep], row[keep], places[keep]
-                if len(starts):
-                    full = gram_hashes(h, passage)[starts].view(np.int64)
-                    often = np.isin(g[places].view(np.int64), hot)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(full), pa.array(uid[lo + row]), pa.array((starts - offsets[row]).astype(np.int32)), pa.array(often)], names=["wh", "uid", "start", "hot"]
-                    )
-
-    return docs.select("uid", "text").mapInArrow(extend, "wh long, uid long, start int, hot boolean")
+    def extend(of_hot: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, hot = sent.value
+            for b in batches:
+                uid = b.column(0).to_numpy()
+                for lo, _, h, offsets, _, _ in text_slices(b.column(1)):
+                    starts, row, places, g = window_places(h, offsets, passage, prefix)
+                    key = g[places]
+                    slot = (key >> U64(64 - MAP_BITS)).astype(np.int64)
+                    keep = (known[slot >> 6] >> (slot & 63)) & 1 == 1
+                    if len(hot):
+                        keep &= np.isin(key.view(np.int64), hot) == of_hot
+                    starts, row, places, key = starts[keep], row[keep], places[keep], key[keep]
+                    if not len(starts):
+                        continue
+                    new = np.flatnonzero(np.append(True, (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)))
+                    whs = pa.ListArray.from_arrays(pa.array(np.append(new, len(starts)), pa.int32()), pa.array(gram_hashes(h, passage)[starts].view(np.int64)))
+                    at = (starts - offsets[row]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(uid[lo + row[new]]), pa.array(at[new]), whs], names=["key", "uid", "start", "whs"])
+
+        return docs.select("uid", "text").mapInArrow(run, "key long, uid long, start int, whs array<long>")
+
+    return extend(False), extend(True)
 
 
 def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, hot_rows: int = 10_000) -> DataFrame:
-    """(uid, start, first, kept): windows of `passage` words that stand at two or more places of docs (uid, text).
+    """(uid, start, n, first, kept): n windows of `passage` words, the first at start, that stand at two or more places of docs (uid, text).
 
     Suffixes are retained at minimiser positions only, and first sorted by
     their prefix; one whose prefix is met nowhere else goes. The others are
@@ -97,50 +107,63 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
     suffixes are sorted by all they hold and neighbours are compared, so every
     alignment is tried and no choice of a partner hides a repeat. Suffixes of a
     prefix that is met very often are compared with their least place, found by
-    partial aggregation, instead of in one task's order. first is the uid of
-    the least place (uid, start); kept marks that place itself.
+    partial aggregation, instead of in one task's order. first is the least uid
+    that holds one of the windows; kept tells whether the windows stand here at
+    their least place (uid, start).
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = stored(_prefix_counts(docs, passage, prefix), "prefixes")
     total = again.agg(F.sum("c")).first()[0] or 0
     limit = max(hot_rows, total // (2 * parts))  # so there are at most 2 * parts hot prefixes
     hot = np.sort(again.where(F.col("c") > limit).select("key").toArrow()["key"].to_numpy())
-    w = _windows(docs, again, hot, passage, prefix)
-    if len(hot):
-        w = stored(w, "windows")
+    plain, often = _extended(docs, again, hot, passage, prefix)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["wh"]):
-            wh, uid, start = (np.asarray(t[c]) for c in ("wh", "uid", "start"))
-            own = np.append(True, (wh[1:] != wh[:-1]) | (uid[1:] != uid[:-1]) | (start[1:] != start[:-1]))  # a row that is there twice is one place
-            wh, uid, start = wh[own], uid[own], start[own]
-            new = np.append(True, wh[1:] != wh[:-1])
-            twice = ~new | np.append(~new[1:], False)
-            first = np.maximum.accumulate(np.where(new, np.arange(len(wh)), 0))
-            yield pa.RecordBatch.from_arrays([pa.array(uid[twice]), pa.array(start[twice]), pa.array(uid[first][twice]), pa.array(new[twice])], names=["uid", "start", "first", "kept"])
-
-    plain = w.where("not hot") if len(hot) else w
-    plain = plain.select("wh", "uid", "start").repartition("wh").sortWithinPartitions("wh", "uid", "start")
-    found = plain.mapInArrow(neighbours, "uid long, start int, first long, kept boolean")
+        for t in whole_groups(batches, ["key"]):
+            wh, offsets = list_column(t["whs"])
+            size = np.diff(offsets)
+            own = np.repeat(np.arange(t.num_rows), size)
+            uid = np.asarray(t["uid"])[own]
+            start = np.asarray(t["start"]).astype(np.int64)[own] + np.arange(len(wh)) - offsets[:-1][own]
+            order = np.lexsort((start, uid, wh))
+            w, u, s = wh[order], uid[order], start[order]
+            new = np.append(True, w[1:] != w[:-1])
+            other = np.append(False, (u[1:] != u[:-1]) | (s[1:] != s[:-1])) & ~new  # a row that is there twice is one place
+            head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+            many = np.bincount(head, other, len(w))[head] > 0
+            twice, first, kept = np.zeros(len(w), bool), np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+            twice[order], first[order], kept[order] = many, u[head], (u == u[head]) & (s == s[head])
+            # Back in the suffixes' own order, neighbouring windows of one kind are one run.
+            cut = np.append(True, (own[1:] != own[:-1]) | (kept[1:] != kept[:-1]) | (twice[1:] != twice[:-1]))
+            runs = np.flatnonzero(cut)
+            n = np.diff(np.append(runs, len(wh)))
+            least = np.minimum.reduceat(first, runs)
+            hit = twice[runs]
+            columns = [uid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "start", "n", "first", "kept"])
+
+    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, "uid long, start int, n int, first long, kept boolean")
     if len(hot):
-        often = w.where("hot").select("wh", "uid", "start")
+        often = stored(often.select("uid", "start", F.posexplode("whs").alias("i", "wh")).select("wh", "uid", (F.col("start") + F.col("i")).alias("start")), "often")
         least = often.groupBy("wh").agg(F.min(F.struct("uid", "start")).alias("l"), F.max(F.struct("uid", "start")).alias("m")).where("l <> m")
         often = often.join(least.select("wh", "l"), "wh").distinct()
-        found = found.union(often.select("uid", "start", F.col("l.uid").alias("first"), (F.struct("uid", "start") == F.col("l")).alias("kept")))
+        found = found.union(often.select("uid", "start", F.lit(1), F.col("l.uid").alias("first"), (F.struct("uid", "start") == F.col("l")).alias("kept")))
     return found
 
 
 SPANS = "uid long, cut array<struct<start:int,n:int,first:long>>, kept array<struct<start:int,n:int,first:long>>"
 
 
-def _spans(start: np.ndarray, first: np.ndarray, passage: int) -> list[dict]:
-    """Maximal runs of words under the windows that begin at start, with the least first place."""
+def _spans(start: np.ndarray, n: np.ndarray, first: np.ndarray, passage: int) -> list[dict]:
+    """Maximal runs of words under the windows, with the least first place."""
+    if not len(start):
+        return []
     order = np.argsort(start, kind="stable")
     start, first = start[order], first[order]
-    new = np.flatnonzero(np.append(True, start[1:] > start[:-1] + passage)) if len(start) else np.zeros(0, int)
-    least = np.minimum.reduceat(first, new) if len(start) else first
-    last = start[np.append(new[1:], len(start)) - 1] if len(start) else start
-    return [{"start": int(a), "n": int(b) - int(a) + passage, "first": int(f)} for a, b, f in zip(start[new], last, least, strict=True)]
+    end = np.maximum.accumulate(start + n[order] - 1 + passage)
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    least = np.minimum.reduceat(first, new)
+    return [{"start": int(a), "n": int(b - a), "first": int(f)} for a, b, f in zip(start[new], end[np.append(new[1:], len(start)) - 1], least, strict=True)]
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -155,17 +178,18 @@ def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """
     d = docs.select(named().alias("uid"), "text")
     found = repeated_windows(d, passage)
-    per = found.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("first").alias("first"), F.collect_list("kept").alias("kept"))
+    names = ["start", "n", "first", "kept"]
+    per = found.groupBy("uid").agg(F.collect_list(F.struct(*names)).alias("s")).select("uid", *[F.col("s")[c].alias(c) for c in names])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
         for b in batches:
             cut, kept = [], []
             for i in range(b.num_rows):
-                s, f, k = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (1, 2, 3))
+                s, n, f, k = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (1, 2, 3, 4))
                 k = k.astype(bool)
-                cut.append(_spans(s[~k], f[~k], passage))
-                kept.append(_spans(s[k], f[k], passage))
+                cut.append(_spans(s[~k], n[~k], f[~k], passage))
+                kept.append(_spans(s[k], n[k], f[k], passage))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, types), pa.array(kept, types)], names=["uid", "cut", "kept"])
 
     return per.mapInArrow(spans, SPANS)
