@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 ORDER = 5
 BITS = 12
 #: Characters handled at once inside a task.
-SLICE = 1_000_000
+SLICE = 1 << 18
 #: Entries of a scoring table (12 bytes each) up to which tasks get all of it; beyond, chunks join it in shards.
 TABLE_ROWS = 6_000_000
 #: Text in one chunk of the sharded way.
@@ -103,16 +103,16 @@ def count_keys(docs: DataFrame, classes: dict[str, Column], text_col: str = "tex
                     d[f"c_{n}"] = np.bincount(code[f[own]], minlength=len(uniques))
                 found.append(pd.DataFrame(d))
                 held += len(uniques)
-                if held > 1_500_000:
+                if held > 300_000:
                     found = [_merged(found)]
                     held = len(found[0])
-                    if held > 1_000_000:
+                    if held > 200_000:
                         yield out(found[0])
                         found, held = [], 0
         if found:
             yield out(_merged(found))
 
-    rows = docs.select(F.col(text_col).alias("text"), *[c.alias(n) for n, c in classes.items()]).mapInArrow(count, schema)
+    rows = docs.select(F.col(text_col).alias("text"), *[c.alias(n) for n, c in classes.items()]).mapInArrow(tidy(count), schema)
     return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ["c_all", *[f"c_{n}" for n in names]]])
 
 
@@ -226,7 +226,7 @@ def score_documents(docs: DataFrame, table: DataFrame, scorer: Scorer, names: li
             for b in batches:
                 yield result(b.columns[:-1], b.column(b.num_columns - 1).to_pylist(), lookup)
 
-        return rows.mapInArrow(score, schema)
+        return rows.mapInArrow(tidy(score), schema)
 
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     chunks = 1 + size // CHUNK_BYTES
@@ -239,7 +239,7 @@ def score_documents(docs: DataFrame, table: DataFrame, scorer: Scorer, names: li
                 both = pd.DataFrame({"chunk": chunk[own], "key": keys}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(both, preserve_index=False)
 
-    asked = rows.select("chunk", "_text").mapInArrow(keys_of, "chunk long, key long").distinct()
+    asked = rows.select("chunk", "_text").mapInArrow(tidy(keys_of), "chunk long, key long").distinct()
     values = asked.join(table, "key").select("chunk", "key", F.col("value").cast("float").alias("value"))
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def tidy(task: Callable) -> Callable:
+    """A task over batches that gives freed memory back to the system at its end, as workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+#: Rows in one Arrow batch between the JVM and Python while stored() runs: whole texts are large rows.
+BATCH_ROWS = 500
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -131,7 +156,7 @@ def group_bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)

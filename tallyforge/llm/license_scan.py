@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, gram_hashes, mix, text_slices
+from .common import U64, gram_hashes, mix, text_slices, tidy
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -143,4 +143,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
 
     fields = [("license", T.StringType()), ("containment", T.DoubleType()), ("n_windows", T.LongType()), ("first_word", T.LongType())]
     schema = docs.select("doc_id").schema.add("licenses", T.ArrayType(T.StructType([T.StructField(*f) for f in fields])))
-    return docs.select("doc_id", "text").mapInArrow(find, schema).withColumn("licensed", F.size("licenses") > 0)
+    return docs.select("doc_id", "text").mapInArrow(tidy(find), schema).withColumn("licensed", F.size("licenses") > 0)

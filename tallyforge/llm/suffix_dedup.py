@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, list_column, named, stored, text_slices, whole_groups
+from .common import U64, gram_hashes, list_column, named, small_side, stored, text_slices, tidy, whole_groups
 
 #: Words a passage has at least, and words of the prefix by which suffixes are first sorted.
 PASSAGE = 50
@@ -57,7 +57,7 @@ def _prefix_counts(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
                     once = places[np.append(True, places[1:] != places[:-1])]
                     yield pa.RecordBatch.from_arrays([pa.array(g[once].view(np.int64))], names=["key"])
 
-    return docs.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    return docs.select("text").mapInArrow(tidy(keys), "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
 
 
 def _extended(docs: DataFrame, again: DataFrame, hot: np.ndarray, passage: int, prefix: int) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +92,7 @@ def _extended(docs: DataFrame, again: DataFrame, hot: np.ndarray, passage: int,
                     at = (starts - offsets[row]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(uid[lo + row[new]]), pa.array(at[new]), whs], names=["key", "uid", "start", "whs"])
 
-        return docs.select("uid", "text").mapInArrow(run, "key long, uid long, start int, whs array<long>")
+        return docs.select("uid", "text").mapInArrow(tidy(run), "key long, uid long, start int, whs array<long>")
 
     return extend(False), extend(True)
 
@@ -142,11 +142,11 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
             columns = [uid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "start", "n", "first", "kept"])
 
-    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, "uid long, start int, n int, first long, kept boolean")
+    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), "uid long, start int, n int, first long, kept boolean")
     if len(hot):
         often = stored(often.select("uid", "start", F.posexplode("whs").alias("i", "wh")).select("wh", "uid", (F.col("start") + F.col("i")).alias("start")), "often")
         least = often.groupBy("wh").agg(F.min(F.struct("uid", "start")).alias("l"), F.max(F.struct("uid", "start")).alias("m")).where("l <> m")
-        often = often.join(least.select("wh", "l"), "wh").distinct()
+        often = often.join(small_side(stored(least.select("wh", "l"), "least")), "wh")
         found = found.union(often.select("uid", "start", F.lit(1), F.col("l.uid").alias("first"), (F.struct("uid", "start") == F.col("l")).alias("kept")))
     return found
 
@@ -192,7 +192,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 kept.append(_spans(s[k], n[k], f[k], passage))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, types), pa.array(kept, types)], names=["uid", "cut", "kept"])
 
-    return per.mapInArrow(spans, SPANS)
+    return per.mapInArrow(tidy(spans), SPANS)
 
 
 def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -229,5 +229,5 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             out = pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
             yield out.filter(pa.array(keep))
 
-    out = d.mapInArrow(cut, schema)
+    out = d.mapInArrow(tidy(cut), schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

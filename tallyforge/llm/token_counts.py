@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Folder of public vocabulary files, and the file used; parameters everywhere.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -62,7 +64,7 @@ def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str
             n = pa.array([encoded_length(x.as_py(), enc) for x in b.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], names=[*keep, "n_tokens"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(count, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(tidy(count), schema)
 
 
 def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
