@@ -48,5 +48,5 @@ def classify(docs: DataFrame, trusted: DataFrame, table_rows: int = TABLE_ROWS)
     per = per.where(F.col("n") >= LEAST_TRUSTED).select(F.col("lang").alias("_l"), "cut")
     s = s.join(F.broadcast(overall)).join(per, F.col("lang").eqNullSafe(F.col("_l")), "left")  # overall: one row
     limit = F.coalesce("cut", "all") * ROOM
-    kept = F.coalesce(F.col("bits") <= limit, F.lit(True))
+    kept = (F.col("chars") == 0) | F.coalesce(F.col("bits") <= limit, F.lit(True))
     return s.select("doc_id", "lang", F.col("chars").cast("long").alias("n_chars"), F.pow(2.0, "bits").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("limit"), "trusted", kept.alias("kept"))
