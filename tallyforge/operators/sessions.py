@@ -10,7 +10,8 @@ def active_time(events: DataFrame, session: str = "session", ts: str = "ts", ord
     """(session, active_s, wall_s): gaps to the next event, each at most idle seconds, and first to last."""
     w = Window.partitionBy(session).orderBy(ts, order)
     t = F.unix_seconds(F.col(ts).cast("timestamp"))
-    d = events.withColumn("_gap", F.least(F.unix_seconds(F.lead(ts).over(w).cast("timestamp")) - t, F.lit(idle)))
+    gap = F.unix_seconds(F.lead(ts).over(w).cast("timestamp")) - t
+    d = events.withColumn("_gap", F.when(gap.isNotNull(), F.least(gap, F.lit(idle))))
     return d.groupBy(session).agg(F.coalesce(F.sum("_gap"), F.lit(0)).alias("active_s"), (F.max(t) - F.min(t)).alias("wall_s"))
 
 
