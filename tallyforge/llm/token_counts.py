@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import stored, tidy
 
 #: Folder of public vocabulary files, and the file used; parameters everywhere.
 TOKENIZERS = "/opt/tokenizers"
@@ -79,8 +79,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     truncated_tokens (sum of min(length, L) over all documents), whole_docs
     (those that fit), share_at_most (their share, so quantiles read off it).
     Sums run in two levels, blocks of BLOCK lengths and inside blocks, so no
-    task gets all lengths. An empty histogram gives no rows.
+    task gets all lengths. The histogram is written once, as three branches read
+    it and each would encode all texts again. An empty histogram gives no rows.
     """
+    hist = stored(hist, "histogram")
     h = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("t"), F.floor(F.col("n_tokens") / BLOCK).alias("b"))
     blocks = h.groupBy("b").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))
     # One row for each BLOCK lengths: this window sees 1/BLOCK of the longest length.
