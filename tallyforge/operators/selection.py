@@ -1,4 +1,4 @@
-"""Choosing rows: promotion, price audits, latest and first rows, lots, status folds, validation, replays of change logs."""
+"""Choosing rows: age, price audits, latest and first rows, lots, status folds, validation, replays of change logs."""
 
 from __future__ import annotations
 
@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import Money
 
 
-def promotion_plan(live: DataFrame, promoted: DataFrame, demand: DataFrame, n: int, key: str = "sku") -> DataFrame:
-    """The n rows of the highest price times demand among live ones that are not promoted and have a demand."""
-    d = live.join(promoted.select(key), key, "left_anti").join(demand, key)
-    return d.withColumn("score", (F.col("price") * F.col("demand")).cast(Money)).where("score is not null").orderBy(F.desc("score"), key).limit(n)
-
-
 def split_by_age(df: DataFrame, start: Column, price: Column, today: str, days: int, least: float) -> DataFrame:
     """df with age: 'seasoned' from `days` on at a price of `least` or more, else 'young'; no date is young."""
     old = (F.datediff(F.to_date(F.lit(today)), start) >= days) & (price >= least)
@@ -64,7 +58,7 @@ def latest_per_key(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def dedupe_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+def first_per_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row by order of each key; the result has the columns of df."""
     return df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
 

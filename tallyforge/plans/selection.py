@@ -12,15 +12,6 @@ from .views import bind, table, with_views
 TODAY = "2001-12-01"
 
 
-def _demand(spark, d):
-    return bind(spark, d, "lines").groupBy(F.col("part").alias("sku")).agg(F.count("*").alias("demand"))
-
-
-def k1(spark, d):
-    live = bind(spark, d, "local").where("status = 'PUBLISHED'")
-    return K.promotion_plan(live, live.where("price >= 990"), _demand(spark, d), 50).select("sku", "score")
-
-
 def k2(spark, d):
     o = table(spark, d, "orders").withColumn("price", F.col("o_totalprice").cast(Money))
     return K.split_by_age(o, F.to_date("o_orderdate"), F.col("price"), TODAY, 1500, 50_000).groupBy("age").agg(F.count("*").alias("n"), F.sum("price").cast(Money).alias("ask"))
@@ -65,7 +56,7 @@ def k10(spark, d):
 
 def u5(spark, d):
     n = bind(spark, d, "remote").select("sku", "title", "listing_id")
-    return K.dedupe_first(n, F.coalesce(F.nullif("title", F.lit("")), F.col("listing_id").cast("string")), ["sku"])
+    return K.first_per_key(n, F.coalesce(F.nullif("title", F.lit("")), F.col("listing_id").cast("string")), ["sku"])
 
 
 def w11(spark, d):
@@ -120,7 +111,7 @@ def s12(spark, d):
     return table(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-QUERIES = {"k1_promotion_plan": k1, "k2_split_by_age": k2, "k3_top_sellers": k3, "k4_best_per_listing": k4, "k5_queue_order": k5, "k6_price_audit": k6, "k7_floor_verdict": k7, "k8_best_answer": k8, "k10_latest_per_key": k10, "u5_dedupe_first": u5, "w11_lot_plan": w11, "w13_lineup": w13, "w15_advance_status": w15, "p5_rule_reasons": p5, "p9_validate_rows": p9, "j18_terms_survey": j18, "j19_live_vs_local": j19, "h2_replay": h2, "s12_html_text": s12}
+QUERIES = {"k2_split_by_age": k2, "k3_top_sellers": k3, "k4_best_per_listing": k4, "k5_queue_order": k5, "k6_price_audit": k6, "k7_floor_verdict": k7, "k8_best_answer": k8, "k10_latest_per_key": k10, "u5_dedupe_first": u5, "w11_lot_plan": w11, "w13_lineup": w13, "w15_advance_status": w15, "p5_rule_reasons": p5, "p9_validate_rows": p9, "j18_terms_survey": j18, "j19_live_vs_local": j19, "h2_replay": h2, "s12_html_text": s12}
 
 _TAGS = r"html"
 for _p, _r in [("(?is)<!--.*?-->", " "), ("(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>", " "), ("(?is)<(br|/p|/div|/li|/tr|/h[1-6])[^>]*>", "\n"), ("(?s)<[^>]*>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"), (r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n")]:
@@ -129,7 +120,6 @@ for _p, _r in [("(?is)<!--.*?-->", " "), ("(?is)<(script|style)[^>]*>.*?</(scrip
 ORACLE = {
     k: with_views(v)
     for k, v in {
-        "k1_promotion_plan": "WITH q AS (SELECT part AS sku, count(*) AS demand FROM {lines} GROUP BY 1) SELECT l.sku, CAST(price * demand AS DECIMAL(18,2)) AS score FROM {local} l JOIN q ON q.sku = l.sku WHERE status = 'PUBLISHED' AND price < 990 ORDER BY score DESC, l.sku LIMIT 50",
         "k2_split_by_age": "SELECT CASE WHEN DATE '2001-12-01' - CAST(o_orderdate AS DATE) >= 1500 AND CAST(o_totalprice AS DECIMAL(18,2)) >= 50000 THEN 'seasoned' ELSE 'young' END AS age, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS ask FROM orders GROUP BY 1",
         "k3_top_sellers": "SELECT seller, count(*) AS listed, count(DISTINCT item_id) AS items FROM {comps} GROUP BY 1 ORDER BY listed DESC, seller LIMIT 5",
         "k4_best_per_listing": "WITH r AS (SELECT session, event_id, value, row_number() OVER (PARTITION BY session ORDER BY value DESC, event_id DESC) AS r FROM {calls}) SELECT session AS listing, event_id AS image FROM r WHERE r = 1 ORDER BY value DESC, session LIMIT 20",
