@@ -183,8 +183,11 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, "right")))
             lo, hi = int(starts[i]), int(ends[j - 1])
-            if hi - lo > SLICE_BYTES:  # one huge word
-                out[i] = np.uint64(abs(hash_words(data[lo : lo + SLICE_BYTES], np.array([0]), np.array([SLICE_BYTES]))[0]) ^ U64(hi - lo))
+            if hi - lo > SLICE_BYTES:  # one huge word: the hashes of all its pieces, and its length
+                at, h = np.arange(lo, hi, SLICE_BYTES), U64(hi - lo)
+                for piece in hash_words(data, at, np.minimum(at + SLICE_BYTES, hi)):
+                    h = h * ROLL + piece
+                out[i] = mix(h)
             else:
                 s = np.zeros(hi - lo + 1, U64)
                 np.cumsum((data[lo:hi].astype(U64) + U64(1)) * power[: hi - lo], out=s[1:])

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import charlm, decontaminate, jaccard_join, license_scan, packing, perplexity, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from tallyforge.llm import charlm, common, decontaminate, jaccard_join, license_scan, packing, perplexity, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from tallyforge.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, term string, uid string, wh int"
@@ -49,6 +49,18 @@ def test_near_duplicates_match_brute_force(spark, texts):
     assert {i: (got[i].n_links, got[i].class_id) for i in got} == {i: (links[i], root[i]) for i in range(len(texts))}
 
 
+def test_huge_words_are_hashed_whole(spark):
+    n = common.SLICE_BYTES
+    a = "a" * 2 * n
+    words = [a, a[:-1] + "b", a[:n] + "b" + a[n + 1 :], "b" + a[1:], a + "a", a]
+    data = np.frombuffer(("x " + " ".join(words)).encode(), np.uint8)
+    starts = 2 + np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
+    h = common.hash_words(data, starts, starts + [len(w) for w in words])
+    assert len(set(h.tolist())) == 5 and h[0] == h[5]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(make(spark, [a, a[:-1] + "b", a])).collect()}
+    assert got == {0: (0, 1), 1: (1, 0), 2: (0, 1)}
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
     base = [f"b{i}" for i in range(100)]
