@@ -33,10 +33,18 @@ def j6(spark, d):
     return M.nearest_bucket(pages, buckets, "path")
 
 
-def j8(spark, d):
+def _j8(spark, d, log):
     listings = table(spark, d, "part").select(F.col("p_partkey").alias("sku"), F.when(F.col("p_size") % 7 != 0, F.date_add(F.lit("1997-01-01").cast("date"), F.col("p_size") * 20)).alias("start"))
-    log = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"))
-    return M.last_change(listings, log, "sku", "start")
+    return M.last_change(listings, log.select(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date")), "sku", "start")
+
+
+def j8(spark, d):
+    return _j8(spark, d, table(spark, d, "lineitem").where("l_linenumber = 1"))
+
+
+def j8_all(spark, d):
+    """As j8_last_change, over every line."""
+    return _j8(spark, d, table(spark, d, "lineitem"))
 
 
 def j9(spark, d):
@@ -45,11 +53,20 @@ def j9(spark, d):
     return M.active_hold(p, holds, "sku", F.lit("2001-12-01").cast("date"))
 
 
-def j10(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 20 minutes")).alias("close"))
+def _j10(events):
+    e = events.select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 20 minutes")).alias("close"))
     return M.overlaps(e, "user_id")
 
 
+def j10(spark, d):
+    return _j10(table(spark, d, "events").where("event_id % 5 = 0"))
+
+
+def j10_all(spark, d):
+    """As j10_overlaps, over every event."""
+    return _j10(table(spark, d, "events"))
+
+
 def s10(spark, d):
     n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent"), F.col("n_name").alias("name"))
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent"), F.col("r_name").alias("name"))
@@ -86,7 +103,7 @@ def k9(spark, d):
     return M.select_oldest(o, [(F.col("o_orderstatus") == "F", "finished"), (F.col("o_totalprice") < 1000, "small")], "day", "o_orderkey", 100)[1]
 
 
-QUERIES = {"j1_lookup": j1, "j2_match_ladder": j2, "j5_reconcile": j5, "j6_nearest_bucket": j6, "j8_last_change": j8, "j9_active_hold": j9, "j10_overlaps": j10, "s10_category_tree": s10, "u1_table_diff": u1, "u2_merge_prefer": u2, "w4_upsert": w4, "w5_append_new": w5, "k1_promotion_plan": k1, "k9_select_oldest": k9}
+QUERIES = {"j1_lookup": j1, "j2_match_ladder": j2, "j5_reconcile": j5, "j6_nearest_bucket": j6, "j8_last_change": j8, "j8_last_change_all": j8_all, "j9_active_hold": j9, "j10_overlaps": j10, "j10_overlaps_all": j10_all, "s10_category_tree": s10, "u1_table_diff": u1, "u2_merge_prefer": u2, "w4_upsert": w4, "w5_append_new": w5, "k1_promotion_plan": k1, "k9_select_oldest": k9}
 
 ORACLE = {
     k: with_views(v)
@@ -103,8 +120,11 @@ ORACLE = {
           m AS (SELECT page_id, bucket, row_number() OVER (PARTITION BY page_id ORDER BY length(bucket) DESC) AS r FROM p JOIN b ON p.path = b.bucket OR starts_with(p.path, b.bucket || '/')) SELECT p.page_id, path, bucket FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1""",
         "j8_last_change": """WITH l AS (SELECT p_partkey AS sku, CASE WHEN p_size % 7 <> 0 THEN DATE '1997-01-01' + p_size * 20 END AS start FROM part), g AS (SELECT l_partkey AS sku, max(CAST(l_shipdate AS DATE)) AS logged FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
           SELECT l.sku, start, greatest(logged, start) AS last, CASE WHEN logged IS NULL AND start IS NULL THEN NULL WHEN start IS NULL OR logged >= start THEN 'log' ELSE 'start' END AS source FROM l LEFT JOIN g ON l.sku = g.sku""",
+        "j8_last_change_all": """WITH l AS (SELECT p_partkey AS sku, CASE WHEN p_size % 7 <> 0 THEN DATE '1997-01-01' + p_size * 20 END AS start FROM part), g AS (SELECT l_partkey AS sku, max(CAST(l_shipdate AS DATE)) AS logged FROM lineitem GROUP BY 1)
+          SELECT l.sku, start, greatest(logged, start) AS last, CASE WHEN logged IS NULL AND start IS NULL THEN NULL WHEN start IS NULL OR logged >= start THEN 'log' ELSE 'start' END AS source FROM l LEFT JOIN g ON l.sku = g.sku""",
         "j9_active_hold": "SELECT p_partkey AS sku, p_size, CASE WHEN p_size % 2 = 0 AND (p_size % 4 <> 0 OR DATE '2001-11-01' + p_size >= DATE '2001-12-01') THEN 'hold ' || p_size END AS reason FROM part",
         "j10_overlaps": "WITH e AS (SELECT event_id AS id, user_id, ts AS s, ts + INTERVAL 20 MINUTE AS c FROM events WHERE event_id % 5 = 0) SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND a.user_id <> b.user_id AND a.s < b.c AND b.s < a.c",
+        "j10_overlaps_all": "WITH e AS (SELECT event_id AS id, user_id, ts AS s, ts + INTERVAL 20 MINUTE AS c FROM events) SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND a.user_id <> b.user_id AND a.s < b.c AND b.s < a.c",
         "s10_category_tree": "SELECT r_regionkey AS id, r_name AS path FROM region UNION ALL SELECT n_nationkey + 100, r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey",
         "u1_table_diff": "SELECT *, 'add' AS event FROM (SELECT sku, status, price FROM {remote} EXCEPT ALL SELECT sku, status, price FROM {local}) UNION ALL SELECT *, 'remove' FROM (SELECT sku, status, price FROM {local} EXCEPT ALL SELECT sku, status, price FROM {remote})",
         "u2_merge_prefer": "SELECT coalesce(a.sku, b.sku) AS sku, coalesce(a.status, b.status) AS status, coalesce(a.price, b.price) AS price, coalesce(a.listing_id, b.listing_id) AS listing_id, CASE WHEN a.sku IS NULL THEN 'second' WHEN b.sku IS NULL THEN 'first' ELSE 'both' END AS src FROM {local} a FULL JOIN {remote} b ON a.sku = b.sku",

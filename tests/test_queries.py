@@ -1,8 +1,11 @@
 """Every query with SQL against DuckDB on the small tables, and hand cases of the scalar rules."""
 
+import datetime
 import decimal
+import itertools
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -74,3 +77,20 @@ def test_chain(spark):
 def test_sql_names(spark):
     register_all(spark)
     assert spark.sql("SELECT title_key('A--b!') AS k, charm_ending(9.99D) AS e").first() == ("a b", ".99")
+
+
+def test_overlaps_and_last_changes_take_all_rows(spark, tmp_path):
+    r = random.Random(4)
+    day = datetime.datetime(2001, 1, 1)
+    events = [(i, r.randint(1, 5), day + datetime.timedelta(seconds=r.randint(0, 6 * 3600))) for i in range(60)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    near = datetime.timedelta(minutes=20)
+    want = {(a[0], b[0]) for a, b in itertools.combinations(events, 2) if a[1] != b[1] and abs(a[2] - b[2]) < near}
+    got = [tuple(x) for x in plans.QUERIES["j10_overlaps_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(a % 5 or b % 5 for a, b in want)
+
+    spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 1)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 1, day), (1, 3, day + datetime.timedelta(days=9)), (2, 2, day), (4, 5, day)]
+    spark.createDataFrame(lines, "l_partkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {x.sku: (str(x["last"]), x.source) for x in plans.QUERIES["j8_last_change_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("2001-01-10", "log"), 2: ("2001-01-01", "log"), 3: ("None", None), 4: ("2001-01-01", "log")}
