@@ -105,12 +105,16 @@ def select_oldest(df: DataFrame, rules: list[tuple[Column, str]], date: str, key
 
 
 def flatten_tree(nodes: DataFrame, levels: int = 32) -> DataFrame:
-    """(id, path 'A > B > C') of nodes (id, parent, name): one equality join for each level; the loop ends at the deepest."""
+    """(id, path 'A > B > C') of nodes (id, parent, name): one equality join for each level; the loop ends at the deepest,
+    and a tree with more than `levels` levels below its roots raises ValueError."""
     done = nodes.where("parent is null").select("id", F.col("name").alias("path"))
     out, level = done, done
     for _ in range(levels):
         level = nodes.join(level.select(F.col("id").alias("parent"), "path"), "parent").select("id", F.concat_ws(" > ", "path", "name").alias("path"))
         if level.isEmpty():
-            break
+            return out
         out = out.union(level)
+    below = nodes.join(level.select(F.col("id").alias("parent")), "parent")
+    if not below.isEmpty():
+        raise ValueError(f"the tree has nodes deeper than {levels} levels")
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyforge import plans
 from tallyforge.functions import scalars as S
 from tallyforge.functions.sql import register_all
-from tallyforge.operators import money, sessions
+from tallyforge.operators import matching, money, sessions
 
 DATA = "/root/testdata/sf0.001"
 
@@ -106,3 +106,10 @@ def test_nearest_answers_any_number_of_queries(spark):
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
     want = [(q, i, n) for q in range(0, 150, 3) for n, i in enumerate(sorted(set(v) - {q}, key=lambda i: (-dot(q, i), i))[:5], 1)]  # noqa: B023
     assert got[7] == got[10_000] == sorted(want)
+
+
+def test_deep_trees_are_not_cut(spark):
+    nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d")], "id int, parent int, name string")
+    assert {r.id: r.path for r in matching.flatten_tree(nodes, 3).collect()} == {1: "a", 2: "a > b", 3: "a > b > c", 4: "a > b > c > d"}
+    with pytest.raises(ValueError, match="deeper than 2"):
+        matching.flatten_tree(nodes, 2)
