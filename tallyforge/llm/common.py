@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Rows up to which a narrow side (an id and a flag or two, under 32 bytes a row) is broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -53,9 +54,16 @@ def tidy(task: Callable) -> Callable:
 #: Rows in one Arrow batch between the JVM and Python while stored() runs: whole texts are large rows.
 BATCH_ROWS = 500
 
+#: Folders written by stored() since each scratch() that is open, the innermost last.
+_open: list[list[str]] = []
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
+
+    Results that are not stored run with Spark's own limit on the bytes of a batch instead of BATCH_ROWS.
+    lasting: the folder outlives scratch().
+    """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(key)
@@ -64,9 +72,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
+    if _open and not lasting:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that stored() writes inside are removed at the end: for steps whose result is stored after they ended."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `rows` rows, else df for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -78,9 +100,31 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
-def named() -> Column:
-    """doc_id, or where it is null a negative number made from the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % (1 << 62)) - 1)
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).isNull(), F.col(text))
+
+
+def row_number_of(df: DataFrame, tid: Column, id_col: str = "doc_id") -> Column:
+    """A long for the row's id: the id itself where ids are whole numbers, else its hash; for null a negative number made from the text.
+
+    Together with text_hash() it names a row: rows that agree in both have one id and one text.
+    """
+    c = F.col(id_col)
+    own = c.cast("long") if isinstance(df.schema[id_col].dataType, IntegralType) else F.when(c.isNotNull(), F.xxhash64(c.cast("string")))
+    return F.coalesce(own, -F.abs(tid % (1 << 62)) - 1)
+
+
+def named(docs: DataFrame, *more: str) -> DataFrame:
+    """(uid, tid, text and the columns `more`) of docs: the two longs that name a row."""
+    return docs.select(row_number_of(docs, text_hash()).alias("uid"), text_hash().alias("tid"), "text", *more)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

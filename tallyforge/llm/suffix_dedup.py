@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, list_column, named, small_side, stored, text_slices, tidy, whole_groups
+from .common import U64, free_name, gram_hashes, list_column, mix, named, row_number_of, small_side, stored, text_hash, text_slices, tidy, whole_groups
 
 #: Words a passage has at least, and words of the prefix by which suffixes are first sorted.
 PASSAGE = 50
 PREFIX = 15
-#: Bits of the map of repeated prefixes (8 MB): its size is fixed, and a bit set in vain only keeps a suffix for the exact step.
+#: Repeated prefixes up to which tasks get a map of them (2 ** MAP_BITS bits, 8 MB: a bit set in vain only keeps a
+#: suffix for the exact step). More of them are joined with the suffixes instead.
+MAP_ROWS = 4_000_000
 MAP_BITS = 26
+#: Suffixes of one prefix up to which one task compares them; those of a more frequent one are compared by partial aggregation.
+HOT_ROWS = 1000
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -60,98 +64,118 @@ def _prefix_counts(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(keys), "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
 
 
-def _extended(docs: DataFrame, again: DataFrame, hot: np.ndarray, passage: int, prefix: int) -> tuple[DataFrame, DataFrame]:
-    """(key, uid, start, whs): retained suffixes whose prefix is repeated, those with a hot prefix apart.
+SUFFIX = "key long, uid long, tid long, start int, whs array<long>, vhs array<long>"
 
-    whs has a hash of each window that has the suffix as its minimiser, from
-    start on: the prefix with so many words before it and the rest after it.
+
+def _suffixes(docs: DataFrame, passage: int, prefix: int, keep=None) -> DataFrame:
+    """SUFFIX rows: retained suffixes of docs (uid, tid, text), extended to the windows they stand for.
+
+    whs and vhs have two independent hashes of each window that has the suffix
+    as its minimiser, from start on: the prefix with so many words before it and
+    the rest after it. keep: prefix hashes -> those that are wanted.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, h, offsets, _, _ in text_slices(b.column(2)):
+                starts, row, places, g = window_places(h, offsets, passage, prefix)
+                key = g[places]
+                if keep is not None:
+                    wanted = keep(key)
+                    starts, row, places, key = starts[wanted], row[wanted], places[wanted], key[wanted]
+                if not len(starts):
+                    continue
+                new = np.flatnonzero(np.append(True, (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)))
+                ends = pa.array(np.append(new, len(starts)), pa.int32())
+                with np.errstate(over="ignore"):
+                    both = [pa.ListArray.from_arrays(ends, pa.array(gram_hashes(x, passage)[starts].view(np.int64))) for x in (h, mix(h + U64(1)))]
+                at, rows = (starts - offsets[row]).astype(np.int32), pa.array(lo + row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(at[new]), *both], schema=schema)
+
+    schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("tid", pa.int64()), ("start", pa.int32()), ("whs", pa.list_(pa.int64())), ("vhs", pa.list_(pa.int64()))])
+    return docs.select("uid", "tid", "text").mapInArrow(tidy(run), SUFFIX)
+
+
+def _extended(docs: DataFrame, again: DataFrame, passage: int, prefix: int, hot_rows: int, map_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Extended suffixes whose prefix is repeated: of prefixes met up to hot_rows times, and of the others (None if there are none)."""
+    if again.count() > map_rows:
+        joined = stored(_suffixes(docs, passage, prefix).join(again, "key"), "suffixes")
+        return joined.where(F.col("c") <= hot_rows).drop("c"), joined.where(F.col("c") > hot_rows).drop("c")
     slot = again.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("slot"))
-    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()  # at most 2 ** (MAP_BITS - 6) rows
     known = np.zeros(1 << (MAP_BITS - 6), np.int64)
     known[words["word"].to_numpy()] = words["bits"].to_numpy()
+    hot = np.sort(again.where(F.col("c") > hot_rows).select("key").toArrow()["key"].to_numpy())  # at most map_rows
     sent = docs.sparkSession.sparkContext.broadcast((known, hot))
 
-    def extend(of_hot: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(often: bool):
+        def keep(key: np.ndarray) -> np.ndarray:
             known, hot = sent.value
-            for b in batches:
-                uid = b.column(0).to_numpy()
-                for lo, _, h, offsets, _, _ in text_slices(b.column(1)):
-                    starts, row, places, g = window_places(h, offsets, passage, prefix)
-                    key = g[places]
-                    slot = (key >> U64(64 - MAP_BITS)).astype(np.int64)
-                    keep = (known[slot >> 6] >> (slot & 63)) & 1 == 1
-                    if len(hot):
-                        keep &= np.isin(key.view(np.int64), hot) == of_hot
-                    starts, row, places, key = starts[keep], row[keep], places[keep], key[keep]
-                    if not len(starts):
-                        continue
-                    new = np.flatnonzero(np.append(True, (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)))
-                    whs = pa.ListArray.from_arrays(pa.array(np.append(new, len(starts)), pa.int32()), pa.array(gram_hashes(h, passage)[starts].view(np.int64)))
-                    at = (starts - offsets[row]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(uid[lo + row[new]]), pa.array(at[new]), whs], names=["key", "uid", "start", "whs"])
-
-        return docs.select("uid", "text").mapInArrow(tidy(run), "key long, uid long, start int, whs array<long>")
-
-    return extend(False), extend(True)
-
-
-def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, hot_rows: int = 10_000) -> DataFrame:
-    """(uid, start, n, first, kept): n windows of `passage` words, the first at start, that stand at two or more places of docs (uid, text).
+            slot = (key >> U64(64 - MAP_BITS)).astype(np.int64)
+            kept = (known[slot >> 6] >> (slot & 63)) & 1 == 1
+            return kept & (np.isin(key.view(np.int64), hot) == often) if len(hot) else kept
+
+        return _suffixes(docs, passage, prefix, keep)
+
+    return of(False), of(True) if len(hot) else None
+
+
+def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, hot_rows: int = HOT_ROWS, map_rows: int = MAP_ROWS) -> DataFrame:
+    """(uid, tid, start, n, first, kept): n windows of `passage` words, the first at start, that stand at two or more places of docs (uid, tid, text).
 
     Suffixes are retained at minimiser positions only, and first sorted by
     their prefix; one whose prefix is met nowhere else goes. The others are
     extended left and right: each window that has the suffix as its minimiser is
     the prefix with so many words before it and the rest after it. Extended
-    suffixes are sorted by all they hold and neighbours are compared, so every
-    alignment is tried and no choice of a partner hides a repeat. Suffixes of a
-    prefix that is met very often are compared with their least place, found by
-    partial aggregation, instead of in one task's order. first is the least uid
-    that holds one of the windows; kept tells whether the windows stand here at
-    their least place (uid, start).
+    suffixes are sorted by all they hold and neighbours are compared by 128 bits
+    of hash, so every alignment is tried and no choice of a partner hides a
+    repeat. Suffixes of a prefix that is met more than hot_rows times are
+    compared with their least place, found by partial aggregation, instead of in
+    one task's order, so no task holds more than hot_rows suffixes of a prefix.
+    first is the least uid that holds one of the windows; kept tells whether the
+    windows stand here at their least place (uid, tid, start).
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = stored(_prefix_counts(docs, passage, prefix), "prefixes")
-    total = again.agg(F.sum("c")).first()[0] or 0
-    limit = max(hot_rows, total // (2 * parts))  # so there are at most 2 * parts hot prefixes
-    hot = np.sort(again.where(F.col("c") > limit).select("key").toArrow()["key"].to_numpy())
-    plain, often = _extended(docs, again, hot, passage, prefix)
+    plain, often = _extended(docs, again, passage, prefix, hot_rows, map_rows)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key"]):
             wh, offsets = list_column(t["whs"])
+            vh, _ = list_column(t["vhs"])
             size = np.diff(offsets)
             own = np.repeat(np.arange(t.num_rows), size)
-            uid = np.asarray(t["uid"])[own]
+            uid, tid = np.asarray(t["uid"])[own], np.asarray(t["tid"])[own]
             start = np.asarray(t["start"]).astype(np.int64)[own] + np.arange(len(wh)) - offsets[:-1][own]
-            order = np.lexsort((start, uid, wh))
-            w, u, s = wh[order], uid[order], start[order]
-            new = np.append(True, w[1:] != w[:-1])
-            other = np.append(False, (u[1:] != u[:-1]) | (s[1:] != s[:-1])) & ~new  # a row that is there twice is one place
+            order = np.lexsort((start, tid, uid, vh, wh))
+            w, v, u, x, s = wh[order], vh[order], uid[order], tid[order], start[order]
+            new = np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]))
+            other = np.append(False, (u[1:] != u[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])) & ~new  # a row that is there twice is one place
             head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
             many = np.bincount(head, other, len(w))[head] > 0
             twice, first, kept = np.zeros(len(w), bool), np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-            twice[order], first[order], kept[order] = many, u[head], (u == u[head]) & (s == s[head])
+            twice[order], first[order], kept[order] = many, u[head], (u == u[head]) & (x == x[head]) & (s == s[head])
             # Back in the suffixes' own order, neighbouring windows of one kind are one run.
             cut = np.append(True, (own[1:] != own[:-1]) | (kept[1:] != kept[:-1]) | (twice[1:] != twice[:-1]))
             runs = np.flatnonzero(cut)
             n = np.diff(np.append(runs, len(wh)))
             least = np.minimum.reduceat(first, runs)
             hit = twice[runs]
-            columns = [uid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "start", "n", "first", "kept"])
-
-    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), "uid long, start int, n int, first long, kept boolean")
-    if len(hot):
-        often = stored(often.select("uid", "start", F.posexplode("whs").alias("i", "wh")).select("wh", "uid", (F.col("start") + F.col("i")).alias("start")), "often")
-        least = often.groupBy("wh").agg(F.min(F.struct("uid", "start")).alias("l"), F.max(F.struct("uid", "start")).alias("m")).where("l <> m")
-        often = often.join(small_side(stored(least.select("wh", "l"), "least")), "wh")
-        found = found.union(often.select("uid", "start", F.lit(1), F.col("l.uid").alias("first"), (F.struct("uid", "start") == F.col("l")).alias("kept")))
+            columns = [uid[runs][hit], tid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "tid", "start", "n", "first", "kept"])
+
+    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), "uid long, tid long, start int, n int, first long, kept boolean")
+    if often is not None:
+        windows = often.select("uid", "tid", "start", F.posexplode(F.arrays_zip("whs", "vhs")).alias("i", "h"))
+        windows = stored(windows.select("h.whs", "h.vhs", F.struct("uid", "tid", (F.col("start") + F.col("i")).alias("start")).alias("at")), "often")
+        least = windows.groupBy("whs", "vhs").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most")
+        windows = windows.join(small_side(stored(least.drop("most"), "least")), ["whs", "vhs"])
+        found = found.union(windows.select("at.uid", "at.tid", "at.start", F.lit(1), "least.uid", F.col("at") == F.col("least")))
     return found
 
 
-SPANS = "uid long, cut array<struct<start:int,n:int,first:long>>, kept array<struct<start:int,n:int,first:long>>"
+SPANS = "uid long, tid long, cut array<struct<start:int,n:int,first:long>>, kept array<struct<start:int,n:int,first:long>>"
+#: Spans, and rows that have some, up to which they are broadcast (about 60 bytes each).
+BROADCAST_SPANS = 500_000
 
 
 def _spans(start: np.ndarray, n: np.ndarray, first: np.ndarray, passage: int) -> list[dict]:
@@ -167,30 +191,31 @@ def _spans(start: np.ndarray, n: np.ndarray, first: np.ndarray, passage: int) ->
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """(uid, cut, kept) for each document with a repeated passage; uid is its doc_id.
+    """(uid, tid, cut, kept) for each document with a repeated passage; uid is its doc_id, tid a hash of its text.
 
     cut: runs of words (start, n, least first doc_id) inside windows that stood
     at an earlier place, by doc_id and then position; kept: runs inside windows
     that stand here first. Words are what stands between ASCII white space, as
     written. A text of fewer than `passage` words, empty or null repeats nothing.
-    doc_id names a document: equal rows are one place; rows without an id are
-    named by a negative number made from their text. Other columns are not read.
+    Equal rows are one place; rows with one doc_id and different texts are places
+    of their own, in the order of tid. doc_ids of any type are taken: uid is a
+    hash for those that are no whole numbers, a negative number made from the
+    text where there is none. Other columns are not read.
     """
-    d = docs.select(named().alias("uid"), "text")
-    found = repeated_windows(d, passage)
+    found = repeated_windows(named(docs), passage)
     names = ["start", "n", "first", "kept"]
-    per = found.groupBy("uid").agg(F.collect_list(F.struct(*names)).alias("s")).select("uid", *[F.col("s")[c].alias(c) for c in names])
+    per = found.groupBy("uid", "tid").agg(F.collect_list(F.struct(*names)).alias("s")).select("uid", "tid", *[F.col("s")[c].alias(c) for c in names])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
         for b in batches:
             cut, kept = [], []
             for i in range(b.num_rows):
-                s, n, f, k = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (1, 2, 3, 4))
+                s, n, f, k = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (2, 3, 4, 5))
                 k = k.astype(bool)
                 cut.append(_spans(s[~k], n[~k], f[~k], passage))
                 kept.append(_spans(s[k], n[k], f[k], passage))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, types), pa.array(kept, types)], names=["uid", "cut", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, types), pa.array(kept, types)], names=["uid", "tid", "cut", "kept"])
 
     return per.mapInArrow(tidy(spans), SPANS)
 
@@ -200,12 +225,17 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     Bytes from the first to the last word of each cut run go, the rest stays as
     it is. A document of which no word is left goes too; one without a cut is
-    unchanged to the byte, a null or blank text included.
+    unchanged to the byte, a null or blank text included. Rows are told apart by
+    id and text, so rows that share an id keep what repeats nowhere; equal rows
+    are cut alike. Columns of any name may stand beside doc_id and text.
     """
-    spans = repeats(docs, passage).where(F.size("cut") > 0).select("uid", "cut")
-    spans = stored(spans, "spans")
+    spans = stored(repeats(docs, passage).where(F.size("cut") > 0).select("uid", "tid", "cut"), "spans")
+    many = spans.agg(F.sum(1 + F.size("cut"))).first()[0] or 0
     schema, at = docs.schema, docs.columns.index("text")
-    d = docs.withColumn("_uid", named()).join(spans.withColumnsRenamed({"uid": "_u", "cut": "_cut"}), F.col("_uid") == F.col("_u"), "left").drop("_u", "_uid")
+    u, t, c, u2, t2 = (free_name(docs, n) for n in ("uid", "tid", "cut", "span_uid", "span_tid"))
+    d = docs.select("*", row_number_of(docs, text_hash()).alias(u), text_hash().alias(t))
+    spans = spans.select(F.col("uid").alias(u2), F.col("tid").alias(t2), F.col("cut").alias(c))
+    d = d.join(F.broadcast(spans) if many <= BROADCAST_SPANS else spans, (F.col(u) == F.col(u2)) & (F.col(t) == F.col(t2)), "left").select(*docs.columns, c)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
