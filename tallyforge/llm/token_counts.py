@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,22 +37,51 @@ def encoder(vocabulary: str, folder: str = TOKENIZERS):
     return _encoders[path]
 
 
+#: Characters from which a text is encoded in parts, and in a run of white space from which the run is encoded by itself.
+PART = 200_000
+RUN = 20_000
+_GAPS = regex.compile(r"\p{White_Space}+")
+_PIECES = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
 def encoded_length(text: str | None, enc) -> int:
-    """Tokens of a whole text. Very long ones are encoded in parts, cut only between a letter and a space
-    before a letter, where the pattern always begins a new piece.
+    """Tokens of a whole text; null and empty: 0.
+
+    Long texts are encoded in parts, cut where the pattern always begins a new
+    piece: before white space that follows something else. Of a long run of white
+    space the pattern makes one piece, without the last character unless the text
+    ends there; a long run of anything else is taken apart by the pattern itself.
+    Pieces are merged one by one, so no text is too long for the matcher.
     """
     if not text:
         return 0
-    if len(text) <= 1_000_000:
+    if len(text) <= RUN:
         return len(enc.encode_ordinary(text))
-    total, start = 0, 0
-    while start < len(text):
-        end = start + 1_000_000
-        while end < len(text) and not (text[end - 1].isalpha() and text[end] == " " and text[end + 1 : end + 2].isalpha()):
-            end += 1
-        total += len(enc.encode_ordinary(text[start:end]))
-        start = end
-    return total
+    total, start, end = 0, 0, 0  # text[start:end] waits to be encoded together
+    of = lambda piece: len(enc._encode_single_piece(piece.encode()))
+    gaps = _GAPS.finditer(text)
+    gap = next(gaps, None)
+    if gap is None or gap.start() > 0:  # what stands before the first gap
+        end = gap.start() if gap else len(text)
+    while True:
+        if end - start > PART:
+            total += sum(of(m.group()) for m in _PIECES.finditer(text, start, end)) if end - start > 2 * PART else len(enc.encode_ordinary(text[start:end]))
+            start = end
+        if gap is None:
+            break
+        after = next(gaps, None)
+        stop = after.start() if after else len(text)
+        if gap.end() - gap.start() > RUN or stop - gap.end() > PART:
+            total += len(enc.encode_ordinary(text[start:end]))
+            last = gap.end() if gap.end() == len(text) else gap.end() - 1
+            if last > gap.start():
+                total += of(text[gap.start() : last])
+            total += sum(of(m.group()) for m in _PIECES.finditer(text[last:stop]))
+            start = end = stop
+        else:
+            end = stop
+        gap = after
+    return total + len(enc.encode_ordinary(text[start:end]))
 
 
 def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
