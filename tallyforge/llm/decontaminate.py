@@ -12,8 +12,8 @@ WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
 #: Not a word of any text: its one posting in each document is the number of words.
 END = "\u0000"
 WINDOW = 10
-#: Rarest terms of each window whose adjusted lists are intersected first.
-ANCHORS = 2
+#: Places by which a word may stand off in a proximity match.
+SLOP = 2
 
 
 def words_of(text: Column) -> Column:
@@ -26,12 +26,13 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "
 
     The index is sharded by document and sorted by term inside each shard, so a
     term's lists are read by page. uid tells rows apart where doc_id repeats or
-    is null. terms (term string) restricts the index to terms that will be asked
-    for; without it, all are kept. Every document has one posting of END at its
-    number of words.
+    is null. Every document has one posting of END at its number of words, which
+    alone has the doc_id. terms (term string) restricts the index to terms that
+    will be asked for: then it serves one benchmark and is built again for the
+    next; without it, all terms are kept and it serves any.
     """
     d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.concat(words_of(F.col(text_col)), F.array(F.lit(END))).alias("words"))
-    p = d.select("uid", "doc_id", F.posexplode("words").alias("pos", "word")).select("uid", "doc_id", "pos", lower_ascii(F.col("word")).alias("term"))
+    p = d.select("uid", "doc_id", F.posexplode("words").alias("pos", "word")).select("uid", F.when(F.col("word") == END, F.col("doc_id")).alias("doc_id"), "pos", lower_ascii(F.col("word")).alias("term"))
     if terms is not None:
         p = p.join(small_side(terms.select("term")), "term")
     return stored(p.sortWithinPartitions("term"), "postings")
@@ -47,83 +48,107 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return stored(t.withColumn("n", F.size("terms")).where("n > 0"), "items")
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Occurrences of item windows: (uid, iid, item, shift, starts, w), one row for each document, item and shift.
+def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(windows, holders) of the items: windows (iid, s, w, words) at the least place each stands at, holders (iid, s, item) of all items that have it.
 
-    A window is `window` consecutive words, or the whole item if that is
-    shorter. For each window the postings of its rarest terms, moved by their
-    place in the item, are intersected; what is left names (document, item,
-    shift) candidates. For those, the document's other postings are moved by
-    the shift and intersected with the item's terms; w consecutive hits are an
-    occurrence, and starts has the document positions of all of them.
+    A window is `window` consecutive words, or the whole item if that is shorter.
     """
-    placed = items.select("iid", "n", F.posexplode("terms").alias("q", "term"))
-    freq = index.groupBy("term").agg(F.count("*").alias("df"))
-    rare = stored(placed.join(freq, "term"), "placed")  # a term no document has: its windows do not occur
     w = F.least(F.lit(window), F.col("n"))
-    first, last = F.greatest(F.lit(0), F.col("q") - w + 1), F.least(F.col("q"), F.col("n") - w)
-    slots = rare.select("iid", "q", "term", "df", w.alias("w"), F.explode(F.sequence(first, last)).alias("s"))
+    each = items.select("iid", "item", w.alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("s"), "terms")
+    each = each.select("iid", "s", "item", F.slice("terms", F.col("s") + 1, F.col("w")).alias("words"))
+    windows = stored(each.groupBy("words").agg(F.min(F.struct("iid", "s")).alias("at")).select("at.iid", "at.s", F.size("words").alias("w"), "words"), "windows")
+    holders = each.select("item", "words").distinct().join(windows, "words").select("iid", "s", "item")
+    return windows, stored(holders, "holders")
+
+
+def anchors_of(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(iid, s, w, q, term, rank, need) of the two rarest terms of each window all of whose terms have postings; q: the term's place in the item."""
+    freq = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("df"))
+    slots = windows.select("iid", "s", "w", F.posexplode("words").alias("k", "term")).join(freq, "term")
     of = Window.partitionBy("iid", "s")
-    picked = (
-        slots.withColumns({"rank": F.row_number().over(of.orderBy("df", "q")), "full": F.count("*").over(of)})
-        .where((F.col("full") == F.col("w")) & (F.col("rank") <= ANCHORS))
-        .select("iid", "q", "term", F.least(F.lit(ANCHORS), "w").alias("need"))
-        .distinct()
-    )
-    picked = small_side(stored(picked, "anchors"))
-    hits = index.join(picked, "term").select("uid", "iid", "need", (F.col("pos") - F.col("q")).alias("shift"))
-    cands = stored(hits.groupBy("uid", "iid", "shift", "need").agg(F.count("*").alias("c")).where("c >= need").select("uid", "iid", "shift"), "candidates")
-
-    lists = index.join(small_side(cands.select("uid").distinct()), "uid", "left_semi").where(F.col("term") != END)
-    lists = lists.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("list"))
-    words = items.agg(F.sum("n")).first()[0] or 0
-    both = cands.join(lists, "uid").join(F.broadcast(items) if words <= BROADCAST_ROWS else items, "iid")
-    met = F.filter("list", lambda p: F.get("terms", p["pos"] - F.col("shift")) == p["term"])
-    both = both.withColumns({"at": F.transform(met, lambda p: p["pos"]), "w": w})
-    starts = F.expr("filter(transform(at, (p, i) -> if(get(at, i + w - 1) - p = w - 1, p, null)), p -> p is not null)")
-    return both.select("uid", "iid", "item", "shift", starts.alias("starts"), "w").where(F.size("starts") > 0)
-
-
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 2) -> DataFrame:
-    """(uid, iid, item, n_near): documents in which each of an item's terms lies within `slop` places of where the
-    phrase would have it, counted over shifts at which the item's rarest term stands.
+    ranked = slots.withColumns({"rank": F.row_number().over(of.orderBy("df", "k")), "full": F.count("*").over(of)}).where("full = w and rank <= 2")
+    return stored(ranked.select("iid", "s", "w", (F.col("s") + F.col("k")).alias("q"), "term", "rank", F.least(F.lit(2), "w").alias("need")), "anchors")
+
+
+def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(uid, iid, s, w, at, exact): windows that documents have, at their shift; stored.
+
+    exact: the window's words stand at `at` and after it, one by one. Else each
+    of them stands within `slop` places of there, and the rarest one (fewest
+    postings, then first in the window) right there.
+
+    The lists of a window's two rarest terms, moved by their place in the item,
+    are intersected first, with `slop` to spare: moved places are dealt into
+    blocks as wide as the slop on both sides, a posting to each block it may
+    meet. What is left names (document, item, shift) candidates. For those, the
+    item's terms and the document's postings are intersected once, at (document,
+    term, block of places), and runs of consecutive hits are windows. A document
+    or item that says the same again and again has few different windows, and
+    its rows are joined and never gathered in lists.
     """
-    placed = items.select("iid", "item", "n", F.posexplode("terms").alias("q", "term"))
-    freq = index.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = placed.join(freq, "term").withColumn("rank", F.row_number().over(Window.partitionBy("iid").orderBy("df", "q")))
-    ranked = stored(ranked.withColumn("full", F.count("*").over(Window.partitionBy("iid"))).where("full = n"), "ranked")
-    near = index.join(ranked.where("rank = 1").select("iid", "item", "n", "term", F.col("q").alias("q0")), "term")
-    near = near.select("uid", "iid", "item", "n", (F.col("pos") - F.col("q0")).alias("shift"))
-    wanted = near.join(ranked.select("iid", "q", "term"), "iid").select("uid", "iid", "item", "n", "shift", "q", "term")
-    wanted = wanted.withColumn("at", F.explode(F.sequence(F.col("shift") + F.col("q") - slop, F.col("shift") + F.col("q") + slop)))
-    found = wanted.join(index.select("uid", "term", F.col("pos").alias("at")), ["uid", "term", "at"])
-    found = found.groupBy("uid", "iid", "item", "n", "shift").agg(F.countDistinct("q").alias("met")).where("met = n")
-    return found.groupBy("uid", "iid", "item").agg(F.count("*").alias("n_near"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items (ids as sorted text), contaminated.
-
-    n_hit: words inside any occurrence of a window of an item. A null or empty
+    anchors = anchors_of(index, windows)
+    size = 2 * slop + 1
+    block = lambda c: F.floor(c / size).cast("int")
+    around = lambda c: F.explode(F.array_distinct(F.array(block(c - slop), block(c + slop))))
+    picked = stored(anchors.groupBy("iid", "q", "term").agg(F.min("rank").alias("rank"), F.min("need").alias("need")), "picked")
+    hits = index.join(small_side(picked), "term").select("uid", "iid", "q", (F.col("pos") - F.col("q")).alias("d"), "rank", "need")
+    hits = hits.select("uid", "iid", "q", "d", "rank", "need", around(F.col("d")).alias("b"))
+    met = hits.groupBy("uid", "iid", "b").agg(F.collect_set(F.struct("d", "q", "rank", "need")).alias("h")).where((F.size("h") > 1) | (F.col("h")[0]["need"] == 1))
+    one = lambda x: (x["rank"] == 1) & (block(x["d"]) == F.col("b"))
+    other = lambda x: (x["need"] == 1) | F.exists("h", lambda y: (y["q"] != x["q"]) & (F.abs(y["d"] - x["d"]) <= slop))
+    met = met.select("uid", "iid", F.explode(F.array_distinct(F.transform(F.filter("h", lambda x: one(x) & other(x)), lambda x: x["d"]))).alias("d"))
+    cands = stored(met, "candidates")
+
+    asked = stored(windows.select("iid", F.posexplode("words").alias("k", "term"), "s").select("iid", (F.col("s") + F.col("k")).alias("q"), "term").distinct(), "covered")
+    wanted = cands.join(small_side(asked), "iid").select("uid", "iid", "d", "q", "term", (F.col("d") + F.col("q")).alias("p"))
+    wanted = wanted.withColumn("b", around(F.col("p")))
+    lists = index.where(F.col("term") != END).join(small_side(stored(cands.select("uid").distinct(), "asked")), "uid", "left_semi").select("uid", "term", "pos", block(F.col("pos")).alias("b"))
+    found = wanted.join(lists, ["uid", "term", "b"]).where(F.abs(F.col("pos") - F.col("p")) <= slop)
+    found = found.groupBy("uid", "iid", "d", "q").agg(F.max(F.col("pos") == F.col("p")).alias("exact"))
+    shift = found.groupBy("uid", "iid", "d").agg(F.sort_array(F.collect_list("q")).alias("near"), F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("q")))).alias("exact"))
+    widths = windows.groupBy("iid").agg(F.max("w").alias("w"))
+    shift = shift.join(small_side(widths), "iid")
+    begun = lambda c: F.expr(f"filter(transform({c}, (p, i) -> if(get({c}, i + w - 1) - p = w - 1, p, null)), p -> p is not null)")
+    shift = shift.withColumns({"runs": begun("near"), "whole": begun("exact")})
+    each = shift.select("uid", "iid", "d", "w", "exact", "whole", F.explode("runs").alias("s"))
+    rarest = anchors.where("rank = 1").select("iid", "s", F.col("q").alias("q1"))
+    each = each.join(small_side(rarest), ["iid", "s"], "left").where(F.array_contains("whole", F.col("s")) | F.array_contains("exact", F.col("q1")))
+    return stored(each.select("uid", "iid", "s", "w", (F.col("d") + F.col("s")).alias("at"), F.array_contains("whole", F.col("s")).alias("exact")), "matches")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items (ids as sorted text), contaminated, n_near.
+
+    n_hit: words inside any occurrence of a window of an item; items: those that
+    have an occurring window. n_near: items that have a window whose words all
+    stand within `slop` places of where the phrase would have them, the rarest
+    one right there; occurrences count among them. A null or empty
     text has no words; an item without words has no window; an id that repeats
-    among the items counts once; a null item id reads as 'null'. Columns other
-    than ids and texts are not looked at. Empty tables give no rows, or rows
-    without hits.
+    among the items counts once; a null item id reads as 'null'. doc_ids may be
+    of any type, null or repeat. Columns other than ids and texts are not looked
+    at. Empty tables give no rows, or rows without hits.
     """
     placed = item_terms(items)
     asked = placed.select(F.explode("terms").alias("term")).union(docs.sparkSession.createDataFrame([(END,)], "term string")).distinct()
     index = build_index(docs, stored(asked, "asked"))
-    found = phrase_matches(index, placed, window)
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("w") - 1)))
-    found = found.select("uid", "item", F.array_distinct(covered).alias("covered"))
-    found = found.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("item")).alias("items"))
+    windows, holders = item_windows(placed, window)
+    found = matches(index, windows, slop)
+    # Occurrences as stretches of places; what a stretch adds to those before it is counted.
+    before = Window.partitionBy("uid").orderBy("at", "w").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("at") + F.col("w")
+    hit = found.where("exact").select("uid", "at", "w").distinct()
+    hit = hit.withColumn("n", end - F.greatest(F.col("at"), F.least(end, F.coalesce(F.max(end).over(before), F.col("at"))))).groupBy("uid").agg(F.sum("n").alias("n_hit"))
+    held = found.groupBy("uid", "iid", "s").agg(F.max("exact").alias("exact")).join(small_side(holders), ["iid", "s"]).groupBy("uid", "item").agg(F.max("exact").alias("exact"))
+    held = held.groupBy("uid").agg(F.count("*").alias("n_near"), F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"))
+    found = stored(held.join(hit, "uid", "left"), "found")
     every = index.where(F.col("term") == END).select("uid", "doc_id", F.col("pos").cast("long").alias("n_words"))
-    none = F.array().cast("array<string>")
-    return every.join(found, "uid", "left").select(
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    return every.join(small_side(found, BROADCAST_ROWS // 4), "uid", "left").select(
         "doc_id",
         "n_words",
-        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.col("n_hit"), zero).cast("long").alias("n_hit"),
+        F.coalesce(F.size("items"), zero).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
-        F.col("covered").isNotNull().alias("contaminated"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        F.coalesce("n_near", zero).alias("n_near"),
     )
