@@ -116,46 +116,55 @@ def count_keys(docs: DataFrame, classes: dict[str, Column], text_col: str = "tex
     return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ["c_all", *[f"c_{n}" for n in names]]])
 
 
-def _level(grams: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
-    """The n-grams (key, c) with what their contexts need, and the discounts for counts 1, 2, 3 and more."""
-    q = grams.agg(*[F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (float(x or 0) for x in q)
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+def _discounts(grams: DataFrame, names: list[str]) -> list[tuple[float, float, float]]:
+    """For each column of counts the discounts of modified Kneser-Ney for counts 1, 2, 3 and more, from the numbers of n-grams met once to four times."""
+    q = grams.agg(*[F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in names for i in (1, 2, 3, 4)]).first()
 
-    def d(i: int, a: float, b: float) -> float:
+    def d(i: int, y: float, a: float, b: float) -> float:
         return min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a and b else min(0.5 * i, 1.5)
 
-    return grams, [d(1, n1, n2), d(2, n2, n3), d(3, n3, n4)]
+    out = []
+    for c in names:
+        n1, n2, n3, n4 = (float(q[f"{c}_{i}"]) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        out.append((d(1, y, n1, n2), d(2, y, n2, n3), d(3, y, n3, n4)))
+    return out
 
 
-def probabilities(table: DataFrame, count: str, top: int = ORDER, base: DataFrame | None = None, above: int = 0) -> DataFrame:
-    """(key, p): the probability of the last of `top` characters given those before, for every suffix that table has.
+def probabilities(table: DataFrame, names: list[str], top: int = ORDER, base: DataFrame | None = None, above: int = 0) -> DataFrame:
+    """(key, p_<name>...): for each model the probability of the last of `top` characters given those before, for every suffix that table has.
 
-    table: (key, counts) of ORDER-grams. The highest order uses counts, each
-    lower one the numbers of distinct left neighbours. Orders above `above` come
-    from column `count`; `base` (key of `above` characters, p) is where they
-    back off to, the uniform distribution where above is 0. Every order is a
-    join of the asked n-grams with counts and context sums, sharded by key.
+    table: (key, counts) of ORDER-grams, a column of counts for each model in
+    `names`. The highest order uses counts, each lower one the numbers of
+    distinct left neighbours that the model has. Orders above `above` are the
+    models' own; `base` (key of `above` characters, p) is where all of them back
+    off to, the uniform distribution where above is 0. Every order is one join of
+    the asked n-grams with counts and context sums, sharded by key, for all models
+    together.
     """
-    grams = {ORDER: table.where(F.col(count) > 0).select("key", F.col(count).alias("c"))}
+    grams = {ORDER: table.select("key", *names)}
     for n in range(ORDER - 1, above, -1):
-        grams[n] = stored(grams[n + 1].groupBy((F.col("key").bitwiseAND(F.lit(mask(n)))).alias("key")).agg(F.count("*").alias("c")), f"grams{n}")
+        left = [F.count_if(F.col(c) > 0).alias(c) for c in names]
+        grams[n] = stored(grams[n + 1].groupBy((F.col("key").bitwiseAND(F.lit(mask(n)))).alias("key")).agg(*left), f"grams{n}")
     if base is None:
         base = table.sparkSession.createDataFrame([(0, 1.0 / 4096)], "key long, p double")
-    p = base
+    p = base.select("key", *[F.col("p").alias(f"p_{c}") for c in names])
     for n in range(above + 1, top + 1):
-        g, (d1, d2, d3) = _level(grams[n], n)
-        kept = lambda i: F.count(F.when(F.col("c") == i, 1))
-        ctx = g.groupBy(F.shiftright("key", BITS).alias("ctx")).agg(
-            F.sum("c").alias("tot"), (d1 * kept(1) + d2 * kept(2) + d3 * F.count(F.when(F.col("c") > 2, 1))).alias("left")
-        )
-        asked = table.select(F.col("key").bitwiseAND(F.lit(mask(n))).alias("key")).distinct()
-        asked = asked.withColumns({"ctx": F.shiftright("key", BITS), "suf": F.col("key").bitwiseAND(F.lit(mask(n - 1)))})
-        x = asked.join(g, "key", "left").join(ctx, "ctx", "left").join(p.select(F.col("key").alias("suf"), "p"), "suf")
-        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        own = F.coalesce(F.greatest(F.col("c") - cut, F.lit(0.0)), F.lit(0.0))
-        mixed = F.when(F.col("tot").isNull(), F.col("p")).otherwise((own + F.col("left") * F.col("p")) / F.col("tot"))
-        p = stored(x.select("key", mixed.alias("p")), f"p{n}")
+        cuts = dict(zip(names, _discounts(grams[n], names), strict=True))
+        sums = []
+        for c, (d1, d2, d3) in cuts.items():
+            kept = [F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2), F.count_if(F.col(c) > 2)]
+            sums += [F.sum(c).alias(f"tot_{c}"), (d1 * kept[0] + d2 * kept[1] + d3 * kept[2]).alias(f"left_{c}")]
+        ctx = grams[n].groupBy(F.shiftright("key", BITS).alias("ctx")).agg(*sums)
+        # grams[n] has every suffix of n characters that table has, so it is what is asked.
+        x = grams[n].withColumns({"ctx": F.shiftright("key", BITS), "suf": F.col("key").bitwiseAND(F.lit(mask(n - 1)))})
+        x = x.join(ctx, "ctx").join(p.withColumnRenamed("key", "suf"), "suf")
+        out = []
+        for c, (d1, d2, d3) in cuts.items():
+            own = F.greatest(F.col(c) - F.when(F.col(c) == 1, d1).when(F.col(c) == 2, d2).otherwise(d3), F.lit(0.0))
+            met = F.col(f"tot_{c}") > 0  # a context that the model never met: the lower order as it is
+            out.append(F.when(met, (own + F.col(f"left_{c}") * F.col(f"p_{c}")) / F.col(f"tot_{c}")).otherwise(F.col(f"p_{c}")).alias(f"p_{c}"))
+        p = stored(x.select("key", *out), f"p{n}")
     return p
 
 

@@ -36,7 +36,7 @@ def classify(docs: DataFrame, trusted: DataFrame, table_rows: int = TABLE_ROWS)
     marks = trusted.where("doc_id is not null").select("doc_id", F.lit(True).alias("trusted")).distinct()
     d = d.join(small_side(marks), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     table = stored(count_keys(d, {"trusted": F.col("trusted")}), "counts")
-    p = probabilities(table, "c_trusted").select("key", (-F.log2("p")).alias("value"))
+    p = probabilities(table, ["c_trusted"]).select("key", (-F.log2("p_c_trusted")).alias("value"))
     s = stored(score_documents(d, p, _entropy, ["nll", "chars"], ["doc_id", "lang", "trusted"], table_rows), "entropies")
     mean = s.groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("chars"), F.lit(1.0))).alias("mean")).withColumnRenamed("lang", "_l")
     s = s.join(mean, F.col("lang").eqNullSafe(F.col("_l"))).drop("_l")

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import ORDER, TABLE_ROWS, count_keys, probabilities, score_documents
-from .common import small_side, stored
+from .common import small_side, stored, text_hash
 
 #: Orders up to this are shared by both classes and counted over all documents.
 SHARED = 2
 #: Share of a toxic text's words that are taken to be toxic themselves.
 TOXIC_SHARE = 0.01
-#: At most so many labelled rows fit the weights of the two evidences, the first by a hash of their id.
+#: At most so many labelled rows fit the weights of the two evidences, the first by a hash of their id and text.
 FIT_ROWS = 20_000
 CUT = 0.7
 NAMES = ["ratio", "evidence", "chars", "words"]
@@ -75,31 +76,45 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, score, predicted, and the evidences it comes from.
+    """One row for each row of docs: doc_id, held_out, score, predicted, the evidences it comes from, and tid (a hash of the text).
 
     labels: doc_id, toxic (0 or 1); a doc_id with several labels is toxic if one
-    says so; null ids and labels teach nothing. The two class models learn from
-    labelled rows of the first learning part (remainder 0), the weights from the
-    second (remainder 2), so the weights see texts the models have not seen; a
-    part without both classes falls back to fixed weights. Backoff counts are
-    over all documents. Null and empty texts have no evidence: the score of an
-    empty text. doc_ids may be null or repeat, other columns are not looked at.
+    says so; null ids and labels teach nothing. The class models learn from all
+    labels that may be learned from. The weights of the two evidences come from
+    texts the models have not seen: the labelled rows are parted in two by the
+    remainder of their id's crc32, each part is scored by models of the other,
+    and the weights fit both. Without both classes there are fixed weights.
+    Backoff counts are over all documents. Null and empty texts have no evidence:
+    the score of an empty text. doc_ids may be of any type, null or repeat; a
+    score follows from the text alone. Other columns are not looked at.
     """
     d = docs.select("doc_id", "text")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = stored(marks.where(~held_out("doc_id")), "marks")
-    part = F.crc32(F.col("doc_id").cast("string")) % 3
-    marked = d.join(small_side(marks.where(part == 0)), "doc_id", "left")
-    table = stored(count_keys(marked, {"toxic": F.col("toxic") == 1, "plain": F.col("toxic") == 0}), "counts")
-    shared = probabilities(table, "c_all", top=SHARED)
-    toxic, plain = (probabilities(table, c, base=shared, above=SHARED).select("key", F.log("p").alias(c)) for c in ("c_toxic", "c_plain"))
-    ratio = toxic.join(plain, "key").select("key", (F.col("c_toxic") - F.col("c_plain")).alias("value"))
-    s = stored(score_documents(d, stored(ratio, "ratios"), _likelihoods, NAMES, ["doc_id"], table_rows), "likelihoods")
+    part = (F.crc32(F.col("doc_id").cast("string")) % 3).alias("part")
+    marks = small_side(stored(marks.where(~held_out("doc_id")).select("doc_id", "toxic", part), "marks"))
+    marked = d.join(marks, "doc_id", "left")
+    classes = {f"{c}{i}": (F.col("toxic") == y) & (F.col("part") == i) for c, y in (("toxic", 1), ("plain", 0)) for i in (0, 2)}
+    table = count_keys(marked, classes).withColumns({f"c_{c}": F.col(f"c_{c}0") + F.col(f"c_{c}2") for c in ("toxic", "plain")})
+    table = stored(table, "counts")
+    shared = probabilities(table, ["c_all"], top=SHARED).select("key", F.col("p_c_all").alias("p"))
+    models = ["", "0", "2"]  # of both parts, and of each alone
+    p = probabilities(table, [f"c_{c}{m}" for m in models for c in ("toxic", "plain")], base=shared, above=SHARED)
+    ratios = stored(p.select("key", *[(F.log(f"p_c_toxic{m}") - F.log(f"p_c_plain{m}")).alias(f"r{m}") for m in models]), "ratios")
+
+    # The rows that fit the weights: those of the FIT_ROWS least hashes, which alone go through one task.
+    known = d.join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    last = known.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
+    known = stored(known.where(F.col("h") <= F.lit(last).cast("long")).drop("h"), "known")
     f = [c.alias(f"f{i}") for i, c in enumerate(_features())]
-    fit = s.join(small_side(marks.where(part == 2)), "doc_id").select(*f, "toxic", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "f0", "f1").limit(FIT_ROWS).toPandas()
+    fit = []
+    for mine, other in ((0, "2"), (2, "0")):
+        seen = score_documents(known.where(F.col("part") == mine), ratios.select("key", F.col(f"r{other}").alias("value")), _likelihoods, NAMES, ["doc_id", "toxic"], table_rows)
+        fit.append(seen.select(*f, "toxic").toPandas())
+    fit = pd.concat(fit).sort_values(["f0", "f1", "toxic"])
     w = _fit(fit[["f0", "f1"]].to_numpy(float), fit["toxic"].to_numpy(float))
     z = F.lit(float(w[2]))
     for i, c in enumerate(_features()):
         z = z + float(w[i]) * c
+    s = score_documents(d.withColumn("tid", text_hash()), ratios.select("key", F.col("r").alias("value")), _likelihoods, NAMES, ["doc_id", "tid"], table_rows)
     s = s.withColumn("score", 1 / (1 + F.exp(-z)))
-    return s.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), *NAMES)
+    return s.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), *NAMES, "tid")
