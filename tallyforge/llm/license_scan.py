@@ -17,8 +17,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Chance at least with which a window that holds a template is retrieved.
 GUARANTEE = 0.999
-#: Templates are sent to all tasks up to so many words together; a longer list is refused.
-MAX_TEMPLATE_WORDS = 200_000
+#: Words of the templates that one pass over the texts looks for; a longer list is looked for in several passes of one stage.
+PASS_WORDS = 200_000
 
 #: Names and texts of public licence notices.
 TEMPLATES = {
@@ -102,34 +102,33 @@ def _scan(h: np.ndarray, name_of: list, shared: dict[int, np.ndarray], containme
     return hits
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """One row for each row of docs: doc_id, licenses (array of name, containment, n_windows, first_word), licensed.
-
-    Words are what stands between ASCII white space, A-Z lower-cased, shingles
-    have five of them (all words of a shorter template). Each template is looked
-    for in windows of as many words, an eighth of them apart; bands of one
-    MinHash each, so many that a window which holds the template at the wanted
-    containment is retrieved with a chance of GUARANTEE. A retrieved template is
-    a hit if one window near there has that share of its shingles exactly.
-    containment is the best found, first_word the first word of the first hit.
-    Null and empty texts have none; ids may be null or repeat; other columns
-    are not read.
-    """
-    given = TEMPLATES if templates is None else templates
-    if sum(len(t.split()) for t in given.values()) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates hold more than {MAX_TEMPLATE_WORDS} words")
-    ready = _prepared(given, containment)
+def _passes(templates: dict[str, str], words: int) -> list[dict[str, str]]:
+    """templates in parts of at most so many words, a longer one by itself."""
+    parts: list[dict[str, str]] = []
+    size = words + 1
+    for name, text in sorted(templates.items()):
+        n = len(text.split())
+        if size + n > words:
+            parts.append({})
+            size = 0
+        parts[-1][name] = text
+        size += n
+    return parts
+
+
+def _finder(templates: dict[str, str], containment: float):
+    """A task over (id, text, licenses so far) that adds the hits of these templates."""
+    ready = _prepared(templates, containment)
     shared = {k: np.unique(np.concatenate([t for _, n, _, t, _ in ready if min(n, SHINGLE) == k])) for k in {min(n, SHINGLE) for _, n, _, _, _ in ready}}
     item = pa.struct([("license", pa.string()), ("containment", pa.float64()), ("n_windows", pa.int64()), ("first_word", pa.int64())])
-    bits = 1 << 16
-    seen = {k: np.zeros(bits, bool) for k in shared}
+    seen = {k: np.zeros(1 << 16, bool) for k in shared}
     for k, s in shared.items():
         seen[k][(s >> U64(48)).astype(np.int64)] = True
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, h, offsets, _, _ in text_slices(b.column(1), fold=True):
-                rows: list[list[dict]] = [[] for _ in range(hi - lo)]
+                rows = b.column(2).slice(lo, hi - lo).to_pylist()
                 may = np.zeros(hi - lo, bool)
                 for k in shared:
                     g = gram_hashes(h, k)
@@ -138,9 +137,31 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
                     may[np.searchsorted(offsets, at, "right") - 1] = True
                 for i in np.flatnonzero(may):
                     found = _scan(h[offsets[i] : offsets[i + 1]], ready, shared, containment)
-                    rows[i] = [{"license": a, "containment": c, "n_windows": n, "first_word": f} for a, c, n, f in found]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(rows, pa.list_(item))], names=["doc_id", "licenses"])
+                    rows[i] = rows[i] + [{"license": a, "containment": c, "n_windows": n, "first_word": f} for a, c, n, f in found]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:2], pa.array(rows, pa.list_(item))], names=b.schema.names)
+
+    return find
 
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, pass_words: int = PASS_WORDS) -> DataFrame:
+    """One row for each row of docs: doc_id, licenses (array of name, containment, n_windows, first_word), licensed.
+
+    Words are what stands between ASCII white space, A-Z lower-cased, shingles
+    have five of them (all words of a shorter template). Each template is looked
+    for in windows of as many words, an eighth of them apart; bands of one
+    MinHash each, so many that a window which holds the template at the wanted
+    containment is retrieved with a chance of GUARANTEE. A retrieved template is
+    a hit if one window near there has that share of its shingles exactly.
+    containment is the best found, first_word the word at which the first hit
+    begins. Any number of templates is taken: tasks get pass_words words of them
+    at a time, and the parts follow one another over each batch of texts. Null
+    and empty texts have none; ids may be of any type, null or repeat; other
+    columns are not read.
+    """
     fields = [("license", T.StringType()), ("containment", T.DoubleType()), ("n_windows", T.LongType()), ("first_word", T.LongType())]
-    schema = docs.select("doc_id").schema.add("licenses", T.ArrayType(T.StructType([T.StructField(*f) for f in fields])))
-    return docs.select("doc_id", "text").mapInArrow(tidy(find), schema).withColumn("licensed", F.size("licenses") > 0)
+    kind = T.ArrayType(T.StructType([T.StructField(*f) for f in fields]))
+    d = docs.select("doc_id", "text", F.array().cast(kind).alias("licenses"))
+    schema = T.StructType([*docs.select("doc_id", "text").schema.fields, T.StructField("licenses", kind)])
+    for part in _passes(TEMPLATES if templates is None else templates, pass_words):
+        d = d.mapInArrow(tidy(_finder(part, containment)), schema)
+    return d.select("doc_id", "licenses", (F.size("licenses") > 0).alias("licensed"))
