@@ -11,10 +11,10 @@ from .common import BROADCAST_ROWS, stored
 HUB = 10_000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
     """edges (u, v) with m, the least of u's neighbourhood from least (u, m, n), without dealing a hub's edges by u."""
-    hubs = least.where(F.col("n") > hub).select("u", "m")
-    if not 0 < hubs.count() <= BROADCAST_ROWS:
+    hubs = least.where(F.col("n") > hub).select("u", "m") if hub else None
+    if hubs is None or not 0 < hubs.count() <= BROADCAST_ROWS:
         return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(hubs)
     return edges.join(hubs, "u").union(edges.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
@@ -27,24 +27,27 @@ def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     half round is a partial aggregate and a join. Edges of nodes with more than
     `hub` of them are not dealt by that node: their nodes' part is broadcast
     (should there be more than BROADCAST_ROWS such nodes, they are joined like
-    the others, where AQE splits what is skewed). Each round is written to the
-    shared folder.
+    the others, where AQE splits what is skewed). As long as there are no more
+    than 100 * hub edges in all, one task could hold a hub's, and hubs are not
+    looked for. Each round is written to the shared folder.
     """
     e = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stored(e, "edges")
-    before = None
-    while True:
+    before, many = None, e.count()
+    while many:
+        big = many > 100 * hub
+        kept = (lambda df, name: stored(df, name)) if big else (lambda df, name: df)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        large = _with_least(both, least, hub).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = _with_least(large, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = _with_least(both, least, hub if big else None).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = kept(large.union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "large")
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = _with_least(large, least, hub if big else None).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
         e = stored(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, many = now, now[0]
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
