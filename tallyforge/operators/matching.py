@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def dedupe_first(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
@@ -25,29 +27,44 @@ def match_ladder(sales: DataFrame, drafts: DataFrame, ledger: DataFrame) -> Data
     return j.select(*sales.columns, F.coalesce("a.ref", "b.ref").alias("ref"), best["ask"].alias("ask"), tier.alias("matched_by"))
 
 
-def reconcile(local: DataFrame, remote: DataFrame, key: str, fields: list[str], protect: tuple[str, ...] = ("SOLD", "SHIPPED")) -> DataFrame:
-    """(kind, key, field, was, now): missing, orphan, protected, and for shared keys drift and blanked fields."""
-    a, b = (d.select(F.col(key).alias("key"), F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(n)) for d, n in ((local, "a"), (remote, "b")))
+def reconcile(
+    local: DataFrame, remote: DataFrame, key: str, fields: list[str], protect: tuple[str, ...] = ("SOLD", "SHIPPED"), prices: tuple[str, ...] = ("price",), tolerance: float = 0.005, live: tuple[str, ...] = ("PUBLISHED",)
+) -> DataFrame:
+    """(kind, key, field, was, now): what two ledgers tell differently.
+
+    missing: the remote row has no local one; orphan: a local row that was listed
+    has no remote one; never_listed: one that was not (no listing_id); unbacked:
+    the local row says it is live and the remote has none. For shared keys, each
+    field is drift, or blanked where only the remote is null. A status in
+    `protect` stays (protected), and so does the listing_id of such a row, unless
+    the remote is live again under another listing: then it was listed again and
+    both are drift. Prices that differ by less than the tolerance are equal.
+    """
+    has = "listing_id" in fields
+    a, b = (d.select(F.col(key).alias("key"), F.struct(*fields).alias(n)) for d, n in ((local, "a"), (remote, "b")))
     j = a.join(b, "key", "full")
-    lone = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "orphan")
+    lost = F.when(F.col("a.status").isin(*live), "unbacked").when(F.col("a.listing_id").isNull() if has else F.lit(False), "never_listed").otherwise("orphan")
+    lone = F.when(F.col("a").isNull(), F.lit("missing")).when(F.col("b").isNull(), lost)
     none = F.lit(None).cast("string")
     rows = [F.when(lone.isNotNull(), F.struct(lone.alias("kind"), none.alias("field"), none.alias("was"), none.alias("now")))]
-    kept = F.col("a.status").isin(*protect)
+    again = F.col("b.status").isin(*live) & (~F.col("a.listing_id").eqNullSafe(F.col("b.listing_id")) & F.col("b.listing_id").isNotNull() if has else F.lit(True))
+    kept = F.col("a.status").isin(*protect) & ~again
     for f in fields:
         was, now = F.col(f"a.{f}"), F.col(f"b.{f}")
-        kind = F.when(lone.isNotNull(), None).when(now.isNull() & was.isNotNull(), "blanked").when(was.eqNullSafe(now), None).when(kept & (F.lit(f) == "status"), "protected").otherwise("drift")
-        rows.append(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.lit(f).alias("field"), was.alias("was"), now.alias("now"))))
+        same = was.eqNullSafe(now) | (F.coalesce(F.abs(was - now) < tolerance, F.lit(False)) if f in prices else F.lit(False))
+        kind = F.when(lone.isNotNull(), None).when(now.isNull() & was.isNotNull(), "blanked").when(same, None).when(kept & F.lit(f in ("status", "listing_id")), "protected").otherwise("drift")
+        rows.append(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.lit(f).alias("field"), was.cast("string").alias("was"), now.cast("string").alias("now"))))
     return j.select("key", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.kind", "key", "r.field", "r.was", "r.now")
 
 
 def nearest_bucket(items: DataFrame, buckets: DataFrame, path: str) -> DataFrame:
-    """items with the deepest ancestor of their path that is among buckets (bucket), null if none: prefixes are joined by equality."""
+    """items with the deepest ancestor of their path that is among buckets (bucket), null if none: prefixes of the distinct paths are joined by equality."""
     parts = F.split(path, "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    d = items.withColumn("_id", F.monotonically_increasing_id())
-    found = d.select("_id", F.explode(up).alias("bucket")).join(buckets.select("bucket").distinct(), "bucket")
-    found = found.groupBy("_id").agg(F.max_by("bucket", F.length("bucket")).alias("bucket"))
-    return d.join(found, "_id", "left").drop("_id")
+    paths = items.select(path).where(F.col(path).isNotNull()).distinct()
+    found = paths.select(F.col(path).alias("of_path"), F.explode(up).alias("bucket")).join(buckets.select("bucket").distinct(), "bucket")
+    found = found.groupBy("of_path").agg(F.max_by("bucket", F.length("bucket")).alias("bucket"))
+    return items.join(found, F.col(path) == F.col("of_path"), "left").drop("of_path")
 
 
 def last_change(listings: DataFrame, log: DataFrame, key: str, start: str) -> DataFrame:
@@ -58,9 +75,9 @@ def last_change(listings: DataFrame, log: DataFrame, key: str, start: str) -> Da
     return j.withColumns({"last": last, "source": F.when(last.isNull(), None).when(F.coalesce(F.col("logged") >= F.col(start), F.col(start).isNull()), "log").otherwise("start")}).drop("logged")
 
 
-def active_hold(listings: DataFrame, holds: DataFrame, key: str, today: Column) -> DataFrame:
+def active_hold(listings: DataFrame, holds: DataFrame, key: str, today: Column, reason: str = "reason") -> DataFrame:
     live = holds.where(F.col("until").isNull() | (F.col("until") >= today))
-    return listings.join(dedupe_first(live, [key], ["until", "reason"]).select(key, "reason"), key, "left")
+    return listings.join(dedupe_first(live, [key], ["until", reason]).select(key, reason), key, "left")
 
 
 def overlaps(windows: DataFrame, by: str, bucket_seconds: int = 3600) -> DataFrame:
@@ -104,17 +121,23 @@ def select_oldest(df: DataFrame, rules: list[tuple[Column, str]], date: str, key
     return d.where("reason is null").drop("reason").orderBy(F.asc_nulls_last(date), key).limit(limit), d.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def flatten_tree(nodes: DataFrame, levels: int = 32) -> DataFrame:
-    """(id, path 'A > B > C') of nodes (id, parent, name): one equality join for each level; the loop ends at the deepest,
-    and a tree with more than `levels` levels below its roots raises ValueError."""
-    done = nodes.where("parent is null").select("id", F.col("name").alias("path"))
-    out, level = done, done
-    for _ in range(levels):
-        level = nodes.join(level.select(F.col("id").alias("parent"), "path"), "parent").select("id", F.concat_ws(" > ", "path", "name").alias("path"))
-        if level.isEmpty():
-            return out
-        out = out.union(level)
-    below = nodes.join(level.select(F.col("id").alias("parent")), "parent")
-    if not below.isEmpty():
-        raise ValueError(f"the tree has nodes deeper than {levels} levels")
-    return out
+def flatten_tree(nodes: DataFrame) -> DataFrame:
+    """(id, path 'A > B > C') of nodes (id, parent, name), however deep the tree is.
+
+    Paths are doubled: each round joins every open piece of a path with the piece
+    that ends where it begins, so a tree of n levels takes log2(n) rounds of
+    equality joins. Nodes of a cycle, or below a parent that is not there, raise
+    ValueError.
+    """
+    piece = nodes.select("id", F.col("parent").alias("above"), F.col("name").alias("path"))
+    total, before = piece.count(), None
+    while True:
+        n = piece.where("above is not null").count()
+        if n == 0:
+            return piece.select("id", "path")
+        if n == before:
+            raise ValueError(f"{n} of {total} nodes lead to no root")
+        before = n
+        upper = piece.select(F.col("id").alias("up"), F.col("above").alias("above_up"), F.col("path").alias("path_up"))
+        j = piece.join(upper, F.col("above") == F.col("up"), "left")
+        piece = checkpointed(j.select("id", F.when(F.col("up").isNull(), F.col("above")).otherwise(F.col("above_up")).alias("above"), F.concat_ws(" > ", "path_up", "path").alias("path")))

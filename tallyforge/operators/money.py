@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import Money, Wide
+from ..functions.scalars import Money, Wide, share_in_cents
 
 
 def allocate(lines: DataFrame, on: list[str], total: str, weight: str, field: str, order: list[str], absence_is_zero: bool = False) -> DataFrame:
@@ -17,7 +17,7 @@ def allocate(lines: DataFrame, on: list[str], total: str, weight: str, field: st
     w = Window.partitionBy(*on)
     t, x = F.abs(F.col(total)).cast(Wide), F.col(weight).cast(Wide)
     n, s = F.count("*").over(w).cast(Wide), F.sum(x).over(w)
-    share = F.bround(F.when(s > 0, t * x / s).otherwise(t / n), 2).cast(Money)
+    share = F.when(s > 0, share_in_cents(t, x, s)).otherwise(share_in_cents(t, F.lit(1), n))
     d = lines.withColumn("_share", share).withColumn("_last", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) == 1)
     rest = F.abs(F.col(total)).cast(Money) - F.sum("_share").over(w) + F.col("_share")
     out = F.when(F.col(total).isNull(), F.lit(0 if absence_is_zero else None).cast(Money)).when(F.col("_last"), rest).otherwise(F.col("_share"))
@@ -40,14 +40,13 @@ def flatten_orders(lines: DataFrame, order_id: str = "order_id") -> tuple[DataFr
     order. Cancelled orders are out; so are refunded ones whose due is zero or
     less, or, due being unknown, whose refund is 95 % of the order or more.
     """
-    w = Window.partitionBy(order_id)
-    value = (F.col("item_price") + F.col("buyer_shipping")).cast(Wide)
-    basis = F.sum(value).over(w)
-    basis = F.when(basis == 0, 1).otherwise(basis).cast(Wide)
-    gone = F.when(F.col("due").isNotNull(), F.col("due") <= 0).otherwise(F.col("refunded") >= basis * F.lit("0.95").cast("decimal(4,2)"))
-    why = F.when(F.col("cancelled"), "cancelled").when((F.col("refunded") > 0) & gone, "refunded")
-    d = lines.withColumns({"_share": (value / basis).cast("decimal(38,18)"), "_value": value, "reason": why})
-    part = lambda c: F.bround((F.col(c).cast("decimal(18,2)") * F.col("_share")).cast("decimal(38,12)"), 2).cast(Money)
+    value = (F.col("item_price") + F.col("buyer_shipping")).cast(Money)
+    # An order's figures are added up and joined, so wide rows are not sorted by order.
+    orders = lines.groupBy(order_id).agg(F.sum(value).cast(Money).alias("_basis"))
+    d = lines.join(orders, order_id).withColumns({"_value": value, "_basis": F.when(F.col("_basis") == 0, 1).otherwise(F.col("_basis")).cast(Money)})
+    gone = F.when(F.col("due").isNotNull(), F.col("due") <= 0).otherwise(F.col("refunded") >= F.col("_basis") * F.lit("0.95").cast("decimal(4,2)"))
+    d = d.withColumn("reason", F.when(F.col("cancelled"), "cancelled").when((F.col("refunded") > 0) & gone, "refunded"))
+    part = lambda c: share_in_cents(F.col(c), F.col("_value"), F.col("_basis"))
     sale = d.where("reason is null").withColumns({"ebay_fee": part("fee_total"), "refund": part("refunded")})
     net = F.when(F.col("due").isNotNull(), part("due")).otherwise(F.col("_value") - F.col("refund") - F.col("ebay_fee"))
     keep = [c for c in lines.columns if c not in ("fee_total", "refunded", "due", "cancelled")]

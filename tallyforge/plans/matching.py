@@ -112,10 +112,11 @@ ORACLE = {
         "j2_match_ladder": """WITH p AS (SELECT * FROM {local}), f AS (SELECT * FROM p WHERE status = 'DRAFTED') SELECT s.sku, s.listing_id, CASE WHEN a.sku IS NOT NULL THEN 'dir' || a.sku WHEN b.sku IS NOT NULL THEN 'dir' || b.sku END AS ref,
           coalesce(a.price, b.price, c.price, e.price) AS ask, CASE WHEN a.sku IS NOT NULL THEN 'sku' WHEN b.sku IS NOT NULL THEN 'listing_id' WHEN c.sku IS NOT NULL THEN 'ledger-sku' WHEN e.sku IS NOT NULL THEN 'ledger-listing' ELSE 'unmatched' END AS matched_by
           FROM {remote} s LEFT JOIN f a ON a.sku = s.sku LEFT JOIN f b ON b.listing_id = s.listing_id LEFT JOIN p c ON c.sku = s.sku LEFT JOIN p e ON e.listing_id = s.listing_id""",
-        "j5_reconcile": """WITH j AS (SELECT coalesce(a.sku, b.sku) AS key, a.sku AS x, b.sku AS y, a.status AS s1, b.status AS s2, CAST(a.price AS VARCHAR) AS p1, CAST(b.price AS VARCHAR) AS p2, CAST(a.listing_id AS VARCHAR) AS l1, CAST(b.listing_id AS VARCHAR) AS l2 FROM {local} a FULL JOIN {remote} b ON a.sku = b.sku),
-          f AS (SELECT key, s1, 'status' AS field, s1 AS was, s2 AS now FROM j WHERE x IS NOT NULL AND y IS NOT NULL UNION ALL SELECT key, s1, 'price', p1, p2 FROM j WHERE x IS NOT NULL AND y IS NOT NULL UNION ALL SELECT key, s1, 'listing_id', l1, l2 FROM j WHERE x IS NOT NULL AND y IS NOT NULL)
-          SELECT CASE WHEN now IS NULL THEN 'blanked' WHEN s1 IN ('SOLD', 'SHIPPED') AND field = 'status' THEN 'protected' ELSE 'drift' END AS kind, key, field, was, now FROM f WHERE was IS DISTINCT FROM now
-          UNION ALL SELECT CASE WHEN x IS NULL THEN 'missing' ELSE 'orphan' END, key, NULL, NULL, NULL FROM j WHERE x IS NULL OR y IS NULL""",
+        "j5_reconcile": """WITH j AS (SELECT coalesce(a.sku, b.sku) AS key, a.sku AS x, b.sku AS y, a.status AS s1, b.status AS s2, a.listing_id AS i1, b.listing_id AS i2, CAST(a.price AS VARCHAR) AS p1, CAST(b.price AS VARCHAR) AS p2, CAST(a.listing_id AS VARCHAR) AS l1, CAST(b.listing_id AS VARCHAR) AS l2 FROM {local} a FULL JOIN {remote} b ON a.sku = b.sku),
+          k AS (SELECT *, s1 IN ('SOLD', 'SHIPPED') AND NOT (s2 = 'PUBLISHED' AND i2 IS NOT NULL AND i1 IS DISTINCT FROM i2) AS kept FROM j WHERE x IS NOT NULL AND y IS NOT NULL),
+          f AS (SELECT key, kept, 'status' AS field, s1 AS was, s2 AS now FROM k UNION ALL SELECT key, kept, 'price', p1, p2 FROM k UNION ALL SELECT key, kept, 'listing_id', l1, l2 FROM k)
+          SELECT CASE WHEN now IS NULL THEN 'blanked' WHEN kept AND field <> 'price' THEN 'protected' ELSE 'drift' END AS kind, key, field, was, now FROM f WHERE was IS DISTINCT FROM now
+          UNION ALL SELECT CASE WHEN x IS NULL THEN 'missing' WHEN s1 = 'PUBLISHED' THEN 'unbacked' WHEN i1 IS NULL THEN 'never_listed' ELSE 'orphan' END, key, NULL, NULL, NULL FROM j WHERE x IS NULL OR y IS NULL""",
         "j6_nearest_bucket": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/$', '') AS path FROM pages), b AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS bucket FROM p WHERE page_id % 3 = 0 UNION SELECT split_part(path, '/', 1) FROM p),
           m AS (SELECT page_id, bucket, row_number() OVER (PARTITION BY page_id ORDER BY length(bucket) DESC) AS r FROM p JOIN b ON p.path = b.bucket OR starts_with(p.path, b.bucket || '/')) SELECT p.page_id, path, bucket FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1""",
         "j8_last_change": """WITH l AS (SELECT p_partkey AS sku, CASE WHEN p_size % 7 <> 0 THEN DATE '1997-01-01' + p_size * 20 END AS start FROM part), g AS (SELECT l_partkey AS sku, max(CAST(l_shipdate AS DATE)) AS logged FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)

@@ -71,6 +71,10 @@ ORACLE = {
     k: with_views(v)
     for k, v in {
         "w3_running_key": "SELECT order_id, line, pos, row_number() OVER (PARTITION BY order_id, line ORDER BY pos) AS n FROM {lines}",
+        "w1_allocate": """WITH n AS (SELECT order_id, pos, item_price, CASE WHEN order_id % 5 <> 0 THEN CAST(round(CAST((order_id % 1000 + 1) / 7 AS DOUBLE), 2) AS DECIMAL(18,2)) END AS total FROM {lines}),
+          c AS (SELECT *, CAST(total * 100 AS HUGEINT) * CAST(item_price * 100 AS HUGEINT) AS top, CAST(sum(item_price) OVER (PARTITION BY order_id) * 100 AS HUGEINT) AS s, row_number() OVER (PARTITION BY order_id ORDER BY pos DESC) AS r FROM n),
+          q AS (SELECT *, top // s AS q, top % s AS m FROM c), e AS (SELECT *, q + CASE WHEN 2 * m > s OR (2 * m = s AND q % 2 = 1) THEN 1 ELSE 0 END AS cents FROM q)
+          SELECT order_id, pos, total, CAST(CASE WHEN r = 1 THEN total * 100 - sum(cents) OVER (PARTITION BY order_id) + cents ELSE cents END AS DECIMAL(18,2)) / 100 AS share FROM e""",
         "w2_split_even": "WITH n AS (SELECT order_id, pos, count(*) OVER (PARTITION BY order_id) AS c, row_number() OVER (PARTITION BY order_id ORDER BY pos DESC) AS r FROM {lines}), s AS (SELECT *, CAST(round_even(10.0 / c, 2) AS DECIMAL(18,2)) AS e FROM n) SELECT order_id, pos, CASE WHEN r = 1 THEN CAST(10 - e * (c - 1) AS DECIMAL(18,2)) ELSE e END AS share FROM s",
         "a11_fees_by_order": f"WITH {_F}, {_AD} SELECT * FROM a",
         "a11_fees_by_sku": f"WITH {_F} SELECT sku, sum(amount) AS fee FROM f GROUP BY 1",

@@ -43,6 +43,14 @@ VIEWS = {
         SELECT p_partkey AS sku, CASE WHEN p_size % 4 = 0 THEN 'UNPUBLISHED' ELSE 'PUBLISHED' END AS status, p_name AS title,
           CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE CAST(p_retailprice + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) END AS price, p_partkey * 7 AS listing_id
         FROM {part} WHERE p_partkey % 19 <> 0""",
+    "stock": """
+        SELECT p_partkey AS sku, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS store, p_name || CASE p_partkey % 9 WHEN 0 THEN ' 14k gold ring' WHEN 1 THEN ' sterling spoon' ELSE '' END AS title, price,
+          CASE WHEN p_size % 7 <> 0 THEN DATE '1997-01-01' + CAST(p_size * 10 AS INT) END AS start, CASE WHEN p_size % 11 = 0 THEN 'Auction' ELSE 'FixedPriceItem' END AS kind, p_partkey % 97 = 0 AS named_hold,
+          CASE WHEN p_partkey % 29 = 0 THEN 'hold ' || CAST(p_size AS VARCHAR(9)) END AS held, CASE WHEN p_partkey % 58 = 0 THEN DATE '1998-05-01' + CAST(p_size AS INT) END AS until,
+          CASE WHEN p_size % 13 <> 0 THEN CAST(price * CAST(0.62 AS DECIMAL(4,2)) AS DECIMAL(18,2)) END AS recommended, CASE WHEN p_size % 3 = 0 THEN CAST(price * CAST(0.88 AS DECIMAL(4,2)) AS DECIMAL(18,2)) END AS conservative,
+          DATE '1998-06-01' - CAST(p_partkey % 20 AS INT) AS priced_on, p_partkey % 37 <> 0 AS floors_read, CASE WHEN p_partkey % 3 = 0 THEN CAST(price * CAST(0.80 AS DECIMAL(4,2)) AS DECIMAL(18,2)) END AS decline,
+          CASE WHEN p_partkey % 4 = 0 THEN CAST(price * CAST(0.86 AS DECIMAL(4,2)) AS DECIMAL(18,2)) END AS cost, CASE WHEN p_partkey % 10 = 0 THEN CAST(price * CAST(0.90 AS DECIMAL(4,2)) AS DECIMAL(18,2)) END AS consign_floor, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DECIMAL(18,4)) END AS weight
+        FROM (SELECT *, CAST(floor(p_retailprice / (p_partkey % 40 + 1) * 100) / 100 AS DECIMAL(18,2)) AS price FROM {part}) p""",
     "calls": """
         SELECT event_id, ts, user_id AS session, event_type AS kind, value FROM {events}""",
 }
