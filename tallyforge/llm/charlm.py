@@ -103,10 +103,10 @@ def count_keys(docs: DataFrame, classes: dict[str, Column], text_col: str = "tex
                     d[f"c_{n}"] = np.bincount(code[f[own]], minlength=len(uniques))
                 found.append(pd.DataFrame(d))
                 held += len(uniques)
-                if held > 300_000:
+                if held > 200_000:
                     found = [_merged(found)]
                     held = len(found[0])
-                    if held > 200_000:
+                    if held > 120_000:
                         yield out(found[0])
                         found, held = [], 0
         if found:

@@ -115,6 +115,7 @@ def score(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_ROWS) -> D
     z = F.lit(float(w[2]))
     for i, c in enumerate(_features()):
         z = z + float(w[i]) * c
-    s = score_documents(d.withColumn("tid", text_hash()), ratios.select("key", F.col("r").alias("value")), _likelihoods, NAMES, ["doc_id", "tid"], table_rows)
+    # Stored, so that whole texts go to Python in small batches whoever reads the result.
+    s = stored(score_documents(d.withColumn("tid", text_hash()), ratios.select("key", F.col("r").alias("value")), _likelihoods, NAMES, ["doc_id", "tid"], table_rows), "likelihoods")
     s = s.withColumn("score", 1 / (1 + F.exp(-z)))
     return s.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), *NAMES, "tid")
