@@ -19,7 +19,7 @@ PREFIX = 15
 MAP_ROWS = 4_000_000
 MAP_BITS = 26
 #: Suffixes of one prefix up to which one task compares them; those of a more frequent one are compared by partial aggregation.
-HOT_ROWS = 1000
+HOT_ROWS = 10_000
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
