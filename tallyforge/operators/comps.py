@@ -16,6 +16,19 @@ def _null_if(cond: Column, reason: str) -> Column:
     return F.when(cond, F.lit(reason))
 
 
+#: Rows up to which figures by key are broadcast.
+SMALL = 500_000
+
+
+def _with_keys(d: DataFrame, figures: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
+    """d with the figures of its keys (null keys too), broadcast if they are few."""
+    f = figures.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & d[k].eqNullSafe(f[f"_k_{k}"])
+    return d.join(F.broadcast(f) if f.count() <= SMALL else f, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def annotate_comps(comps: DataFrame, unit: str = "single", tokens: tuple[str, ...] = (), condition: str | None = None, pool_thin: bool = True, keys: tuple[str, ...] = ("query",)) -> DataFrame:
     """comps with cohort and drop_reason: the first filter that a row fails, null if it is kept.
 
@@ -36,8 +49,10 @@ def annotate_comps(comps: DataFrame, unit: str = "single", tokens: tuple[str, ..
     if target == "any":
         cond = F.lit(None).cast("string")
     else:
-        near = F.count(F.when(F.col("_early").isNull() & (F.col("cohort") == target), 1)).over(Window.partitionBy(*keys))
-        pooled = (near < THIN) & F.lit(pool_thin and target == "used")
+        # Counts by key are added up and joined, so no task sorts all comps of a key.
+        near = d.groupBy(*keys).agg(F.count(F.when(F.col("_early").isNull() & (F.col("cohort") == target), 1)).alias("_near"))
+        d = _with_keys(d, near, keys)
+        pooled = (F.col("_near") < THIN) & F.lit(pool_thin and target == "used")
         cond = _null_if((F.col("cohort") != target) & ~(pooled & (F.col("cohort") == "unknown")), f"condition_cohort:{target}")
     out = F.coalesce(
         "_early",
@@ -46,7 +61,7 @@ def annotate_comps(comps: DataFrame, unit: str = "single", tokens: tuple[str, ..
         _null_if(F.lower(F.coalesce("listing_type", F.lit(""))).contains("auction") & (F.col("bids_count") <= 1), "exclusions:single-bid auction"),
         _null_if(F.col("seller_feedback_score") < LEAST_FEEDBACK, "exclusions:seller feedback"),
     )
-    return d.withColumn("drop_reason", out).drop("_early")
+    return d.withColumn("drop_reason", out).drop("_early", "_near")
 
 
 def filter_log(annotated: DataFrame) -> DataFrame:
@@ -55,16 +70,16 @@ def filter_log(annotated: DataFrame) -> DataFrame:
     return annotated.where("drop_reason is not null").groupBy(name.alias("filter")).agg(F.count("*").alias("removed"))
 
 
-def distribution(kept: DataFrame, keys: list[str], price: str = "price", digits: int = 2, exact: bool = True) -> DataFrame:
-    """keys, n, min, max, median, p25, p75, iqr, dispersion, fences; linear interpolation, approximate if not exact."""
+def distribution(kept: DataFrame, keys: list[str], price: str = "price", digits: int = 2, exact: bool = True, ceiling: str | None = None) -> DataFrame:
+    """keys, n, min, max, median, p25, p75, iqr, dispersion, fences; linear interpolation, approximate if not exact. ceiling: a column whose maximum is added."""
     p = F.percentile(price, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.9))) if exact else F.percentile_approx(price, [0.25, 0.5, 0.75, 0.9], 10000)
-    g = kept.groupBy(*keys).agg(F.count(price).alias("n"), F.min(price).alias("lo"), F.max(price).alias("hi"), p.alias("p"))
+    g = kept.groupBy(*keys).agg(F.count(price).alias("n"), F.min(price).alias("lo"), F.max(price).alias("hi"), p.alias("p"), *([F.max(ceiling).alias("ceiling")] if ceiling else []))
     q1, med, q3, p90 = (F.col("p")[i] for i in range(4))
     r = lambda c, n: F.round(c, digits).alias(n)
     iqr = q3 - q1
     return g.select(
         *keys, "n", r(F.col("lo"), "min"), r(F.col("hi"), "max"), r(med, "median"), r(q1, "p25"), r(q3, "p75"), r(p90, "p90"), r(iqr, "iqr"),
-        F.round(iqr / F.nullif(med, F.lit(0.0)), 3).alias("dispersion"), r(q1 - 1.5 * iqr, "fence_low"), r(q3 + 1.5 * iqr, "fence_high"),
+        F.round(iqr / F.nullif(med, F.lit(0.0)), 3).alias("dispersion"), r(q1 - 1.5 * iqr, "fence_low"), r(q3 + 1.5 * iqr, "fence_high"), *(["ceiling"] if ceiling else []),
     )
 
 
@@ -79,12 +94,12 @@ def price_tiers(annotated: DataFrame, keys: list[str], run: str = "run", price:
     there is no best match; the ceiling is over the price-high run, if any. A
     ceiling of more than 2.5 medians needs vetting. Thin sets have no tiers.
     """
-    w = Window.partitionBy(*keys)
-    d = annotated.withColumns({"_bm": F.max((F.col(run) == "best_match").cast("int")).over(w), "_ph": F.max((F.col(run) == "price_high").cast("int")).over(w)})
-    rep = d.where((F.col("_bm") == 0) | (F.col(run) == "best_match")).where("drop_reason is null")
-    top = d.where((F.col("_ph") == 0) | (F.col(run) == "price_high")).where("drop_reason is null").groupBy(*keys).agg(F.max(price).alias("ceiling"))
-    dist = distribution(rep, keys, price, 4)
-    j = dist.join(top, keys, "left")
+    # Which runs a key has is added up and joined: annotated is read twice, as columns of a few bytes, and not sorted.
+    best, top = F.col(run) == "best_match", F.col(run) == "price_high"
+    runs = annotated.groupBy(*keys).agg(F.max(best).alias("_bm"), F.max(top).alias("_ph"))
+    kept = _with_keys(annotated.where("drop_reason is null").select(*keys, run, price), runs, keys)
+    in_rep, in_top = ~F.coalesce("_bm", F.lit(False)) | best, ~F.coalesce("_ph", F.lit(False)) | top
+    j = distribution(kept.withColumn("_rep", F.when(in_rep, F.col(price))).withColumn("_top", F.when(in_top, F.col(price))), keys, "_rep", 4, ceiling="_top").where("n > 0")
     thin = F.col("n") < THIN
     high = F.coalesce("ceiling", "p90")
     tier = lambda c, n: F.when(~thin, S.whole_dollar(c)).alias(n)

@@ -9,6 +9,7 @@ from ..functions.scalars import Money
 from ..operators import audit as A
 from ..operators import buckets as B
 from ..operators import campaigns as C
+from ..operators import consignment as N
 from ..operators import copy as Y
 from ..operators import markdown as M
 from ..operators import matching as J
@@ -195,7 +196,53 @@ def f_scalars(spark, d):
     )
 
 
+def r1(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey is not null")
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    off = k % 8 == 5
+    rows = o.select(
+        k.alias("item"), F.when(k % 19 == 0, "EXCLUDED").when(k % 17 == 0, "HOLD").when(k % 13 == 0, "PREP").otherwise("INTAKE").alias("state"), F.when(k % 3 != 0, F.concat(F.lit("f"), k)).alias("folder"), ((k % 6 == 1) & (k % 3 != 0)).alias("drafted"),
+        F.when(k % 2 == 0, k).alias("sku"), F.when(k % 5 != 0, k * 7).alias("listing_id"), F.when(k % 23 == 0, F.concat(F.lit("o"), k)).alias("order_id"), F.when(off, "mall").alias("channel"), F.when(off & (k % 16 == 5), day).alias("placed_at"),
+        F.when(off & (k % 3 == 0), day).alias("sold_at"), (k % 7 != 0).alias("complete"), F.when(k % 4 == 1, day).alias("funds_received"), F.when(k % 29 == 0, day).alias("paid_on"), F.col("o_totalprice").cast(Money).alias("ask"), F.when(k % 9 == 0, F.col("o_totalprice") + 1).cast(Money).alias("floor"),
+    )
+    listings = o.where("o_orderkey % 4 <> 3").select(k.alias("sku"), (k * 7).alias("listing_id"), F.when(k % 10 == 0, "ENDED").otherwise("PUBLISHED").alias("status"), F.col("o_totalprice").cast(Money).alias("price"), F.date_sub(day, 100).alias("published_at"))
+    sales = o.where("o_orderkey % 2 = 0 or o_orderkey % 11 = 0").select(F.concat(F.lit("o"), k).alias("order_id"), k.alias("sku"), (k * 7).alias("listing_id"), F.concat(F.lit("f"), k).alias("folder"), day.alias("sold_at"), F.when(k % 6 != 0, F.date_add(day, 20)).alias("delivered_at"), F.col("o_totalprice").cast(Money).alias("price"), (k % 9 != 2).alias("complete"))
+    more = o.where("o_orderkey % 12 = 0").select(F.concat(F.lit("p"), k).alias("order_id"), k.alias("sku"), (k * 7).alias("listing_id"), F.lit(None).cast("string").alias("folder"), F.date_sub(day, 5).alias("sold_at"), F.lit(None).cast("date").alias("delivered_at"), F.lit(1).cast(Money).alias("price"), F.lit(True).alias("complete"))
+    return N.consignment_state(rows, listings, sales.union(more), F.lit("1998-08-01").cast("date"))
+
+
+def a20(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast(Money)
+    half = (price * F.lit("0.5").cast("decimal(2,1)")).cast(Money)
+    state = F.when(k % 11 == 0, "EXCLUDED").when(k % 13 == 0, "RETURNED").when(k % 3 == 0, "SETTLED").when(k % 3 == 1, "CLEARED").otherwise("LISTED")
+    rows = o.select(F.col("o_custkey").alias("client"), k.alias("item"), state.alias("state"), F.to_date("o_orderdate").alias("cleared_on"), half.alias("share"), F.when(k % 2 == 0, F.lit("5.00")).cast(Money).alias("buyout"), F.when(k % 3 == 0, F.to_date("o_orderdate")).alias("paid_on"), F.when(k % 5 == 0, half - 1).otherwise(half).cast(Money).alias("paid_share"), (k % 17 == 0).alias("mate"))
+    terms = table(spark, d, "customer").select(F.col("c_custkey").alias("client"), F.when(F.col("c_custkey") % 2 == 0, F.lit(200000)).cast(Money).alias("min_payout"))
+    return N.settle(rows, F.lit("1997-01-01").cast("date"), terms, o.where("o_orderkey % 7 <> 0").select(k.alias("item")), o.where("o_orderkey % 19 = 0").select(k.alias("item")), o.where("o_orderkey % 15 = 0").select(k.alias("item"), F.lit("1.00").cast(Money).alias("amount")))
+
+
+def a25(spark, d):
+    p = table(spark, d, "part")
+    listings = p.where("p_partkey % 6 <> 0").select(F.concat_ws("/", F.lower("p_type"), F.lower("p_brand"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 5 != 0, "ENDED").alias("status"), (F.col("p_size") > 40).alias("published"), (F.col("p_size") > 20).alias("synced"))
+    sales = bind(spark, d, "sales").where("part % 97 = 0").select(F.concat_ws("/", F.lower("kind"), F.lower("brand"), F.lit("sold")).alias("path"), "gross", F.when(F.col("part") % 2 == 0, F.col("gross") - F.col("fee")).cast(Money).alias("net"))
+    items = p.select(F.concat_ws("/", F.lower("p_type"), F.lower("p_brand")).alias("bucket")).union(spark.range(1).select(F.lit("none/at/all")))
+    return N.lot_account(items, listings, sales)
+
+
+def a30(spark, d):
+    friction = table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return N.propose_fixes(friction, [("click", 1, "batch them", 0.5), ("view", 10, "cache it", 0.25), ("purchase", 10**12, "never", 1.0), ("signup", 1, "script it", 2.0)])
+
+
+def x7(spark, d):
+    e = bind(spark, d, "calls").withColumn("ts", F.col("ts").cast("timestamp"))
+    shows = e.groupBy(F.col("kind").alias("show")).agg(F.min("ts").alias("start"))
+    return X.show_holds(e.select(F.col("event_id").alias("order_id"), "ts"), shows.select("show", "start", (F.col("start") + F.expr("INTERVAL 8 HOURS")).alias("close")))
+
+
 QUERIES = {
+    "r1_consignment_state": r1, "a20_settlement": a20, "a25_lot_account": a25, "a30_proposals": a30, "x7_show_holds": x7,
     "m1_markdown_queue": m1, "k5_queue_place": k5_place, "k9_oldest_kept": k9_kept, "a13_campaign_totals": a13_totals, "a13_findings": a13_advise, "j14_promoted_excluded": j14, "a10_bucket_roi": a10, "j11_live_audit": j11, "j12_snapshot_drift": j12,
     "d1_duplicates": d1, "j2_fuzzy": j2_fuzzy, "s1_comp_runs": s1, "s2_sales": s2_sales, "s7_notes": s7, "s6_tiers": s6, "s15_inventory_sheet": s15, "p4_copy_lint": p4, "a17_photos": a17, "u3_exclude": u3, "w14_calibrate": w14, "v2_index_append": v2, "x3_days": x3_days, "a26_consensus": a26, "f_scalars": f_scalars,
 }
@@ -220,6 +267,26 @@ ORACLE = {
           x AS (SELECT *, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS reason FROM f), y AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY days DESC, sku) AS sr FROM x)
           SELECT sku, store, last, CAST(days AS INTEGER) AS days, status, reason, CASE WHEN status = 'PROPOSED' THEN CAST(new AS DECIMAL(18,2)) END AS new_price, CASE WHEN status = 'PROPOSED' THEN CAST(dec AS DECIMAL(18,2)) END AS new_decline, CASE WHEN status = 'PROPOSED' THEN CAST(ceil(round(melt, 4)) AS BIGINT) END AS melt,
             CASE WHEN status <> 'STALE_PRICE' THEN '' WHEN sr <= 10 THEN 'yes' ELSE 'no' END AS rerun, row_number() OVER (PARTITION BY status, store ORDER BY days DESC NULLS LAST, sku) AS place FROM y""",
+        "r1_consignment_state": """WITH b AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders),
+          r AS (SELECT k, day, price, CASE WHEN k % 19 = 0 THEN 'EXCLUDED' WHEN k % 17 = 0 THEN 'HOLD' WHEN k % 13 = 0 THEN 'PREP' ELSE 'INTAKE' END AS st, k % 3 <> 0 AS folder, k % 6 = 1 AS drafted, k % 2 = 0 AS sku, k % 5 <> 0 AS lid, CASE WHEN k % 23 = 0 THEN 'o' || k END AS tied, k % 8 = 5 AS off, k % 16 = 5 AS placed, k % 8 = 5 AND k % 3 = 0 AS by_hand, k % 7 <> 0 AS comp, k % 4 = 1 AS funds, k % 29 = 0 AS paid, CASE WHEN k % 9 = 0 THEN price + 1 END AS flr FROM b),
+          l AS (SELECT k, CASE WHEN k % 10 = 0 THEN 'ENDED' ELSE 'PUBLISHED' END AS ls, day - 100 AS live_since FROM b WHERE k % 4 <> 3),
+          s AS (SELECT k, 'o' || k AS oid, day AS sold, CASE WHEN k % 6 <> 0 THEN day + 20 END AS deliv, price AS sp, k % 9 <> 2 AS sc, true AS has_folder FROM b WHERE k % 2 = 0 OR k % 11 = 0 UNION ALL SELECT k, 'p' || k, day - 5, NULL, 1, true, false FROM b WHERE k % 12 = 0),
+          c AS (SELECT r.k, r.tied, s.*, row_number() OVER (PARTITION BY r.k ORDER BY (r.tied IS NULL OR r.tied = s.oid) DESC, s.sold DESC, s.oid DESC) AS n, count(*) OVER (PARTITION BY r.k) AS n_sales, bool_or(r.tied = s.oid) OVER (PARTITION BY r.k) AS there FROM r JOIN s ON s.k = r.k AND NOT r.off AND ((r.folder AND s.has_folder) OR r.sku OR r.lid)),
+          d AS (SELECT r.*, l.ls, l.live_since, c.oid, c.sold, c.deliv, c.sp, c.sc, coalesce(c.n_sales, 0) AS n_sales, r.tied IS NOT NULL AND NOT r.off AND NOT coalesce(c.there, false) AS vanished FROM r LEFT JOIN l ON l.k = r.k AND (r.sku OR r.lid) LEFT JOIN c ON c.k = r.k AND c.n = 1),
+          e AS (SELECT *, oid IS NOT NULL AND NOT vanished AS sale, coalesce(ls <> 'ENDED', false) OR (off AND placed) AS live, CASE WHEN by_hand AND comp AND funds THEN last_day(day) WHEN oid IS NOT NULL AND NOT vanished AND sc THEN greatest(sold + 40, deliv + 30) END AS en FROM d),
+          f AS (SELECT *, sale OR by_hand AS is_sold, CASE WHEN st = 'EXCLUDED' THEN st WHEN (sale OR by_hand) AND paid THEN 'SETTLED' WHEN (sale OR by_hand) AND en <= DATE '1998-08-01' THEN 'CLEARED' WHEN sale OR by_hand THEN 'SOLD' WHEN live AND st = 'HOLD' THEN 'HOLD' WHEN live THEN 'LISTED' WHEN st IN ('HOLD', 'PREP') THEN st WHEN drafted THEN 'DRAFTED' WHEN folder THEN 'SHOT' ELSE 'INTAKE' END AS now_is FROM e)
+          SELECT k AS item, now_is AS state, CASE WHEN sale AND st <> 'EXCLUDED' THEN oid ELSE tied END AS order_id, n_sales, CASE WHEN now_is = 'CLEARED' THEN en END AS cleared_on, CASE WHEN st = 'EXCLUDED' THEN '' ELSE concat_ws('; ', CASE WHEN vanished THEN 'sale is gone' END, CASE WHEN tied IS NULL AND NOT off AND n_sales > 1 THEN 'several sales' END,
+            CASE WHEN sale AND deliv IS NULL AND NOT paid THEN 'no delivery date' END, CASE WHEN by_hand AND NOT funds AND NOT paid THEN 'funds missing' END, CASE WHEN NOT is_sold AND ls = 'ENDED' THEN 'listing ended' END, CASE WHEN st = 'HOLD' AND live AND NOT is_sold THEN 'held but live' END, CASE WHEN now_is = 'LISTED' AND price < flr THEN 'ask below floor' END,
+            CASE WHEN is_sold AND CASE WHEN by_hand THEN price ELSE sp END < flr THEN 'sold below floor' END, CASE WHEN now_is = 'LISTED' AND DATE '1998-08-01' - CASE WHEN off THEN CASE WHEN placed THEN day END ELSE live_since END > 180 THEN 'listing window over' END) END AS flags FROM f""",
+        "a20_settlement": """WITH r AS (SELECT o_custkey AS client, o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'EXCLUDED' WHEN o_orderkey % 13 = 0 THEN 'RETURNED' WHEN o_orderkey % 3 = 0 THEN 'SETTLED' WHEN o_orderkey % 3 = 1 THEN 'CLEARED' ELSE 'LISTED' END AS st, CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.5 AS DECIMAL(18,2)) AS share FROM orders),
+          x AS (SELECT client, k, 'sale' AS kind, share AS amount FROM r WHERE st = 'CLEARED' AND k % 3 <> 0 AND k % 17 <> 0 AND day <= DATE '1997-01-01' AND k % 7 <> 0 AND k % 19 <> 0 UNION ALL SELECT client, k, 'buyout', 5 FROM r WHERE st = 'EXCLUDED' AND k % 3 <> 0 AND k % 2 = 0 AND k % 19 <> 0
+            UNION ALL SELECT client, k, 'adjustment', a FROM (SELECT client, k, CASE WHEN st = 'EXCLUDED' THEN CASE WHEN k % 2 = 0 THEN 5 ELSE 0 END WHEN st = 'RETURNED' THEN 0 ELSE share END - share + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END - CASE WHEN k % 15 = 0 THEN 1 ELSE 0 END AS a FROM r WHERE k % 3 = 0) WHERE a <> 0),
+          o AS (SELECT client, sum(amount) AS owed FROM x GROUP BY 1) SELECT client, k AS item, kind, CAST(amount AS DECIMAL(18,2)) AS amount FROM x JOIN o USING (client) WHERE kind = 'buyout' OR client % 2 <> 0 OR owed >= 200000""",
+        "a25_lot_account": """WITH i AS (SELECT DISTINCT lower(p_type) || '/' || lower(p_brand) AS bucket FROM part UNION ALL SELECT 'none/at/all'), l AS (SELECT lower(p_type) || '/' || lower(p_brand) AS bucket, max(CASE WHEN p_size > 40 AND p_size % 5 = 0 THEN 4 WHEN p_size > 40 THEN 3 WHEN p_size > 20 THEN 2 ELSE 1 END) AS lv FROM part WHERE p_partkey % 6 <> 0 GROUP BY 1),
+          s AS (SELECT lower(kind) || '/' || lower(brand) AS bucket, count(*) AS n, sum(gross) AS gross, CASE WHEN bool_and(part % 2 = 0) THEN sum(CAST(gross - fee AS DECIMAL(18,2))) END AS net FROM {sales} WHERE part % 97 = 0 GROUP BY 1)
+          SELECT i.bucket, CASE WHEN n > 0 THEN 'SOLD' WHEN lv IS NULL THEN 'NOT LISTED' ELSE ['DRAFT', 'QUEUED', 'ENDED', 'LIVE'][lv] END AS status, coalesce(n, 0) AS n_sales, gross, net FROM i LEFT JOIN l USING (bucket) LEFT JOIN s USING (bucket)""",
+        "a30_proposals": "WITH r(kind, least, proposal, minutes) AS (VALUES ('click', 1, 'batch them', 0.5), ('view', 10, 'cache it', 0.25), ('purchase', 1000000000000, 'never', 1.0), ('signup', 1, 'script it', 2.0)), f AS (SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1) SELECT kind, n, proposal, CAST(n * minutes AS DOUBLE) AS impact, row_number() OVER (ORDER BY n * minutes DESC, kind) AS rank FROM f JOIN r USING (kind) WHERE n >= least",
+        "x7_show_holds": """WITH s AS (SELECT kind AS "show", min(ts) AS start FROM {calls} GROUP BY 1), j AS (SELECT event_id AS order_id, "show", row_number() OVER (PARTITION BY event_id ORDER BY start, "show") AS n FROM {calls} c JOIN s ON c.ts >= s.start - INTERVAL 2 HOUR AND c.ts < s.start + INTERVAL 8 HOUR) SELECT order_id, "show" FROM j WHERE n = 1""",
         "k5_queue_place": "SELECT sku, status, sku % 3 AS store, sku % 90 AS days, CASE status WHEN 'PUBLISHED' THEN 1 WHEN 'DRAFTED' THEN 2 ELSE 3 END AS rank, row_number() OVER (PARTITION BY status, sku % 3 ORDER BY sku % 90 DESC, sku) AS place FROM {local}",
         "k9_oldest_kept": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice >= 1000 ORDER BY CAST(o_orderdate AS DATE), o_orderkey LIMIT 100",
         "a13_campaign_totals": f"WITH {CAMPAIGNS} SELECT campaign_id, impressions, clicks, sold, sales, ad_fees, listings, roas FROM t",

@@ -56,6 +56,53 @@ def sliding_rate(rows: DataFrame, hit: Column, length: str = "30 days", step: st
     return g.select(F.col("w.start").alias("start"), "n", "hits")
 
 
+def show_holds(orders: DataFrame, windows: DataFrame, margin: str = "2 hours") -> DataFrame:
+    """(order_id, show): orders of a stream or batch that fall in a show window or up to `margin` before it, the first window by start.
+
+    windows (show, start, close) are few and static: they go to every task as one
+    sorted array, so a stream needs neither a state nor a join.
+    """
+    w = windows.agg(F.sort_array(F.collect_list(F.struct("start", "show", "close"))).alias("w"))
+    j = orders.join(F.broadcast(w))
+    first = F.get(F.filter("w", lambda x: (F.col("ts") >= x["start"] - F.expr(f"INTERVAL {margin}")) & (F.col("ts") < x["close"])), F.lit(0))
+    return j.select("order_id", first["show"].alias("show")).where("show is not null")
+
+
+def lifecycle(events: DataFrame, key: str = "sku") -> DataFrame:
+    """(sku, status, breaks) of status events (sku, pos, status): the status after all events so far and how many numbers were out of turn.
+
+    A stream folds each key's events into one row of state, in the order of pos
+    inside a batch; a batch is folded by the same function. DRAFTED overwrites
+    nothing, SYNCED leaves PUBLISHED in place, all others overwrite.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def fold(status: str | None, last: int, breaks: int, rows: pd.DataFrame) -> tuple[str, int, int]:
+        for r in rows.sort_values("pos").itertuples():
+            breaks += int(r.pos != last + 1)
+            last = int(r.pos)
+            if status is None or not (r.status == "DRAFTED" or (r.status == "SYNCED" and status == "PUBLISHED")):
+                status = r.status
+        return status, last, breaks
+
+    def stateful(k, batches, state):
+        was = state.get if state.exists else (None, 0, 0)
+        now = fold(*was, pd.concat(batches))
+        state.update(now)
+        yield pd.DataFrame({"sku": [k[0]], "status": [now[0]], "breaks": [now[2]]})
+
+    d = events.select(F.col(key).alias("sku"), "pos", "status")
+    if events.isStreaming:
+        return d.groupBy("sku").applyInPandasWithState(stateful, f"sku {d.schema['sku'].dataType.simpleString()}, status string, breaks long", "status string, last long, breaks long", "update", GroupStateTimeout.NoTimeout)
+
+    def whole(k, rows: pd.DataFrame) -> pd.DataFrame:
+        now = fold(None, 0, 0, rows)
+        return pd.DataFrame({"sku": [k[0]], "status": [now[0]], "breaks": [now[2]]})
+
+    return d.groupBy("sku").applyInPandas(whole, f"sku {d.schema['sku'].dataType.simpleString()}, status string, breaks long")
+
+
 def price_levels(rows: DataFrame, key: str, price: str, accuracy: int = 10_000) -> DataFrame:
     """(key, n, p25, median, p75) as they stand, by mergeable sketches; for update or complete mode."""
     q = F.percentile_approx(price, [0.25, 0.5, 0.75], accuracy)

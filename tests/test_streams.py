@@ -78,6 +78,23 @@ def test_price_levels(spark, closed, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, X.price_levels(batch(spark, closed), "session", "value").collect()))
 
 
+def test_show_holds(spark, closed, tmp_path):
+    windows = spark.sql("SELECT 'a' AS show, timestamp_seconds(1700020000) AS start, timestamp_seconds(1700030000) AS close UNION ALL SELECT 'b', timestamp_seconds(1700025000), timestamp_seconds(1700050000)")
+    make = lambda s: X.show_holds(s.select(F.col("event_id").alias("order_id"), "ts"), windows, "1 hour")
+    want = make(batch(spark, closed)).collect()
+    assert {r.show for r in want} == {"a", "b"} and sorted(map(tuple, streamed(spark, closed, make, tmp_path))) == sorted(map(tuple, want))
+
+
+def test_lifecycle(spark, closed, tmp_path):
+    status = F.element_at(F.array(*map(F.lit, ["DRAFTED", "PUBLISHED", "SYNCED", "ENDED"])), (F.col("value") % 4 + 1).cast("int"))
+    make = lambda s: X.lifecycle(s.select(F.col("session").alias("sku"), F.col("event_id").alias("pos"), status.alias("status")))
+    want = {r.sku: (r.status, r.breaks) for r in make(batch(spark, closed)).collect()}
+    got = {}
+    for r in streamed(spark, closed, make, tmp_path, "update"):
+        got[r.sku] = max(got.get(r.sku, (r.breaks, "")), (r.breaks, r.status))
+    assert {k: (s, b) for k, (b, s) in got.items()} == want
+
+
 def test_upsert_sink(spark, tmp_path):
     folder = str(tmp_path / "table")
     write = X.upsert_to(folder, ["k"], optional=("b",))
