@@ -104,12 +104,12 @@ def score(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_ROWS) -> D
     # The rows that fit the weights: those of the FIT_ROWS least hashes, which alone go through one task.
     known = d.join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
     last = known.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
-    known = stored(known.where(F.col("h") <= F.lit(last).cast("long")).drop("h"), "known")
+    known = known.where(F.col("h") <= F.lit(last).cast("long"))
     f = [c.alias(f"f{i}") for i, c in enumerate(_features())]
     fit = []
     for mine, other in ((0, "2"), (2, "0")):
         seen = score_documents(known.where(F.col("part") == mine), ratios.select("key", F.col(f"r{other}").alias("value")), _likelihoods, NAMES, ["doc_id", "toxic"], table_rows)
-        fit.append(seen.select(*f, "toxic").toPandas())
+        fit.append(stored(seen.select(*f, "toxic"), "evidences").toPandas())
     fit = pd.concat(fit).sort_values(["f0", "f1", "toxic"])
     w = _fit(fit[["f0", "f1"]].to_numpy(float), fit["toxic"].to_numpy(float))
     z = F.lit(float(w[2]))
