@@ -423,11 +423,12 @@ def test_pipeline_matches_a_plain_chain(spark, tmp_path):
     passage, item = say(70), say(30)
     texts = [say(r.randint(60, 140)) for _ in range(40)]
     texts += [texts[0], texts[0].upper(), texts[1] + " more", *[f"{say(20)} {passage} {say(20)}" for _ in range(4)], f"{say(30)} {item} {say(9)}", None, "", passage]
-    texts += [f"{say(40)} zqxv kwzz zqxv {say(10)}" for _ in range(9)]
-    ids = [i % 50 for i in range(len(texts))]  # some ids stand on two texts
+    plain = len(texts)
+    texts += [f"{say(40)} zqxv kwzz zqxv {say(10)}" for _ in range(30)]
+    ids = [i % 45 if i < plain else 100 + i for i in range(len(texts))]  # some ids stand on two texts
     rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)] + [(0, texts[0], "en", "s", len(texts[0]))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    marks = [(i, 1, int("zqxv" in (t or ""))) for i, t in zip(ids, texts, strict=True) if i > 20]
+    marks = [(i, 1, int("zqxv" in (t or ""))) for i, t in zip(ids, texts, strict=True) if i > 5]
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
