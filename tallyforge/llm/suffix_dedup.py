@@ -20,6 +20,8 @@ MAP_ROWS = 4_000_000
 MAP_BITS = 26
 #: Suffixes of one prefix up to which one task compares them; those of a more frequent one are compared by partial aggregation.
 HOT_ROWS = 10_000
+#: Repeated windows of those up to which tasks get the least place of each (36 bytes); more are joined.
+LOOKUP_ROWS = 500_000
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -120,7 +122,65 @@ def _extended(docs: DataFrame, again: DataFrame, passage: int, prefix: int, hot_
     return of(False), of(True) if len(hot) else None
 
 
-def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, hot_rows: int = HOT_ROWS, map_rows: int = MAP_ROWS) -> DataFrame:
+FOUND = "uid long, tid long, start int, n int, first long, kept boolean"
+
+
+def _windows_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(hash, hash, row, uid, tid, start) of each window of extended suffixes."""
+    whs, vhs = (t.column(t.schema.names.index(c)) for c in ("whs", "vhs"))
+    (wh, offsets), (vh, _) = list_column(whs), list_column(vhs)
+    own = np.repeat(np.arange(t.num_rows), np.diff(offsets))
+    uid, tid, start = (np.asarray(t.column(t.schema.names.index(c)))[own] for c in ("uid", "tid", "start"))
+    return wh, vh, own, uid, tid, start.astype(np.int64) + np.arange(len(wh)) - offsets[:-1][own]
+
+
+def _runs(own: np.ndarray, uid: np.ndarray, tid: np.ndarray, start: np.ndarray, twice: np.ndarray, first: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+    """FOUND rows of the windows that are there twice; neighbours of one suffix and one kind are one run."""
+    cut = np.append(True, (own[1:] != own[:-1]) | (kept[1:] != kept[:-1]) | (twice[1:] != twice[:-1]))
+    runs = np.flatnonzero(cut)
+    n = np.diff(np.append(runs, len(own)))
+    least = np.minimum.reduceat(first, runs)
+    hit = twice[runs]
+    columns = [uid[runs][hit], tid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "tid", "start", "n", "first", "kept"])
+
+
+def _often(often: DataFrame, lookup_rows: int) -> DataFrame:
+    """FOUND rows of suffixes whose prefix is frequent: each window is held against its least place, which partial aggregation finds."""
+    often = stored(often.drop("key"), "often")
+    at = F.struct("uid", "tid", (F.col("start") + F.col("i")).alias("start")).alias("at")
+    windows = often.select("uid", "tid", "start", F.posexplode(F.arrays_zip("whs", "vhs")).alias("i", "h")).select("h.whs", "h.vhs", at)
+    least = windows.groupBy("whs", "vhs").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most")
+    least = stored(least.select("whs", "vhs", "least.uid", "least.tid", "least.start"), "least")
+    if least.count() > lookup_rows:
+        windows = windows.join(least.withColumnsRenamed({"uid": "u", "tid": "t", "start": "s"}), ["whs", "vhs"])
+        return windows.select("at.uid", "at.tid", "at.start", F.lit(1), "u", (F.col("at.uid") == F.col("u")) & (F.col("at.tid") == F.col("t")) & (F.col("at.start") == F.col("s")))
+    t = least.toArrow()
+    wh, vh = (np.asarray(t[c]).view(U64) for c in ("whs", "vhs"))
+    order = np.lexsort((vh, wh))
+    sent = often.sparkSession.sparkContext.broadcast((wh[order], vh[order], *(np.asarray(t[c])[order] for c in ("uid", "tid", "start"))))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, others, uids, tids, starts = sent.value
+        for b in batches:
+            wh, vh, own, uid, tid, start = _windows_of(b)
+            if not len(wh) or not len(keys):
+                continue
+            place = np.searchsorted(keys, wh)
+            while True:  # past windows that agree in the first hash only
+                inside = np.minimum(place, len(keys) - 1)
+                on = (place < len(keys)) & (keys[inside] == wh) & (others[inside] != vh)
+                if not on.any():
+                    break
+                place = place + on
+            twice = (place < len(keys)) & (keys[inside] == wh)
+            kept = twice & (uids[inside] == uid) & (tids[inside] == tid) & (starts[inside] == start)
+            yield _runs(own, uid, tid, start, twice, uids[inside], kept)
+
+    return often.mapInArrow(tidy(look_up), FOUND)
+
+
+def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, hot_rows: int = HOT_ROWS, map_rows: int = MAP_ROWS, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
     """(uid, tid, start, n, first, kept): n windows of `passage` words, the first at start, that stand at two or more places of docs (uid, tid, text).
 
     Suffixes are retained at minimiser positions only, and first sorted by
@@ -140,12 +200,7 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key"]):
-            wh, offsets = list_column(t["whs"])
-            vh, _ = list_column(t["vhs"])
-            size = np.diff(offsets)
-            own = np.repeat(np.arange(t.num_rows), size)
-            uid, tid = np.asarray(t["uid"])[own], np.asarray(t["tid"])[own]
-            start = np.asarray(t["start"]).astype(np.int64)[own] + np.arange(len(wh)) - offsets[:-1][own]
+            wh, vh, own, uid, tid, start = _windows_of(t)
             order = np.lexsort((start, tid, uid, vh, wh))
             w, v, u, x, s = wh[order], vh[order], uid[order], tid[order], start[order]
             new = np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]))
@@ -154,23 +209,10 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
             many = np.bincount(head, other, len(w))[head] > 0
             twice, first, kept = np.zeros(len(w), bool), np.zeros(len(w), np.int64), np.zeros(len(w), bool)
             twice[order], first[order], kept[order] = many, u[head], (u == u[head]) & (x == x[head]) & (s == s[head])
-            # Back in the suffixes' own order, neighbouring windows of one kind are one run.
-            cut = np.append(True, (own[1:] != own[:-1]) | (kept[1:] != kept[:-1]) | (twice[1:] != twice[:-1]))
-            runs = np.flatnonzero(cut)
-            n = np.diff(np.append(runs, len(wh)))
-            least = np.minimum.reduceat(first, runs)
-            hit = twice[runs]
-            columns = [uid[runs][hit], tid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "tid", "start", "n", "first", "kept"])
-
-    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), "uid long, tid long, start int, n int, first long, kept boolean")
-    if often is not None:
-        windows = often.select("uid", "tid", "start", F.posexplode(F.arrays_zip("whs", "vhs")).alias("i", "h"))
-        windows = stored(windows.select("h.whs", "h.vhs", F.struct("uid", "tid", (F.col("start") + F.col("i")).alias("start")).alias("at")), "often")
-        least = windows.groupBy("whs", "vhs").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most")
-        windows = windows.join(small_side(stored(least.drop("most"), "least")), ["whs", "vhs"])
-        found = found.union(windows.select("at.uid", "at.tid", "at.start", F.lit(1), "least.uid", F.col("at") == F.col("least")))
-    return found
+            yield _runs(own, uid, tid, start, twice, first, kept)
+
+    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), FOUND)
+    return found if often is None else found.union(_often(often, lookup_rows))
 
 
 SPANS = "uid long, tid long, cut array<struct<start:int,n:int,first:long>>, kept array<struct<start:int,n:int,first:long>>"

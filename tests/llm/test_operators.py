@@ -74,9 +74,9 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert all(r.class_id == 0 and r.n_links == 59 for r in got)
 
 
-@pytest.mark.parametrize(("hot", "mapped"), [(10_000, 10_000), (2, 10_000), (2, 0)])
-def test_repeats_match_brute_force(spark, texts, hot, mapped, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.repeated_windows, "__defaults__", (50, 15, hot, mapped))
+@pytest.mark.parametrize(("hot", "mapped", "looked_up"), [(10_000, 10_000, 10_000), (2, 10_000, 10_000), (2, 10_000, 0), (2, 0, 10_000)])
+def test_repeats_match_brute_force(spark, texts, hot, mapped, looked_up, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.repeated_windows, "__defaults__", (50, 15, hot, mapped, looked_up))
     got = {r.uid: r for r in suffix_dedup.repeats(make(spark, texts)).collect()}
     windows = {i: [tuple((t or "").split()[s : s + 50]) for s in range(len((t or "").split()) - 49)] for i, t in enumerate(texts)}
     count, seen = collections.Counter(w for ws in windows.values() for w in ws), set()
