@@ -126,19 +126,20 @@ FOUND = "uid long, tid long, start int, n int, first long, kept boolean"
 
 
 def _windows_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(hash, hash, row, uid, tid, start) of each window of extended suffixes."""
+    """(hash, hash, uid, tid, start) of each window of extended suffixes."""
     whs, vhs = (t.column(t.schema.names.index(c)) for c in ("whs", "vhs"))
     (wh, offsets), (vh, _) = list_column(whs), list_column(vhs)
     own = np.repeat(np.arange(t.num_rows), np.diff(offsets))
     uid, tid, start = (np.asarray(t.column(t.schema.names.index(c)))[own] for c in ("uid", "tid", "start"))
-    return wh, vh, own, uid, tid, start.astype(np.int64) + np.arange(len(wh)) - offsets[:-1][own]
+    return wh, vh, uid, tid, start.astype(np.int64) + np.arange(len(wh)) - offsets[:-1][own]
 
 
-def _runs(own: np.ndarray, uid: np.ndarray, tid: np.ndarray, start: np.ndarray, twice: np.ndarray, first: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
-    """FOUND rows of the windows that are there twice; neighbours of one suffix and one kind are one run."""
-    cut = np.append(True, (own[1:] != own[:-1]) | (kept[1:] != kept[:-1]) | (twice[1:] != twice[:-1]))
+def _runs(uid: np.ndarray, tid: np.ndarray, start: np.ndarray, twice: np.ndarray, first: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+    """FOUND rows of the windows that are there twice; windows of one kind that follow one another in a text are one run."""
+    apart = (uid[1:] != uid[:-1]) | (tid[1:] != tid[:-1]) | (start[1:] != start[:-1] + 1)
+    cut = np.append(True, apart | (kept[1:] != kept[:-1]) | (twice[1:] != twice[:-1]))
     runs = np.flatnonzero(cut)
-    n = np.diff(np.append(runs, len(own)))
+    n = np.diff(np.append(runs, len(uid)))
     least = np.minimum.reduceat(first, runs)
     hit = twice[runs]
     columns = [uid[runs][hit], tid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
@@ -163,7 +164,7 @@ def _often(often: DataFrame, lookup_rows: int) -> DataFrame:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, others, uids, tids, starts = sent.value
         for b in batches:
-            wh, vh, own, uid, tid, start = _windows_of(b)
+            wh, vh, uid, tid, start = _windows_of(b)
             if not len(wh) or not len(keys):
                 continue
             place = np.searchsorted(keys, wh)
@@ -175,7 +176,7 @@ def _often(often: DataFrame, lookup_rows: int) -> DataFrame:
                 place = place + on
             twice = (place < len(keys)) & (keys[inside] == wh)
             kept = twice & (uids[inside] == uid) & (tids[inside] == tid) & (starts[inside] == start)
-            yield _runs(own, uid, tid, start, twice, uids[inside], kept)
+            yield _runs(uid, tid, start, twice, uids[inside], kept)
 
     return often.mapInArrow(tidy(look_up), FOUND)
 
@@ -200,7 +201,7 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key"]):
-            wh, vh, own, uid, tid, start = _windows_of(t)
+            wh, vh, uid, tid, start = _windows_of(t)
             order = np.lexsort((start, tid, uid, vh, wh))
             w, v, u, x, s = wh[order], vh[order], uid[order], tid[order], start[order]
             new = np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]))
@@ -209,7 +210,7 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
             many = np.bincount(head, other, len(w))[head] > 0
             twice, first, kept = np.zeros(len(w), bool), np.zeros(len(w), np.int64), np.zeros(len(w), bool)
             twice[order], first[order], kept[order] = many, u[head], (u == u[head]) & (x == x[head]) & (s == s[head])
-            yield _runs(own, uid, tid, start, twice, first, kept)
+            yield _runs(uid, tid, start, twice, first, kept)
 
     found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), FOUND)
     return found if often is None else found.union(_often(often, lookup_rows))
