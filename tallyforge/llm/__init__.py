@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators over documents, pages and benchmarks.
+"""Training-data operators: thirteen corpus operators over documents, pages and benchmarks.
 
 Functions that run inside Python tasks are pickled by value, so executors need
 no copy of this package on their import path.

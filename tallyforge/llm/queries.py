@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, license_scan, packing, perplexity, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, html_text, jaccard_join, license_scan, packing, perplexity, quality_rules, source_divergence, spelling_variants, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(token_counts.with_token_counts(_table(spark, sf_dir, "documents"))))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES = {
         op8_license_scan,
         op9_quality_rules,
         op10_token_counts,
+        op11_source_divergence,
+        op12_spelling_variants,
+        op13_html_text,
     )
 }
 
@@ -158,5 +173,36 @@ z AS (SELECT v.doc_id, l0.measure, coalesce(l0.lim, l1.lim, l2.lim) AS lim, CASE
 f AS (SELECT doc_id, string_agg(measure, ',' ORDER BY o) AS reasons FROM z WHERE x > lim GROUP BY 1)
 SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.doc_id IS NULL AS kept, coalesce(reasons, '') AS reasons FROM v LEFT JOIN f USING (doc_id)"""
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM k GROUP BY 1),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(all_n), 0) AS all_n, (SELECT coalesce(sum(n), 0) FROM c WHERE c.lang = x.lang AND c.source = x.source) AS own_n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN l USING (lang) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, CAST(1 + (1000000000 * (coalesce(n, 0) + 1)::HUGEINT) // (own_n + v) AS HUGEINT) AS p, CAST(1 + (1000000000 * (total + 1)::HUGEINT) // (all_n + v) AS HUGEINT) AS q FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM z WHERE part = 'pair' OR rank <= 200"""
+
+#: crc32 as a fold over the bits of all bytes, lowest first; words of Latin-1 letters have one or two bytes a character.
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+o AS (SELECT id, run, count(*) AS n FROM d WHERE length(run) >= 5 GROUP BY 1, 2),
+bytes AS (SELECT *, list_transform(range(0, CAST(octet_length(encode(id || ':' || run)) AS BIGINT)), lambda i: CAST(ord(substr(hex(encode(id || ':' || run)), 2 * i + 1, 1)) AS BIGINT)) AS hi, list_transform(range(0, CAST(octet_length(encode(id || ':' || run)) AS BIGINT)), lambda i: CAST(ord(substr(hex(encode(id || ':' || run)), 2 * i + 2, 1)) AS BIGINT)) AS lo FROM o),
+bits AS (SELECT id, run, n, flatten(list_transform(list_zip(hi, lo), lambda z: list_transform(range(0, 8), lambda k: (((z[1] - CASE WHEN z[1] > 57 THEN 55 ELSE 48 END) * 16 + z[2] - CASE WHEN z[2] > 57 THEN 55 ELSE 48 END) >> k) & 1))) AS bit FROM bytes),
+crc AS (SELECT run, n, xor(list_reduce(bit, lambda c, b: xor(c >> 1, ((c & 1) + b) % 2 * 3988292384), 4294967295), 4294967295) AS h FROM bits),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, sum(n) AS n FROM crc GROUP BY 1),
+v AS (SELECT word, CAST(n AS BIGINT) AS n FROM w WHERE length(word) >= 5 AND n >= 3),
+del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM del a JOIN del b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM del a JOIN v b ON b.word = a.rest UNION SELECT b.word, a.word, a.n FROM del a JOIN v b ON b.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY 1),
+r AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain(word, spot) AS (SELECT word, word FROM r UNION ALL SELECT chain.word, r.form FROM chain JOIN r ON r.word = chain.spot WHERE r.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.spot AS root FROM chain JOIN r ON r.word = chain.spot WHERE r.form IS NULL)
+SELECT r.word, form, root, n, n_near, form_n FROM r JOIN ends USING (word)"""
+
 #: Classifiers, tokenizers and licence windows have no SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_quality_rules": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_spelling_variants": OP12_SQL}
