@@ -20,6 +20,7 @@ A <br> is white space. Null or empty html gives an empty text, repeated rows giv
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,6 +41,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 NAMED_BY = ("class", "id", "role", "itemprop")
+PROSE = frozenset(["", *"html head title p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd script style".split()])
 OUTSIDE = frozenset("nav aside footer form".split())
 
 #: Pages of the table that take part in the fit, at most, and the longest of them.
@@ -63,9 +65,10 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.names, self.words, self.linked, self.texts, self.label, self.hidden = [-1], ["html"], [()], [0], [0], [None], [0], [False]
-        self.open, self.leaf, self.in_link = [0], -1, False
+        self.open, self.opened, self.depth, self.leaf, self.in_link = [0], Counter(), [0], -1, False
         self.feed(html)
         self.close()
+        self.bare = PROSE.issuperset(self.tag)  # a page of text alone
         for i in range(len(self.tag) - 1, 0, -1):
             if not self.tag[i]:
                 self.texts[i] = " ".join("".join(self.texts[i]).split())
@@ -83,14 +86,16 @@ class Page(HTMLParser):
         self.texts.append(None)
         self.label.append(self.label[p] if label is None else label)
         self.hidden.append(self.hidden[p] or tag in HIDDEN or tag == "head")
+        self.depth.append(self.depth[p] + 1)
         return len(self.tag) - 1
 
     def _pop(self, depth: int) -> None:
+        self.opened.subtract(self.tag[i] for i in self.open[depth:])
         del self.open[depth:]
         self.leaf = -1
 
     def _nearest(self, tags: set | frozenset, within: set | frozenset = frozenset()) -> int:
-        for depth in range(len(self.open) - 1, 0, -1):
+        for depth in range(len(self.open) - 1, 0, -1) if any(self.opened[t] for t in tags) else ():
             if self.tag[self.open[depth]] in tags:
                 return depth
             if self.tag[self.open[depth]] in within:
@@ -102,7 +107,7 @@ class Page(HTMLParser):
             self._pop(-1)
         if tag in INLINE:
             if tag == "a":
-                self.in_link = True
+                self.in_link = any(k == "href" for k, _ in attrs)
             return
         if tag == "br":
             self.handle_data(" ")
@@ -125,6 +130,7 @@ class Page(HTMLParser):
         names = tuple({w.lower() for k in NAMED_BY for w in _PART.findall(own.get(k) or "")})
         mark = own.get("data-main")
         self.open.append(self._add(tag, names, int(mark) if mark in ("0", "1") else None))
+        self.opened[tag] += 1
         if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "").lower():
             self.hidden[-1] = True
         self.leaf = -1
@@ -159,10 +165,11 @@ class Page(HTMLParser):
     def evidence(self, i: int) -> list[tuple[str, str]]:
         """What is seen at a node."""
         n = self.words[i]
+        bare = [("page", "bare")] if self.bare else []
         size, share = min(n.bit_length(), 8), 0 if not self.linked[i] else 1 + min(2, 3 * self.linked[i] // max(n, 1))
         if self.tag[i]:
-            return [("words below", str(size)), ("links below", str(share)), ("tag", self.tag[i]), *(("name", w) for w in self.names[i])]
-        return [("words", str(size)), ("links", str(share)), ("ends", str(self.texts[i].endswith(_SENTENCE_END)))]
+            return [*bare, ("words below", str(size)), ("links below", str(share)), ("tag", self.tag[i]), *(("name", w) for w in self.names[i])]
+        return [*bare, ("words", str(size)), ("links", str(share)), ("ends", str(self.texts[i].endswith(_SENTENCE_END)))]
 
 
 def declared(page: Page) -> list[int] | None:
@@ -218,17 +225,10 @@ class Forest:
         self.hidden = join("hidden", bool)
         self.leaf = np.array([not t for p in pages for t in p.tag], np.int64)
         self.parent = join("parent", np.int64) + np.repeat(self.begin[:-1], np.diff(self.begin))
-        depth = np.zeros(len(self.parent), np.int64)
-        roots = np.zeros(len(self.parent), bool)
-        roots[self.begin[:-1]] = True
-        self.levels, here = [], roots
-        while True:
-            here = ~roots & (depth == 0) & here[np.maximum(self.parent, 0)]
-            if not here.any():
-                break
-            self.levels.append(np.flatnonzero(here))
-            depth[here] = len(self.levels)
-        self.roots = np.flatnonzero(roots)
+        depth = join("depth", np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]
+        self.roots = self.begin[:-1]
 
 
 def _known(e: tuple[str, str], number: dict[tuple[str, str], int]) -> int | None:

@@ -56,6 +56,4 @@ LAYOUTS = [
     # Nothing but text.
     '<p data-main="1">{30}</p><p data-main="1">{25}</p>',
     '<p data-main="1">{18}</p><p data-main="1">{45}</p><p data-main="1">{33}</p><p data-main="1">{12}</p>',
-    '<div data-main="1">{60}</div>',
-    '<div data-main="1"><p>{30}</p><p>{40}</p></div>',
 ]
