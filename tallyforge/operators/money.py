@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import Money, Wide, share_in_cents
+from ..functions.scalars import AD_FEES, Money, Wide, names_any, share_in_cents
 
 
 def allocate(lines: DataFrame, on: list[str], total: str, weight: str, field: str, order: list[str], absence_is_zero: bool = False) -> DataFrame:
@@ -15,13 +15,15 @@ def allocate(lines: DataFrame, on: list[str], total: str, weight: str, field: st
     zero if its absence is known to mean zero.
     """
     w = Window.partitionBy(*on)
+    # The ordered window first: the others find their rows sorted.
+    d = lines.withColumn("_last", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) == 1)
     t, x = F.abs(F.col(total)).cast(Wide), F.col(weight).cast(Wide)
-    n, s = F.count("*").over(w).cast(Wide), F.sum(x).over(w)
-    share = F.when(s > 0, share_in_cents(t, x, s)).otherwise(share_in_cents(t, F.lit(1), n))
-    d = lines.withColumn("_share", share).withColumn("_last", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) == 1)
+    d = d.withColumns({"_n": F.count("*").over(w), "_s": F.sum(x).over(w)})
+    even = F.col("_s") <= 0
+    d = d.withColumn("_share", share_in_cents(t, F.when(even, 1).otherwise(x), F.when(even, F.col("_n")).otherwise(F.col("_s"))))
     rest = F.abs(F.col(total)).cast(Money) - F.sum("_share").over(w) + F.col("_share")
     out = F.when(F.col(total).isNull(), F.lit(0 if absence_is_zero else None).cast(Money)).when(F.col("_last"), rest).otherwise(F.col("_share"))
-    return d.withColumn(field, out.cast(Money)).drop("_share", "_last")
+    return d.withColumn(field, out.cast(Money)).drop("_share", "_last", "_n", "_s")
 
 
 def split_even(df: DataFrame, on: list[str], amount: str, field: str, order: list[str]) -> DataFrame:
@@ -59,26 +61,28 @@ def flatten_orders(lines: DataFrame, order_id: str = "order_id") -> tuple[DataFr
     return sales, unwound, counters
 
 
-def split_transactions(tx: DataFrame, markers: tuple[str, ...] = ("ad", "promot")) -> DataFrame:
+def split_transactions(tx: DataFrame, markers: list[str] = AD_FEES) -> DataFrame:
     """(kind, order_id, sku, amount): fee lines AD and OTHER_FEE, POSTAGE, and marketplace fees of sales and refunds, signed.
 
-    tx: transaction_type, order_id, ref_order_id, memo, amount, skus (array). A
-    fee over several skus is split evenly, the rest on the last; other types go.
+    tx: transaction_type, order_id, ref_order_id, fee_type, memo, booking, amount,
+    skus (array). A charge is AD if a marker stands in its fee_type or memo; one
+    that is booked as CREDIT was given back and is negative, as refunds' fees are.
+    A fee over several skus is split evenly, the rest on the last; other types go.
     """
     kind = (
-        F.when(F.col("transaction_type") == "NON_SALE_CHARGE", F.when(F.lower(F.coalesce("memo", F.lit(""))).rlike("|".join(markers)), "AD").otherwise("OTHER_FEE"))
+        F.when(F.col("transaction_type") == "NON_SALE_CHARGE", F.when(names_any(F.concat_ws(" ", "fee_type", "memo"), markers), "AD").otherwise("OTHER_FEE"))
         .when(F.col("transaction_type") == "SHIPPING_LABEL", "POSTAGE")
         .when(F.col("transaction_type") == "SALE", "SALE_FEE")
         .when(F.col("transaction_type") == "REFUND", "REFUND_FEE")
     )
-    d = tx.withColumns({"kind": kind, "order_id": F.coalesce(F.nullif("order_id", F.lit("")), "ref_order_id")}).where("kind is not null")
-    d = d.withColumn("_id", F.xxhash64(*tx.columns)).select("*", F.posexplode_outer("skus").alias("_i", "sku"))
-    sign = F.when(F.col("kind") == "REFUND_FEE", -1).otherwise(1)
+    d = tx.withColumns({"kind": kind, "order_id": F.coalesce(F.nullif(F.col("order_id").cast("string"), F.lit("")), F.col("ref_order_id").cast("string"))}).where("kind is not null")
+    d = d.select("*", F.posexplode_outer("skus").alias("_i", "sku"))
+    back = (F.col("kind") == "REFUND_FEE") | ((F.col("transaction_type") == "NON_SALE_CHARGE") & (F.upper(F.coalesce("booking", F.lit(""))) == "CREDIT"))
     n = F.greatest(F.size("skus"), F.lit(1))
     each = F.bround(F.abs(F.col("amount")).cast(Wide) / n, 2).cast(Money)
     last = F.coalesce(F.col("_i") == n - 1, F.lit(True))
     part = F.when(last, F.abs(F.col("amount")).cast(Money) - each * (n - 1)).otherwise(each)
-    return d.select("kind", "order_id", "sku", (sign * part).cast(Money).alias("amount"))
+    return d.select("kind", "order_id", "sku", (F.when(back, -1).otherwise(1) * part).cast(Money).alias("amount"))
 
 
 def fees_by_order(fees: DataFrame, ad_only: bool = True) -> DataFrame:
@@ -130,5 +134,6 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: list[str], optional: tuple[
 
 def append_new(log: DataFrame, entries: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """log and the first entry of each key that it does not have: the same call twice changes nothing."""
-    first = entries.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    whole = F.struct(*[F.col(c) for c in entries.columns])
+    first = entries.groupBy(*key).agg(F.min_by(whole, F.struct(*order)).alias("_first")).select("_first.*")
     return log.unionByName(first.join(log.select(*key).distinct(), key, "left_anti"))

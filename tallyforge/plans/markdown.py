@@ -344,7 +344,7 @@ ORACLE = {
           SELECT p.k AS p_partkey, CAST(floor((p.k % 90) * CASE p.k % 3 WHEN 0 THEN 100 WHEN 1 THEN 100000 ELSE 0.1 END) AS BIGINT) AS feedback, price AS money, CAST(-(1000 + p.k % 1000) AS DOUBLE) AS number, DATE '2020-01-01' + CAST(p.k % 900 AS INTEGER) AS sold,
             CASE WHEN t LIKE '%brass%' OR t LIKE '%steel%' THEN 'metal' WHEN t LIKE '%polished%' OR t LIKE '%plated%' THEN 'shine' ELSE 'other' END AS category, CASE WHEN t LIKE '%plated%' THEN 'p' WHEN t LIKE '%steel%' THEN 's' WHEN t LIKE '%ted%' THEN 't' ELSE 'other' END AS type,
             CAST(p_size AS VARCHAR) AS bin, coalesce(w.n, 0) AS n_tokens, CASE WHEN p.k % 2 <> 0 THEN 'SYNCED' WHEN p.k % 4 = 0 THEN 'SOLD' ELSE 'PUBLISHED' END AS status, p.k % 4 <> 0 AS live, CAST(CASE WHEN p.k % 2 = 0 THEN price * p_size ELSE price END AS DECIMAL(28,2)) AS basis,
-            round(1.5 * log10(p_size + 10) * (1 + least(p.k % 70, 50) / 25.0), 3)::DOUBLE AS reputation, CASE p.k % 6 WHEN 0 THEN 'DELIVERED' WHEN 2 THEN 'IN_TRANSIT' WHEN 3 THEN 'PICKED_UP' WHEN 4 THEN 'CANCELLED' END AS freight FROM p LEFT JOIN w ON w.k = p.k""",
+            round(1.5 * log10(p_size + 10) * (1 + least(p.k % 70, 50) / 25.0), 3)::DOUBLE AS reputation, CASE p.k % 6 WHEN 2 THEN 'IN_TRANSIT' WHEN 3 THEN 'PICKED_UP' END AS freight FROM p LEFT JOIN w ON w.k = p.k""",
         "p4_copy_lint": r"""WITH s AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[\s]+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)))) AS s FROM documents), b AS (SELECT doc_id, s, CASE WHEN regexp_matches(s, 'the the', 'i') THEN 'said twice' WHEN regexp_matches(s, 'password', 'i') THEN 'a secret' END AS b, CASE WHEN regexp_matches(s, '\bof the\b', 'i') THEN 'filler' END AS w FROM s WHERE s <> '' AND NOT regexp_matches(s, '\band\b', 'i')),
           f AS (SELECT doc_id, left(s, 90) AS k, min((CASE WHEN b IS NOT NULL THEN '1BLOCK' ELSE '2WARN' END) || coalesce(b, w)) AS r FROM b WHERE b IS NOT NULL OR w IS NOT NULL GROUP BY 1, 2)
           SELECT doc_id, CASE WHEN r LIKE '1%' THEN 'BLOCK' ELSE 'WARN' END AS level, CASE WHEN r LIKE '1%' THEN substr(r, 7) ELSE substr(r, 6) END AS why, count(*) AS n FROM f GROUP BY 1, 2, 3""",

@@ -131,6 +131,6 @@ def test_events_and_states(spark):
     day = datetime.date(2020, 1, 1)
     owned = matching.owned_by(spark.createDataFrame([(1, "a", "s1", "l1"), (2, "b", "s2", "l2"), (3, None, None, None)], "id int, store string, sku string, listing_id string"), spark.createDataFrame([("x", "a", None, None), ("y", None, "s1", None), ("y", None, None, "l2")], "owner string, store string, sku string, listing_id string"))
     assert sorted(map(tuple, owned.collect())) == [(1, "x"), (1, "y"), (2, "y")]
-    fees = spark.createDataFrame([("NON_SALE_CHARGE", "o1", None, "Promoted ad", "3.00", ["a", "b"]), ("SHIPPING_LABEL", "", "o2", None, "4.00", ["a"]), ("TRANSFER", "o3", None, None, "1.00", ["a"])], "transaction_type string, order_id string, ref_order_id string, memo string, amount string, skus array<string>").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    fees = spark.createDataFrame([("NON_SALE_CHARGE", "o1", None, None, "Promoted ad", None, "3.00", ["a", "b"]), ("SHIPPING_LABEL", "", "o2", None, None, None, "4.00", ["a"]), ("TRANSFER", "o3", None, None, None, None, "1.00", ["a"])], "transaction_type string, order_id string, ref_order_id string, fee_type string, memo string, booking string, amount string, skus array<string>").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     got = sorted((x.kind, x.order_id, x.sku, str(abs(x.amount))) for x in money.split_transactions(fees).collect())
     assert got == [("AD", "o1", "a", "1.50"), ("AD", "o1", "b", "1.50"), ("POSTAGE", "o2", "a", "4.00")] and day
