@@ -1,4 +1,4 @@
-"""Session events: active time, repeats, segments, summaries; change chains; vector look-alikes."""
+"""Session events: active time, repeats, segments, summaries; vector look-alikes."""
 
 from __future__ import annotations
 
@@ -65,14 +65,3 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, most_queries: int = 10
     part = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
     s = s.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
     return s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k).select("query_id", "vec_id", "score", F.col("r").alias("place"))
-
-
-def verify_chain(events: DataFrame, key: str = "key") -> DataFrame:
-    """(key, n, first_break): the least seq whose hash, link or number is wrong, null for a whole chain.
-
-    hash is sha256 of prev, seq and body joined by '|'; the first prev is empty.
-    """
-    w = Window.partitionBy(key).orderBy("seq")
-    body = F.sha2(F.concat_ws("|", "prev", F.col("seq").cast("string"), "body"), 256)
-    wrong = (F.col("hash") != body) | (F.col("prev") != F.coalesce(F.lag("hash").over(w), F.lit(""))) | (F.col("seq") != F.row_number().over(w))
-    return events.withColumn("_wrong", wrong).groupBy(key).agg(F.count("*").alias("n"), F.min(F.when(F.col("_wrong"), F.col("seq"))).alias("first_break"))

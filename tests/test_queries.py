@@ -63,18 +63,6 @@ def test_allocation_adds_up(spark):
     assert sorted((r.o, r.pos, str(r.share)) for r in rows) == [(1, 0, "3.33"), (1, 1, "3.33"), (1, 2, "3.34"), (2, 0, "0.02"), (2, 1, "0.03"), (3, 0, "None")]
 
 
-def test_chain(spark):
-    import hashlib
-
-    rows, prev = [], ""
-    for seq in (1, 2, 3):
-        h = hashlib.sha256(f"{prev}|{seq}|b{seq}".encode()).hexdigest()
-        rows += [("a", seq, f"b{seq}", prev, h), ("z", seq, f"b{seq}" if seq != 2 else "changed", prev, h)]
-        prev = h
-    got = sessions.verify_chain(spark.createDataFrame(rows, "key string, seq int, body string, prev string, hash string")).collect()
-    assert {r.key: r.first_break for r in got} == {"a": None, "z": 2}
-
-
 def test_sql_names(spark):
     register_all(spark)
     assert spark.sql("SELECT title_key('A--b!') AS k, charm_ending(9.99D) AS e").first() == ("a b", ".99")
