@@ -1,4 +1,4 @@
-"""Session events: active time, repeats, segments, summaries; vector look-alikes."""
+"""Session events: active time, repeats, segments, summaries."""
 
 from __future__ import annotations
 
@@ -41,27 +41,3 @@ def threshold_sweep(labelled: DataFrame, score: str, label: str, thresholds: lis
     """(threshold, kept, right, wrong) for each threshold, in one pass over the rows."""
     cells = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(score) >= t).alias("kept"), F.count_if((F.col(score) >= t) & (F.col(label) == 1)).alias("right_kept"), F.count_if((F.col(score) >= t) & (F.col(label) == 0)).alias("wrong_kept")) for t in thresholds]
     return labelled.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
-
-
-def nearest(index: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, score): the k best by inner product for each query, itself left out.
-
-    Queries are sent to all tasks up to most_queries; more are dealt by hash
-    into blocks of about so many, and each block meets each part of the index
-    in a join by equality. The dot product stays in the JVM.
-    """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    v = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    blocks = -(-q.count() // most_queries)
-    if blocks <= 1:
-        pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    else:
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-        v = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = v.join(q, ["block", "part"]).where(F.col("vec_id") != F.col("query_id"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    s = pairs.select("query_id", "vec_id", "part", dot.alias("score"))
-    # The best k of each part first, then of what is left: no task ranks a query's whole list.
-    part = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
-    s = s.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k).select("query_id", "vec_id", "score", F.col("r").alias("place"))

@@ -11,10 +11,10 @@ from ..operators import buckets as B
 from ..operators import campaigns as C
 from ..operators import consignment as N
 from ..operators import copy as Y
+from ..operators import lookalike as L
 from ..operators import markdown as M
 from ..operators import matching as J
 from ..operators import money as W
-from ..operators import sessions as E
 from ..sources import runs as R
 from ..streaming import streams as X
 from .views import bind, table, with_views
@@ -160,7 +160,7 @@ def u3(spark, d):
 
 def w14(spark, d):
     e = table(spark, d, "embeddings")
-    return A.calibrate(E.nearest(e, e.where("vec_id % 100 = 0"), 20)).select("query_id", "n", F.round("top", 6).alias("top"), F.round("gap", 6).alias("gap"), "verdict")
+    return A.calibrate(L.nearest(e.withColumnRenamed("vec_id", "item"), e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20, own=True)).select("query_id", "n", F.round("top", 6).alias("top"), F.round("gap", 6).alias("gap"), "verdict")
 
 
 def v2(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import lookalike as L
 from ..operators import sessions as E
 from .views import bind, table, with_views
 
@@ -35,9 +36,30 @@ def a24(spark, d):
     return E.threshold_sweep(j, "score", "quality", THRESHOLDS)
 
 
-def v1(spark, d):
+def _vectors(spark, d):
     e = table(spark, d, "embeddings")
-    return E.nearest(e, e.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", "place")
+    return e.select(F.col("vec_id").alias("item"), "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def v1(spark, d):
+    return L.nearest(*_vectors(spark, d), 5, own=True).select("query_id", F.col("item").alias("vec_id"), "place")
+
+
+def v1_recall(spark, d):
+    """Whether the index finds nine tenths of what the exact way finds."""
+    index, queries = _vectors(spark, d)
+    r = L.recall(L.nearest_indexed(index, queries, 5, own=True), L.nearest(index, queries, 5, own=True))
+    return r.select("wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def v1_products(spark, d):
+    """Products of ten images each (the queries), listings of three (the index): best image of both, and the price signal."""
+    e = table(spark, d, "embeddings").withColumn("model", F.lit("m"))
+    index, queries = e.select(F.floor(F.col("vec_id") / 3).alias("item"), "embedding", "model"), e.where("vec_id % 10 = 0").select(F.floor(F.col("vec_id") / 100).alias("query_id"), "embedding", "model")
+    L.refuse_mixed(index, queries)
+    found = L.nearest(index, queries, 5)
+    prices = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"))
+    return found.select("query_id", "item", "place").join(L.price_signal(found, prices), "query_id", "left")
 
 
 def x3(spark, d):
@@ -47,7 +69,7 @@ def x3(spark, d):
     return bind(spark, d, "calls").groupBy(to_report_date(F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
 
 
-QUERIES = {"w6_active_time": w6, "a21_session_summary": a21, "w10_repeats": w10, "w9_pair_calls": w9, "w8_segment_asks": w8, "a24_threshold_sweep": a24, "v1_nearest": v1, "x3_daily_batch_twin": x3}
+QUERIES = {"w6_active_time": w6, "a21_session_summary": a21, "w10_repeats": w10, "w9_pair_calls": w9, "w8_segment_asks": w8, "a24_threshold_sweep": a24, "v1_nearest": v1, "v1_index_recall": v1_recall, "v1_products": v1_products, "x3_daily_batch_twin": x3}
 
 ORACLE = {
     k: with_views(v)
@@ -58,6 +80,11 @@ ORACLE = {
         "w9_pair_calls": "WITH b AS (SELECT event_id, kind, lag(kind) OVER (PARTITION BY session ORDER BY ts, event_id) AS before FROM {calls}) SELECT event_id, before, coalesce(kind = before, false) AS same FROM b",
         "w8_segment_asks": "WITH s AS (SELECT conv_id, text, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM conversations) SELECT conv_id, segment, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY 1, 2",
         "a24_threshold_sweep": "WITH j AS (SELECT quality, CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), t AS (SELECT unnest([0.0, 500.0, 1000.0, 2000.0, 4000.0])::DOUBLE AS threshold) SELECT threshold, count(*) FILTER (s >= threshold) AS kept, count(*) FILTER (s >= threshold AND quality = 1) AS right_kept, count(*) FILTER (s >= threshold AND quality = 0) AS wrong_kept FROM t, j GROUP BY 1",
+        "v1_index_recall": "SELECT 5 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
+        "v1_products": """WITH s AS (SELECT CAST(floor(q.vec_id / 100) AS BIGINT) AS query_id, CAST(floor(e.vec_id / 3) AS BIGINT) AS item, max(round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12)) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 10 = 0 GROUP BY 1, 2),
+          r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INTEGER) AS place FROM s), f AS (SELECT * FROM r WHERE place <= 5),
+          g AS (SELECT query_id, count(*) AS n, min(price) AS lo, max(price) AS hi, list_sort(list(price)) AS p FROM f JOIN (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part) x ON p_partkey = item GROUP BY 1)
+          SELECT f.query_id, item, place, n, lo, p[CAST(len(p) // 2 + 1 AS INTEGER)] AS middle, hi FROM f LEFT JOIN g USING (query_id)""",
         "v1_nearest": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, place FROM r WHERE place <= 5",
     }.items()
 }

@@ -85,17 +85,6 @@ def test_overlaps_and_last_changes_take_all_rows(spark, tmp_path):
     assert got == {1: ("2001-01-10", "log"), 2: ("2001-01-01", "log"), 3: ("None", None), 4: ("2001-01-01", "log")}
 
 
-def test_nearest_answers_any_number_of_queries(spark):
-    r = random.Random(6)
-    vectors = {i: [r.uniform(-1, 1) for _ in range(4)] for i in range(150)}
-    e = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
-    got = {n: sorted(tuple(x) for x in sessions.nearest(e, e.where("vec_id % 3 = 0"), 5, n).select("query_id", "vec_id", "place").collect()) for n in (7, 10_000)}
-    v = {i: [float(np.float32(x)) for x in y] for i, y in vectors.items()}
-    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
-    want = [(q, i, n) for q in range(0, 150, 3) for n, i in enumerate(sorted(set(v) - {q}, key=lambda i: (-dot(q, i), i))[:5], 1)]  # noqa: B023
-    assert got[7] == got[10_000] == sorted(want)
-
-
 def test_deep_trees_are_not_cut(spark):
     nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d")], "id int, parent int, name string")
     assert {r.id: r.path for r in matching.flatten_tree(nodes).collect()} == {1: "a", 2: "a > b", 3: "a > b > c", 4: "a > b > c > d"}
