@@ -11,6 +11,7 @@ from ..operators import buckets as B
 from ..operators import campaigns as C
 from ..operators import consignment as N
 from ..operators import copy as Y
+from ..operators import fuzzy_titles as Z
 from ..operators import lookalike as L
 from ..operators import markdown as M
 from ..operators import matching as J
@@ -100,10 +101,27 @@ def d1(spark, d):
     return A.decide_duplicates(o, rows)
 
 
-def j2_fuzzy(spark, d):
+def _titled(spark, d):
+    """(sales, drafts): all parts as sales, some with words more or letters less, and as drafts of their brand's store."""
     p = table(spark, d, "part")
-    sales = p.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("sale"), F.col("p_brand").alias("store"), F.concat(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, " lovely item").otherwise("")).alias("title"))
-    return Y.fuzzy_tier(sales, p.select(F.col("p_brand").alias("store"), F.concat(F.lit("dir"), "p_partkey").alias("ref"), F.col("p_retailprice").cast(Money).alias("ask"), F.col("p_name").alias("title")))
+    title = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" lovely item"))).when(F.col("p_size") % 3 == 1, F.regexp_replace("p_name", "e", "")).otherwise(F.col("p_name"))
+    sales = p.select(F.col("p_partkey").alias("sale"), F.col("p_brand").alias("store"), F.col("p_partkey").alias("sku"), (F.col("p_partkey") * 7).alias("listing_id"), F.concat_ws(" ", title, "p_type").alias("title"))
+    return sales, p.select(F.col("p_brand").alias("store"), F.concat(F.lit("dir"), "p_partkey").alias("ref"), F.col("p_retailprice").cast(Money).alias("ask"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_partkey").alias("sku"), (F.col("p_partkey") * 7).alias("listing_id"))
+
+
+def j2_fuzzy(spark, d):
+    sales, drafts = _titled(spark, d)
+    return Z.fuzzy_tier(sales, drafts)
+
+
+def j2_sales(spark, d):
+    """The whole ladder: drafts know every fifth sku and every seventh listing, folders every eleventh, the ledger those of even size."""
+    sales, p = _titled(spark, d)
+    k = F.col("sku")
+    drafts = p.withColumns({"sku": F.when(k % 5 == 0, k), "listing_id": F.when(k % 7 == 0, F.col("listing_id"))}).where(k % 3 != 1)
+    recovered = p.where(k % 11 == 0).select("store", "sku", F.concat(F.lit("old-"), "ref").alias("ref"))
+    ledger = p.where(k % 2 == 0).select("store", F.when(k % 4 == 0, k).alias("sku"), "listing_id", (F.col("ask") + 1).cast(Money).alias("ask"))
+    return Z.match_sales(sales, drafts, recovered, ledger).drop("title")
 
 
 def s1(spark, d):
@@ -244,7 +262,7 @@ def x7(spark, d):
 QUERIES = {
     "r1_consignment_state": r1, "a20_settlement": a20, "a25_lot_account": a25, "a30_proposals": a30, "x7_show_holds": x7,
     "m1_markdown_queue": m1, "k5_queue_place": k5_place, "k9_oldest_kept": k9_kept, "a13_campaign_totals": a13_totals, "a13_findings": a13_advise, "j14_promoted_excluded": j14, "a10_bucket_roi": a10, "j11_live_audit": j11, "j12_snapshot_drift": j12,
-    "d1_duplicates": d1, "j2_fuzzy": j2_fuzzy, "s1_comp_runs": s1, "s2_sales": s2_sales, "s7_notes": s7, "s6_tiers": s6, "s15_inventory_sheet": s15, "p4_copy_lint": p4, "a17_photos": a17, "u3_exclude": u3, "w14_calibrate": w14, "v2_index_append": v2, "x3_days": x3_days, "a26_consensus": a26, "f_scalars": f_scalars,
+    "d1_duplicates": d1, "j2_fuzzy": j2_fuzzy, "j2_match_sales": j2_sales, "s1_comp_runs": s1, "s2_sales": s2_sales, "s7_notes": s7, "s6_tiers": s6, "s15_inventory_sheet": s15, "p4_copy_lint": p4, "a17_photos": a17, "u3_exclude": u3, "w14_calibrate": w14, "v2_index_append": v2, "x3_days": x3_days, "a26_consensus": a26, "f_scalars": f_scalars,
 }
 
 FIGURES = "coalesce(impressions, 0) AS impressions, coalesce(clicks, 0) AS clicks, coalesce(sold, 0) AS sold, coalesce(sales, 0) AS sales, coalesce(ad_fees, 0) AS ad_fees"

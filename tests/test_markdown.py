@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.functions.titles import gestalt_ratio
-from tallyforge.operators import audit, buckets, copy, matching, money
+from tallyforge.operators import audit, buckets, copy, fuzzy_titles, matching, money
 from tallyforge.sources import runs
 
 
@@ -69,7 +69,7 @@ def test_fuzzy_titles(spark):
     words = ["brass", "lamp", "oil", "vintage", "clock", "wall", "oak", "table", "chair", "glass"]
     drafts = [("s", f"d{i}", float(i), " ".join(r.sample(words, 4))) for i in range(30)] + [("t", "e0", 1.0, "brass lamp oil")]
     sales = [(i, "s", " ".join(r.sample(words, 4)) + r.choice(["", " x"])) for i in range(40)]
-    got = {x.sale: (x.ref, x.matched_by) for x in copy.fuzzy_tier(spark.createDataFrame(sales, "sale int, store string, title string"), spark.createDataFrame(drafts, "store string, ref string, ask double, title string")).collect()}
+    got = {x.sale: (x.ref, x.matched_by) for x in fuzzy_titles.fuzzy_tier(spark.createDataFrame(sales, "sale int, store string, title string"), spark.createDataFrame(drafts, "store string, ref string, ask double, title string")).collect()}
     for i, _, t in sales:
         best = sorted(((difflib.SequenceMatcher(None, t, d).ratio(), ref) for s, ref, _, d in drafts if s == "s"), key=lambda x: (-x[0], x[1]))[:2]
         if best[0][0] < 0.75:
