@@ -60,6 +60,35 @@ def snapshot_drift(live: DataFrame, ledger: DataFrame) -> DataFrame:
     return b.select("listing_id", "sku", kind.alias("kind")).where("kind is not null")
 
 
+#: Added to the cosine for one bin and for a hint, and how far rounding to two places may lift a score.
+SAME_BIN, HINTED, ROUNDING = 0.1, 0.25, 0.005
+
+
+def likely_pairs(left: DataFrame, right: DataFrame, least: float, also: tuple[str, ...] = ()) -> DataFrame:
+    """(cand, row) of all pairs of token sets whose cosine is `least` or more, and some others; never rows paired by a word that cannot decide.
+
+    left: cand, t; right: row, t2; also: columns of both that must be equal. Two sets of
+    sizes a and b need o = ceil(least * sqrt(a b)) words in common, so with words in order of
+    rarity one of them is among the first a - o + 1 of the one and b - o + 1 of the other. Pairs
+    meet by word, b and o: a frequent word stands last and meets nothing but sets that need a single word.
+    """
+    freq = right.select(F.explode("t2").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def ranked(d: DataFrame, key: str, words: str) -> DataFrame:
+        e = d.select(key, *also, F.size(words).alias("size"), F.explode(words).alias("w")).join(freq, "w", "left")
+        g = e.groupBy(key, *also, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("ws"))
+        return g.select(key, *also, "size", F.posexplode("ws").alias("pos", "x")).select(key, *also, "size", "pos", F.col("x.w").alias("w"))
+
+    need = lambda a, b: F.ceil(F.lit(least) * F.sqrt(a * b) - 1e-9).cast("int")
+    a = left.where(F.size("t") > 0).select("cand", F.size("t").alias("a")).distinct()
+    span = F.sequence(F.ceil(F.col("a") * least**2 - 1e-9).cast("int"), F.floor(F.col("a") / least**2 + 1e-9).cast("int"))
+    sizes = right.select(F.size("t2").alias("b")).distinct()
+    wanted = a.select("a").distinct().select("a", F.explode(span).alias("b")).join(sizes, "b").withColumn("o", need(F.col("a"), F.col("b")))  # sizes of sets, not sets
+    c = ranked(left, "cand", "t").withColumnRenamed("size", "a").join(wanted, "a").where(F.col("pos") <= F.col("a") - F.col("o")).select("cand", *also, "w", "b", "o")
+    r = ranked(right, "row", "t2").withColumnRenamed("size", "b").join(wanted.select("b", "o").distinct(), "b").where(F.col("pos") <= F.col("b") - F.col("o")).select("row", *also, "w", "b", "o")
+    return c.join(r, ["w", "b", "o", *also]).select("cand", "row").distinct()
+
+
 def decide_duplicates(candidates: DataFrame, rows: DataFrame, threshold: float = 0.35) -> DataFrame:
     """(cand, action, best, score, n_hard, n_soft) for each candidate against the catalogue.
 
@@ -69,24 +98,25 @@ def decide_duplicates(candidates: DataFrame, rows: DataFrame, threshold: float =
     one bin, 0.25 more where the hint names the row, 1 at most, to 2 places. Hard
     evidence: the same folder, outside a lot, or a frame that no other row has
     and that is filed in the row's folder. attach: hard evidence for one row;
-    possible: for several, or a score of threshold or more; else new. Token sets
-    meet in an inverted index, hard evidence, hints and bins with hints by
-    equality, so no two rows without anything in common are compared; a hint in
-    the same bin alone reaches the threshold.
+    possible: for several, or a score of threshold or more; else new. Pairs that may
+    reach the threshold come from likely_pairs, at the threshold, and in one bin
+    below it; hard evidence and hints join by equality. All scores are computed from the sets.
     """
     c = candidates.select("cand", S.tokens(F.col("description")).alias("t"), S.norm_bin(F.col("bin")).alias("b"), S.frames(F.col("photos")).alias("f"), S.norm_folder(F.col("folder")).alias("d"), "hint")
     r = rows.select("row", S.tokens(F.col("description")).alias("t2"), S.norm_bin(F.col("bin")).alias("b2"), S.frames(F.col("photos")).alias("f2"), S.norm_folder(F.col("folder")).alias("d2"), "lot_id", "filed")
-    words = c.select("cand", F.explode("t").alias("w")).join(r.select("row", F.explode("t2").alias("w")), "w").groupBy("cand", "row").agg(F.count("*").alias("common"))
+    binned = (c.where("b <> ''").select("cand", "t", F.col("b").alias("bin")), r.where("b2 <> ''").select("row", "t2", F.col("b2").alias("bin")))
+    likely = likely_pairs(c.select("cand", "t"), r.select("row", "t2"), threshold - ROUNDING).union(likely_pairs(*binned, threshold - SAME_BIN - ROUNDING, ("bin",)))
     folder = c.where("d <> ''").select("cand", "d").join(r.where("lot_id is null").select("row", F.col("d2").alias("d")), "d").select("cand", "row")
     owned = r.select("row", "filed", F.explode(F.array_distinct("f2")).alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("filed").alias("filed")).where((F.col("n") == 1) & F.expr("array_contains(filed, f)"))
     frame = c.select("cand", F.explode(F.array_distinct("f")).alias("f")).join(owned, "f").select("cand", "row")
-    hard = folder.union(frame).distinct().withColumn("hard", F.lit(True))
-    hinted = c.where("hint is not null").select("cand", F.col("hint").alias("row"), F.lit(True).alias("hinted"))
-    pairs = words.join(hard, ["cand", "row"], "full").join(hinted, ["cand", "row"], "left").unionByName(hinted.join(words, ["cand", "row"], "left_anti").join(hard, ["cand", "row"], "left_anti"), allowMissingColumns=True)
+    hinted = c.where("hint is not null").select("cand", F.col("hint").alias("row"))
+    mark = lambda d, kind: d.select("cand", "row", F.lit(kind).alias("kind"))
+    pairs = mark(likely, "words").unionByName(mark(folder.union(frame), "hard")).unionByName(mark(hinted, "hint"))
+    pairs = pairs.groupBy("cand", "row").agg(F.bool_or(F.col("kind") == "hard").alias("hard"), F.bool_or(F.col("kind") == "hint").alias("hinted"))
     pairs = pairs.join(c.select("cand", "t", "b"), "cand").join(r.select("row", "t2", "b2"), "row")
-    cosine = F.when((F.size("t") > 0) & (F.size("t2") > 0), F.coalesce("common", F.lit(0)) / F.sqrt(F.size("t") * F.size("t2"))).otherwise(0.0)
-    score = F.round(F.least(F.lit(1.0), cosine + F.when((F.col("b") != "") & (F.col("b") == F.col("b2")), 0.1).otherwise(0.0) + F.when(F.col("hinted"), 0.25).otherwise(0.0)), 2)
-    pairs = pairs.select("cand", "row", score.alias("score"), F.coalesce("hard", F.lit(False)).alias("hard"))
+    cosine = F.when((F.size("t") > 0) & (F.size("t2") > 0), F.size(F.array_intersect("t", "t2")) / F.sqrt(F.size("t") * F.size("t2"))).otherwise(0.0)
+    score = F.round(F.least(F.lit(1.0), cosine + F.when((F.col("b") != "") & (F.col("b") == F.col("b2")), SAME_BIN).otherwise(0.0) + F.when(F.col("hinted"), HINTED).otherwise(0.0)), 2)
+    pairs = pairs.select("cand", "row", score.alias("score"), "hard")
     soft = ~F.col("hard") & (F.col("score") >= threshold)
     best = F.min_by(F.struct("row", "score"), F.struct(~F.col("hard"), -F.col("score"), F.col("row")))
     g = pairs.where(F.col("hard") | soft).groupBy("cand").agg(F.count_if("hard").alias("n_hard"), F.count_if(soft).alias("n_soft"), best.alias("top"))

@@ -97,7 +97,7 @@ def j12(spark, d):
 def d1(spark, d):
     p = table(spark, d, "part")
     rows = p.where("p_partkey % 10 < 9").select(F.col("p_partkey").alias("row"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.concat(F.lit("bin-"), F.col("p_size").cast("string")).alias("bin"), F.concat(F.lit("ZZ"), (F.col("p_partkey") + 10000).cast("string"), F.lit(".JPG IMG_"), (F.col("p_partkey") % 50 + 1000).cast("string")).alias("photos"), F.concat(F.lit("x/"), "p_partkey").alias("folder"), F.when(F.col("p_size") % 9 == 0, F.col("p_brand")).alias("lot_id"), F.array(F.concat(F.lit("ZZ"), (F.col("p_partkey") + 10000).cast("string"))).alias("filed"))
-    o = p.where("p_size = 7").select(F.col("p_partkey").alias("cand"), F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.concat(F.lit("Bin 0"), F.col("p_size").cast("string")).alias("bin"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("zz"), (F.col("p_partkey") + 10000).cast("string"))).alias("photos"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("/inventory/x/"), "p_partkey", F.lit("/"))).alias("folder"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") + 1).alias("hint"))
+    o = p.select(F.col("p_partkey").alias("cand"), F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.concat(F.lit("Bin 0"), F.col("p_size").cast("string")).alias("bin"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("zz"), (F.col("p_partkey") + 10000).cast("string"))).alias("photos"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("/inventory/x/"), "p_partkey", F.lit("/"))).alias("folder"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") + 1).alias("hint"))
     return A.decide_duplicates(o, rows)
 
 
@@ -336,7 +336,7 @@ ORACLE = {
           UNION ALL SELECT l.sku, l.listing_id, 'NO-OFFER', false, NULL, d.ref, 'published without an offer' FROM {local} l LEFT JOIN d ON d.sku = l.sku WHERE l.status = 'PUBLISHED' AND l.sku NOT IN (SELECT sku FROM o)""",
         "j12_snapshot_drift": """WITH j AS (SELECT r.sku // 2 AS listing_id, r.sku, r.price, r.status, l.sku AS ls, l.price AS lp, l.status AS lst, row_number() OVER (PARTITION BY r.sku // 2 ORDER BY l.sku IS NULL, r.sku) AS n FROM {remote} r LEFT JOIN {local} l ON l.sku = r.sku),
           k AS (SELECT listing_id, sku, CASE WHEN ls IS NULL THEN 'not in ledger' WHEN status IS DISTINCT FROM lst THEN 'status' WHEN abs(price - lp) >= 0.005 THEN 'price' END AS kind FROM j WHERE n = 1) SELECT * FROM k WHERE kind IS NOT NULL""",
-        "d1_duplicates": """WITH r0 AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS t, p_size AS b, p_size % 9 = 0 AS lot FROM part WHERE p_partkey % 10 < 9), c0 AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand) AS t, p_size AS b, p_partkey % 4 = 0 AS framed, p_partkey % 5 = 0 AS filed, CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 1 END AS hint FROM part WHERE p_size = 7),
+        "d1_duplicates": """WITH r0 AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS t, p_size AS b, p_size % 9 = 0 AS lot FROM part WHERE p_partkey % 10 < 9), c0 AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand) AS t, p_size AS b, p_partkey % 4 = 0 AS framed, p_partkey % 5 = 0 AS filed, CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 1 END AS hint FROM part),
           stop AS (SELECT unnest(string_split('""" + " ".join(S.STOP_WORDS) + """', ' ')) AS w),
           r AS (SELECT DISTINCT id, CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS w FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z]+')) AS w FROM r0) WHERE length(w) >= 3 AND w NOT IN (SELECT w FROM stop)),
           c AS (SELECT DISTINCT id, CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS w FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z]+')) AS w FROM c0) WHERE length(w) >= 3 AND w NOT IN (SELECT w FROM stop)),
