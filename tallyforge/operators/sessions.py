@@ -35,9 +35,3 @@ def pair_calls(events: DataFrame, session: str = "session", ts: str = "ts", orde
     """Events with the kind before and whether it is the same."""
     w = Window.partitionBy(session).orderBy(ts, order)
     return events.withColumn("before", F.lag("kind").over(w)).withColumn("same", F.coalesce(F.col("kind") == F.col("before"), F.lit(False)))
-
-
-def threshold_sweep(labelled: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
-    """(threshold, kept, right, wrong) for each threshold, in one pass over the rows."""
-    cells = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(score) >= t).alias("kept"), F.count_if((F.col(score) >= t) & (F.col(label) == 1)).alias("right_kept"), F.count_if((F.col(score) >= t) & (F.col(label) == 0)).alias("wrong_kept")) for t in thresholds]
-    return labelled.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import asks as K
 from ..operators import lookalike as L
 from ..operators import sessions as E
 from .views import bind, table, with_views
@@ -31,9 +32,52 @@ def w8(spark, d):
     return E.segment_asks(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user").groupBy("conv_id", "segment").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
 
 
+def _labelled(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score")), "doc_id")
+
+
 def a24(spark, d):
-    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score")), "doc_id")
-    return E.threshold_sweep(j, "score", "quality", THRESHOLDS)
+    j = _labelled(spark, d)
+    return K.threshold_sweep(j, "score", "quality", THRESHOLDS).select("threshold", "kept", "right_kept", "wrong_kept")
+
+
+def a24_shares(spark, d):
+    """A thousand thresholds in one pass over the rows."""
+    return K.threshold_sweep(_labelled(spark, d), "score", "quality", [float(10 * i) for i in range(1_000)])
+
+
+def a24_bands(spark, d):
+    return K.agreement_by_band(_labelled(spark, d), "score", "quality", [0, 100, 500, 1000, 2000, 4000, 100000])
+
+
+#: Words by which an ask's stage is told.
+STAGES = {"BUY": ["purchase", "cart"], "LOOK": ["view"], "TROUBLE": ["error", "fail"], "ACT": ["click", "sign"]}
+
+
+def _asks(spark, d):
+    t = bind(spark, d, "calls").withColumns({"tokens": F.col("value").cast("decimal(18,2)"), "text": F.col("kind")})
+    return K.asks(t, STAGES, F.col("event_id") % 16 == 0)
+
+
+def a21_asks(spark, d):
+    return _asks(spark, d)
+
+
+def a21_stages(spark, d):
+    return K.by_stage(_asks(spark, d))
+
+
+def a21_hot_spots(spark, d):
+    return K.hot_spots(_asks(spark, d)).select("session", "place", "segment", "turns", "stage")
+
+
+def w10_friction(spark, d):
+    calls = table(spark, d, "events").select(F.col("user_id").alias("session"), F.concat_ws(":", "event_type", "props").alias("signature"))
+    return K.friction(_asks(spark, d), calls)
+
+
+def w10_runs(spark, d):
+    return K.runs(bind(spark, d, "calls"), "kind", least=3)
 
 
 def _vectors(spark, d):
@@ -69,7 +113,7 @@ def x3(spark, d):
     return bind(spark, d, "calls").groupBy(to_report_date(F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
 
 
-QUERIES = {"w6_active_time": w6, "a21_session_summary": a21, "w10_repeats": w10, "w9_pair_calls": w9, "w8_segment_asks": w8, "a24_threshold_sweep": a24, "v1_nearest": v1, "v1_index_recall": v1_recall, "v1_products": v1_products, "x3_daily_batch_twin": x3}
+QUERIES = {"w6_active_time": w6, "a21_session_summary": a21, "w10_repeats": w10, "w9_pair_calls": w9, "w8_segment_asks": w8, "a24_threshold_sweep": a24, "a24_shares": a24_shares, "a24_bands": a24_bands, "a21_asks": a21_asks, "a21_stages": a21_stages, "a21_hot_spots": a21_hot_spots, "w10_friction": w10_friction, "w10_runs": w10_runs, "v1_nearest": v1, "v1_index_recall": v1_recall, "v1_products": v1_products, "x3_daily_batch_twin": x3}
 
 ORACLE = {
     k: with_views(v)
@@ -80,6 +124,21 @@ ORACLE = {
         "w9_pair_calls": "WITH b AS (SELECT event_id, kind, lag(kind) OVER (PARTITION BY session ORDER BY ts, event_id) AS before FROM {calls}) SELECT event_id, before, coalesce(kind = before, false) AS same FROM b",
         "w8_segment_asks": "WITH s AS (SELECT conv_id, text, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM conversations) SELECT conv_id, segment, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY 1, 2",
         "a24_threshold_sweep": "WITH j AS (SELECT quality, CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), t AS (SELECT unnest([0.0, 500.0, 1000.0, 2000.0, 4000.0])::DOUBLE AS threshold) SELECT threshold, count(*) FILTER (s >= threshold) AS kept, count(*) FILTER (s >= threshold AND quality = 1) AS right_kept, count(*) FILTER (s >= threshold AND quality = 0) AS wrong_kept FROM t, j GROUP BY 1",
+        "a24_shares": "WITH j AS (SELECT quality, CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL), t AS (SELECT CAST(10 * i AS DOUBLE) AS threshold FROM range(1000) x(i)), k AS (SELECT threshold, count(*) FILTER (s >= threshold) AS kept, count(*) FILTER (s >= threshold AND quality = 1) AS right_kept, count(*) AS n FROM t, j GROUP BY 1) SELECT threshold, kept, kept / n AS kept_share, right_kept, kept - right_kept AS wrong_kept, right_kept / nullif(kept, 0) AS agree FROM k",
+        "a24_bands": "WITH j AS (SELECT quality, CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), e AS (SELECT unnest([0, 100, 500, 1000, 2000, 4000])::DOUBLE AS low, unnest([100, 500, 1000, 2000, 4000, 100000])::DOUBLE AS high) SELECT low, high, count(*) AS n, count(*) FILTER (quality = 1) / count(*) AS agree FROM e JOIN j ON s >= low AND s < high GROUP BY 1, 2",
+        "a21_asks": """WITH c AS (SELECT *, sum(CASE WHEN event_id % 16 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, event_id) AS segment FROM {calls}),
+          h AS (SELECT session, segment, count(*) FILTER (event_id % 16 <> 0) AS turns, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, sum(CAST(value AS DECIMAL(18,2))) AS tokens, sum(CAST((length(kind) - length(replace(kind, 'purchase', ''))) / 8 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'cart', ''))) / 4 AS INTEGER)) AS h0, sum(CAST((length(kind) - length(replace(kind, 'view', ''))) / 4 AS INTEGER)) AS h1, sum(CAST((length(kind) - length(replace(kind, 'error', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'fail', ''))) / 4 AS INTEGER)) AS h2, sum(CAST((length(kind) - length(replace(kind, 'click', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'sign', ''))) / 4 AS INTEGER)) AS h3 FROM c GROUP BY 1, 2),
+          a AS (SELECT session, CAST(segment AS BIGINT) AS segment, turns, seconds, tokens, CASE greatest(h0, h1, h2, h3) WHEN 0 THEN 'OTHER' WHEN h0 THEN 'BUY' WHEN h1 THEN 'LOOK' WHEN h2 THEN 'TROUBLE' ELSE 'ACT' END AS stage, turns >= 25 AS long_loop FROM h) SELECT * FROM a""",
+        "a21_stages": """WITH c AS (SELECT *, sum(CASE WHEN event_id % 16 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, event_id) AS segment FROM {calls}),
+          h AS (SELECT session, segment, count(*) FILTER (event_id % 16 <> 0) AS turns, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, sum(CAST(value AS DECIMAL(18,2))) AS tokens, sum(CAST((length(kind) - length(replace(kind, 'purchase', ''))) / 8 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'cart', ''))) / 4 AS INTEGER)) AS h0, sum(CAST((length(kind) - length(replace(kind, 'view', ''))) / 4 AS INTEGER)) AS h1, sum(CAST((length(kind) - length(replace(kind, 'error', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'fail', ''))) / 4 AS INTEGER)) AS h2, sum(CAST((length(kind) - length(replace(kind, 'click', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'sign', ''))) / 4 AS INTEGER)) AS h3 FROM c GROUP BY 1, 2),
+          a AS (SELECT session, CAST(segment AS BIGINT) AS segment, turns, seconds, tokens, CASE greatest(h0, h1, h2, h3) WHEN 0 THEN 'OTHER' WHEN h0 THEN 'BUY' WHEN h1 THEN 'LOOK' WHEN h2 THEN 'TROUBLE' ELSE 'ACT' END AS stage, turns >= 25 AS long_loop FROM h) SELECT session, stage, count(*) AS asks, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(least(seconds, 3600)) AS BIGINT) AS seconds, sum(tokens) AS tokens FROM a GROUP BY 1, 2""",
+        "a21_hot_spots": """WITH c AS (SELECT *, sum(CASE WHEN event_id % 16 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, event_id) AS segment FROM {calls}),
+          h AS (SELECT session, segment, count(*) FILTER (event_id % 16 <> 0) AS turns, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, sum(CAST(value AS DECIMAL(18,2))) AS tokens, sum(CAST((length(kind) - length(replace(kind, 'purchase', ''))) / 8 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'cart', ''))) / 4 AS INTEGER)) AS h0, sum(CAST((length(kind) - length(replace(kind, 'view', ''))) / 4 AS INTEGER)) AS h1, sum(CAST((length(kind) - length(replace(kind, 'error', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'fail', ''))) / 4 AS INTEGER)) AS h2, sum(CAST((length(kind) - length(replace(kind, 'click', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'sign', ''))) / 4 AS INTEGER)) AS h3 FROM c GROUP BY 1, 2),
+          a AS (SELECT session, CAST(segment AS BIGINT) AS segment, turns, seconds, tokens, CASE greatest(h0, h1, h2, h3) WHEN 0 THEN 'OTHER' WHEN h0 THEN 'BUY' WHEN h1 THEN 'LOOK' WHEN h2 THEN 'TROUBLE' ELSE 'ACT' END AS stage, turns >= 25 AS long_loop FROM h), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY session ORDER BY turns DESC, segment) AS INTEGER) AS place FROM a WHERE turns > 0) SELECT session, place, segment, turns, stage FROM r WHERE place <= 5""",
+        "w10_friction": """WITH c AS (SELECT *, sum(CASE WHEN event_id % 16 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, event_id) AS segment FROM {calls}),
+          h AS (SELECT session, segment, count(*) FILTER (event_id % 16 <> 0) AS turns, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, sum(CAST(value AS DECIMAL(18,2))) AS tokens, sum(CAST((length(kind) - length(replace(kind, 'purchase', ''))) / 8 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'cart', ''))) / 4 AS INTEGER)) AS h0, sum(CAST((length(kind) - length(replace(kind, 'view', ''))) / 4 AS INTEGER)) AS h1, sum(CAST((length(kind) - length(replace(kind, 'error', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'fail', ''))) / 4 AS INTEGER)) AS h2, sum(CAST((length(kind) - length(replace(kind, 'click', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'sign', ''))) / 4 AS INTEGER)) AS h3 FROM c GROUP BY 1, 2),
+          a AS (SELECT session, CAST(segment AS BIGINT) AS segment, turns, seconds, tokens, CASE greatest(h0, h1, h2, h3) WHEN 0 THEN 'OTHER' WHEN h0 THEN 'BUY' WHEN h1 THEN 'LOOK' WHEN h2 THEN 'TROUBLE' ELSE 'ACT' END AS stage, turns >= 25 AS long_loop FROM h) SELECT session, 'long_loop' AS kind, CAST(segment AS VARCHAR) AS detail, turns AS times FROM a WHERE long_loop UNION ALL SELECT user_id, 'repeat', concat_ws(':', event_type, props), count(*) FROM events GROUP BY 1, 3 HAVING count(*) >= 3""",
+        "w10_runs": "WITH n AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER (PARTITION BY session ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM {calls}), r AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, event_id) AS run FROM n) SELECT session, kind, first(event_id ORDER BY ts, event_id) AS first, last(event_id ORDER BY ts, event_id) AS last, count(*) AS length FROM r GROUP BY session, run, kind HAVING count(*) >= 3",
         "v1_index_recall": "SELECT 5 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
         "v1_products": """WITH s AS (SELECT CAST(floor(q.vec_id / 100) AS BIGINT) AS query_id, CAST(floor(e.vec_id / 3) AS BIGINT) AS item, max(round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12)) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 10 = 0 GROUP BY 1, 2),
           r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INTEGER) AS place FROM s), f AS (SELECT * FROM r WHERE place <= 5),
