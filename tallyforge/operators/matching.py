@@ -75,6 +75,26 @@ def last_change(listings: DataFrame, log: DataFrame, key: str, start: str) -> Da
     return j.withColumns({"last": last, "source": F.when(last.isNull(), None).when(F.coalesce(F.col("logged") >= F.col(start), F.col(start).isNull()), "log").otherwise("start")}).drop("logged")
 
 
+def listing_changes(listings: DataFrame, log: DataFrame, key: str = "listing") -> DataFrame:
+    """listings with last (date) and source: the newest log row of the same sku or the same item_id, or the start where that is later.
+
+    listings: key, sku, item_id, store, start; log: sku, item_id, store, date, pos,
+    source. Empty ids match nothing; an empty store on either side fits every store.
+    Of rows of one date the last by pos counts; a row without a source is 'log', a later start 'listed'. The log is
+    reduced to one row for each id and store first, so both joins are by equality and small.
+    """
+    some = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    ids = F.explode(F.array(F.struct(F.lit("sku").alias("kind"), some("sku").alias("id")), F.struct(F.lit("item").alias("kind"), some("item_id").alias("id"))))
+    best = F.max(F.struct("date", "pos", F.coalesce(some("source"), F.lit("log")).alias("source"))).alias("best")
+    news = log.where("date is not null").select(ids.alias("k"), some("store").alias("its"), "date", "pos", "source").where("k.id is not null").groupBy("k", "its").agg(best)
+    own = listings.select(key, some("store").alias("mine"), ids.alias("k")).where("k.id is not null")
+    met = own.join(news, "k").where("its is null or mine is null or its = mine").groupBy(key).agg(F.max("best").alias("best"))
+    late = F.col("best").isNull() | (F.col("start") > F.col("best.date"))
+    by_start = F.col("start").isNotNull() & late
+    j = listings.join(met, key, "left")
+    return j.withColumns({"last": F.when(by_start, F.col("start")).otherwise(F.col("best.date")), "source": F.when(by_start, F.lit("listed")).otherwise(F.col("best.source"))}).drop("best")
+
+
 def active_hold(listings: DataFrame, holds: DataFrame, key: str, today: Column, reason: str = "reason") -> DataFrame:
     live = holds.where(F.col("until").isNull() | (F.col("until") >= today))
     return listings.join(dedupe_first(live, [key], ["until", reason]).select(key, reason), key, "left")

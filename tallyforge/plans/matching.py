@@ -103,7 +103,16 @@ def k9(spark, d):
     return M.select_oldest(o, [(F.col("o_orderstatus") == "F", "finished"), (F.col("o_totalprice") < 1000, "small")], "day", "o_orderkey", 100)[1]
 
 
-QUERIES = {"j1_lookup": j1, "j2_match_ladder": j2, "j5_reconcile": j5, "j6_nearest_bucket": j6, "j8_last_change": j8, "j8_last_change_all": j8_all, "j9_active_hold": j9, "j10_overlaps": j10, "j10_overlaps_all": j10_all, "s10_category_tree": s10, "u1_table_diff": u1, "u2_merge_prefer": u2, "w4_upsert": w4, "w5_append_new": w5, "k1_promotion_plan": k1, "k9_select_oldest": k9}
+def j8_listing(spark, d):
+    """Parts listed in two stores or none, against a log of returned lines that names them by sku, by item or by both."""
+    k = F.col("p_partkey")
+    listings = table(spark, d, "part").select(k.alias("listing"), F.when(k % 5 != 0, k.cast("string")).alias("sku"), F.when(k % 3 != 0, (k * 7).cast("string")).otherwise("").alias("item_id"), F.when(k % 4 == 0, "a").when(k % 4 == 1, "b").otherwise("").alias("store"), F.when(F.col("p_size") % 7 != 0, F.date_add(F.lit("1997-01-01").cast("date"), F.col("p_size").cast("int") * 20)).alias("start"))
+    n, o, p = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey")
+    log = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.when(n % 3 != 0, p.cast("string")).alias("sku"), F.when(n % 2 == 0, (p * 7).cast("string")).alias("item_id"), F.when(o % 3 == 0, "a").when(o % 3 == 1, "b").alias("store"), F.to_date("l_shipdate").alias("date"), (o * 10 + n).alias("pos"), F.when(n % 4 == 0, "report").alias("source"))
+    return M.listing_changes(listings, log).select("listing", "last", "source")
+
+
+QUERIES = {"j8_listing_changes": j8_listing, "j1_lookup": j1, "j2_match_ladder": j2, "j5_reconcile": j5, "j6_nearest_bucket": j6, "j8_last_change": j8, "j8_last_change_all": j8_all, "j9_active_hold": j9, "j10_overlaps": j10, "j10_overlaps_all": j10_all, "s10_category_tree": s10, "u1_table_diff": u1, "u2_merge_prefer": u2, "w4_upsert": w4, "w5_append_new": w5, "k1_promotion_plan": k1, "k9_select_oldest": k9}
 
 ORACLE = {
     k: with_views(v)
@@ -119,6 +128,11 @@ ORACLE = {
           UNION ALL SELECT CASE WHEN x IS NULL THEN 'missing' WHEN s1 = 'PUBLISHED' THEN 'unbacked' WHEN i1 IS NULL THEN 'never_listed' ELSE 'orphan' END, key, NULL, NULL, NULL FROM j WHERE x IS NULL OR y IS NULL""",
         "j6_nearest_bucket": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/$', '') AS path FROM pages), b AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS bucket FROM p WHERE page_id % 3 = 0 UNION SELECT split_part(path, '/', 1) FROM p),
           m AS (SELECT page_id, bucket, row_number() OVER (PARTITION BY page_id ORDER BY length(bucket) DESC) AS r FROM p JOIN b ON p.path = b.bucket OR starts_with(p.path, b.bucket || '/')) SELECT p.page_id, path, bucket FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1""",
+        "j8_listing_changes": """WITH l AS (SELECT p_partkey AS listing, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS sku, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 7 END AS item, CASE p_partkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS store, CASE WHEN p_size % 7 <> 0 THEN DATE '1997-01-01' + CAST(p_size * 20 AS INTEGER) END AS start FROM part),
+          g AS (SELECT CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey END AS sku, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey * 7 END AS item, CASE l_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS store, CAST(l_shipdate AS DATE) AS date, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber % 4 = 0 THEN 'report' ELSE 'log' END AS source FROM lineitem WHERE l_returnflag = 'R'),
+          m AS (SELECT listing, start, date, pos, source FROM l JOIN g ON l.sku = g.sku AND (l.store = g.store OR l.store IS NULL OR g.store IS NULL) UNION ALL SELECT listing, start, date, pos, source FROM l JOIN g ON l.item = g.item AND (l.store = g.store OR l.store IS NULL OR g.store IS NULL)),
+          b AS (SELECT listing, max(date) AS date, arg_max(source, (date, pos, source)) AS source FROM m GROUP BY 1)
+          SELECT l.listing, CASE WHEN b.date IS NULL OR start > b.date THEN start ELSE b.date END AS last, CASE WHEN start IS NOT NULL AND (b.date IS NULL OR start > b.date) THEN 'listed' ELSE b.source END AS source FROM l LEFT JOIN b USING (listing)""",
         "j8_last_change": """WITH l AS (SELECT p_partkey AS sku, CASE WHEN p_size % 7 <> 0 THEN DATE '1997-01-01' + p_size * 20 END AS start FROM part), g AS (SELECT l_partkey AS sku, max(CAST(l_shipdate AS DATE)) AS logged FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
           SELECT l.sku, start, greatest(logged, start) AS last, CASE WHEN logged IS NULL AND start IS NULL THEN NULL WHEN start IS NULL OR logged >= start THEN 'log' ELSE 'start' END AS source FROM l LEFT JOIN g ON l.sku = g.sku""",
         "j8_last_change_all": """WITH l AS (SELECT p_partkey AS sku, CASE WHEN p_size % 7 <> 0 THEN DATE '1997-01-01' + p_size * 20 END AS start FROM part), g AS (SELECT l_partkey AS sku, max(CAST(l_shipdate AS DATE)) AS logged FROM lineitem GROUP BY 1)

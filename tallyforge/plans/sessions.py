@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asks as K
+from ..operators import economics as Q
 from ..operators import lookalike as L
 from ..operators import sessions as E
 from .views import bind, table, with_views
@@ -80,6 +81,46 @@ def w10_runs(spark, d):
     return K.runs(bind(spark, d, "calls"), "kind", least=3)
 
 
+#: Dollars a million tokens by prefix of a model: input, output, and what reading a cache costs of the input rate.
+RATES = "VALUES ('c', 4.0D, 20.0D, CAST(NULL AS DOUBLE)), ('click', 2.0D, 10.0D, 0.05D), ('view', 1.0D, 5.0D, 0.1D), ('viewer', 9.0D, 9.0D, 0.1D)"
+
+
+def a23_costs(spark, d):
+    """Cost of each session: models by longest prefix, counts of tokens from the value."""
+    rates = spark.sql(f"SELECT * FROM {RATES} AS r(prefix, rate_in, rate_out, read)")
+    n = F.floor(F.col("value")).cast("long")
+    calls = bind(spark, d, "calls").select("session", F.col("kind").alias("model"), n.alias("fresh"), (n * 2).alias("out"), F.when(F.col("event_id") % 2 == 0, n * 3).alias("written"), (n * 10).alias("read_n"))
+    c = Q.with_rates(calls, rates, (3.0, 15.0)).withColumn("cost", Q.cost(F.col("fresh"), F.col("out"), F.col("written"), F.col("read_n")))
+    return c.groupBy("session").agg(F.count("*").alias("n"), F.sum(F.col("cost").cast("decimal(28,10)")).cast("decimal(28,6)").alias("cost"))
+
+
+def _pairs(spark, d):
+    k = F.col("event_id")
+    e = bind(spark, d, "calls").select("session", "ts", "event_id", (k % 7).alias("call_id"), F.when(F.floor(k / 7) % 2 == 0, "call").otherwise("result").alias("type"), F.col("kind").alias("name"), (k % 5 == 0).alias("background"))
+    return Q.paired_calls(e)
+
+
+def w9_by_id(spark, d):
+    return _pairs(spark, d).select("session", "call_id", "name", "started", "ended", "background")
+
+
+def a23_blocking(spark, d):
+    return Q.blocking(_pairs(spark, d), ["session", "name"], F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-25").cast("timestamp_ntz"))
+
+
+def a23_context(spark, d):
+    """The p90 by index of each session's values, by the grouped aggregate."""
+    return bind(spark, d, "calls").groupBy("session").agg(Q.index_quantile(0.9)("value").alias("p90"))
+
+
+def a23_waits(spark, d):
+    """Waiting of an hour's turns at gates, of paired calls by two names."""
+    p = _pairs(spark, d)
+    gates = p.where("name = 'error'").select("session", "started", "ended")
+    turns = p.where("name = 'view'").select("session", F.concat_ws("-", F.col("call_id").cast("string"), F.col("started").cast("string")).alias("turn"), "started", "ended")
+    return Q.waits(gates, turns).select("session", F.round("waited").cast("long").alias("waited")).groupBy("session").agg(F.count("*").alias("turns"), F.sum("waited").alias("waited"))
+
+
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("item"), "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -113,7 +154,7 @@ def x3(spark, d):
     return bind(spark, d, "calls").groupBy(to_report_date(F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
 
 
-QUERIES = {"w6_active_time": w6, "a21_session_summary": a21, "w10_repeats": w10, "w9_pair_calls": w9, "w8_segment_asks": w8, "a24_threshold_sweep": a24, "a24_shares": a24_shares, "a24_bands": a24_bands, "a21_asks": a21_asks, "a21_stages": a21_stages, "a21_hot_spots": a21_hot_spots, "w10_friction": w10_friction, "w10_runs": w10_runs, "v1_nearest": v1, "v1_index_recall": v1_recall, "v1_products": v1_products, "x3_daily_batch_twin": x3}
+QUERIES = {"w6_active_time": w6, "a21_session_summary": a21, "w10_repeats": w10, "w9_pair_calls": w9, "w8_segment_asks": w8, "a24_threshold_sweep": a24, "a24_shares": a24_shares, "a24_bands": a24_bands, "a21_asks": a21_asks, "a21_stages": a21_stages, "a21_hot_spots": a21_hot_spots, "w10_friction": w10_friction, "w10_runs": w10_runs, "a23_costs": a23_costs, "w9_pairs_by_id": w9_by_id, "a23_blocking": a23_blocking, "a23_context": a23_context, "a23_waits": a23_waits, "v1_nearest": v1, "v1_index_recall": v1_recall, "v1_products": v1_products, "x3_daily_batch_twin": x3}
 
 ORACLE = {
     k: with_views(v)
@@ -139,6 +180,15 @@ ORACLE = {
           h AS (SELECT session, segment, count(*) FILTER (event_id % 16 <> 0) AS turns, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, sum(CAST(value AS DECIMAL(18,2))) AS tokens, sum(CAST((length(kind) - length(replace(kind, 'purchase', ''))) / 8 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'cart', ''))) / 4 AS INTEGER)) AS h0, sum(CAST((length(kind) - length(replace(kind, 'view', ''))) / 4 AS INTEGER)) AS h1, sum(CAST((length(kind) - length(replace(kind, 'error', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'fail', ''))) / 4 AS INTEGER)) AS h2, sum(CAST((length(kind) - length(replace(kind, 'click', ''))) / 5 AS INTEGER) + CAST((length(kind) - length(replace(kind, 'sign', ''))) / 4 AS INTEGER)) AS h3 FROM c GROUP BY 1, 2),
           a AS (SELECT session, CAST(segment AS BIGINT) AS segment, turns, seconds, tokens, CASE greatest(h0, h1, h2, h3) WHEN 0 THEN 'OTHER' WHEN h0 THEN 'BUY' WHEN h1 THEN 'LOOK' WHEN h2 THEN 'TROUBLE' ELSE 'ACT' END AS stage, turns >= 25 AS long_loop FROM h) SELECT session, 'long_loop' AS kind, CAST(segment AS VARCHAR) AS detail, turns AS times FROM a WHERE long_loop UNION ALL SELECT user_id, 'repeat', concat_ws(':', event_type, props), count(*) FROM events GROUP BY 1, 3 HAVING count(*) >= 3""",
         "w10_runs": "WITH n AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER (PARTITION BY session ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM {calls}), r AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, event_id) AS run FROM n) SELECT session, kind, first(event_id ORDER BY ts, event_id) AS first, last(event_id ORDER BY ts, event_id) AS last, count(*) AS length FROM r GROUP BY session, run, kind HAVING count(*) >= 3",
+        "a23_costs": """WITH c AS (SELECT session, kind, CAST(floor(value) AS BIGINT) AS n, event_id FROM {calls}), r AS (SELECT session, n, event_id, CASE WHEN kind LIKE 'click%' THEN 2.0 WHEN kind LIKE 'view%' THEN 1.0 WHEN kind LIKE 'c%' THEN 4.0 ELSE 3.0 END::DOUBLE AS i, CASE WHEN kind LIKE 'click%' THEN 10.0 WHEN kind LIKE 'view%' THEN 5.0 WHEN kind LIKE 'c%' THEN 20.0 ELSE 15.0 END::DOUBLE AS o, CASE WHEN kind LIKE 'click%' THEN 0.05 ELSE 0.1 END::DOUBLE AS f FROM c)
+          SELECT session, count(*) AS n, CAST(sum(CAST((n * i + 2 * n * o + CASE WHEN event_id % 2 = 0 THEN 3 * n ELSE 0 END * i * 1.25::DOUBLE + 10 * n * (i * f)) / 1000000 AS DECIMAL(28,10))) AS DECIMAL(28,6)) AS cost FROM r GROUP BY 1""",
+        "w9_pairs_by_id": """WITH e AS (SELECT *, event_id % 7 AS call_id, (event_id // 7) % 2 = 0 AS call FROM {calls}), b AS (SELECT *, lag(call) OVER w AS was_call, lag(kind) OVER w AS name, lag(ts) OVER w AS started, lag(event_id % 5 = 0) OVER w AS background FROM e WINDOW w AS (PARTITION BY session, call_id ORDER BY ts, event_id)),
+          p AS (SELECT session, call_id, name, started, ts AS ended, background FROM b WHERE NOT call AND was_call) SELECT * FROM p""",
+        "a23_blocking": """WITH e AS (SELECT *, event_id % 7 AS call_id, (event_id // 7) % 2 = 0 AS call FROM {calls}), b AS (SELECT *, lag(call) OVER w AS was_call, lag(kind) OVER w AS name, lag(ts) OVER w AS started, lag(event_id % 5 = 0) OVER w AS background FROM e WINDOW w AS (PARTITION BY session, call_id ORDER BY ts, event_id)),
+          p AS (SELECT session, call_id, name, started, ts AS ended, background FROM b WHERE NOT call AND was_call) SELECT session, name, count(*) AS calls, CAST(sum(epoch_us(ended) - epoch_us(started)) / 1000000.0 AS DECIMAL(28,6)) AS seconds FROM p WHERE NOT background AND started >= TIMESTAMP '2024-01-05' AND started < TIMESTAMP '2024-01-25' GROUP BY 1, 2""",
+        "a23_context": "WITH r AS (SELECT session, value, row_number() OVER (PARTITION BY session ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM {calls} WHERE value IS NOT NULL) SELECT session, max(value) FILTER (i = least(CAST(floor(n * 0.9::DOUBLE) AS BIGINT), n - 1)) AS p90 FROM r GROUP BY 1",
+        "a23_waits": """WITH e AS (SELECT *, event_id % 7 AS call_id, (event_id // 7) % 2 = 0 AS call FROM {calls}), b AS (SELECT *, lag(call) OVER w AS was_call, lag(kind) OVER w AS name, lag(ts) OVER w AS started, lag(event_id % 5 = 0) OVER w AS background FROM e WINDOW w AS (PARTITION BY session, call_id ORDER BY ts, event_id)),
+          p AS (SELECT session, call_id, name, started, ts AS ended, background FROM b WHERE NOT call AND was_call), o AS (SELECT t.session, t.call_id, t.started, CAST(round(sum(epoch_us(least(t.ended, g.ended)) - epoch_us(greatest(t.started, g.started))) / 1e6) AS BIGINT) AS waited FROM p t JOIN p g ON t.session = g.session AND t.name = 'view' AND g.name = 'error' AND greatest(t.started, g.started) < least(t.ended, g.ended) GROUP BY 1, 2, 3) SELECT session, count(*) AS turns, CAST(sum(waited) AS BIGINT) AS waited FROM o GROUP BY 1""",
         "v1_index_recall": "SELECT 5 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
         "v1_products": """WITH s AS (SELECT CAST(floor(q.vec_id / 100) AS BIGINT) AS query_id, CAST(floor(e.vec_id / 3) AS BIGINT) AS item, max(round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12)) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 10 = 0 GROUP BY 1, 2),
           r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INTEGER) AS place FROM s), f AS (SELECT * FROM r WHERE place <= 5),
