@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chains, comps, labels, listing_rules, markdown, matching, money, reports, selection, sessions, studies
+from . import chains, comps, labels, listing_rules, listing_text, markdown, matching, money, reports, selection, sessions, studies
 
-MODULES = (comps, money, matching, sessions, listing_rules, reports, selection, studies, markdown, labels, chains)
+MODULES = (comps, money, matching, sessions, listing_rules, reports, selection, studies, markdown, labels, chains, listing_text)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
