@@ -159,7 +159,7 @@ def test_words_over_many_slices(monkeypatch):
 
 PROSE = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore."
 P = f"<p>{PROSE}</p>"
-#: Pages that take no part in the fit, each with the blocks of its main text.
+#: Development pages, each with the blocks of its main text: not fitted, but layouts and evidence were chosen with them in view.
 PAGES = [
     (f'<head><title>x</title></head><header class="global-header"><a href="/">Site</a><nav class="primary-nav"><a href="/a">Home</a> <a href="/b">News</a></nav></header><div class="cookie-consent">We use cookies to improve your visit, and more.<button>OK</button></div><main><article><h1>The Title</h1><p class="lead">{PROSE}</p>{P}<p>Short.</p><div class="ad-slot"><p>Buy our new phone now.</p></div>{P}</article><section class="comments-area"><h2>3 comments</h2><ol class="comment-list"><li class="comment">{P}</li><li><p>I agree.</p></li></ol></section></main><aside class="sidebar"><h3>Popular</h3><ul><li><a href=x>One two three</a></li></ul></aside><footer><p>Copyright 2020 Site. All rights reserved.</p></footer>', ["The Title", PROSE, PROSE, "Short.", PROSE]),
     (f'<div id="top"><ul id="menu"><li><a href=1>A</a><li><a href=2>B</a></ul></div><div id="page"><div id="left-sidebar"><p>About this site: we write about things, and more.</p></div><div id="article-body"><h1>Heading here</h1>{P * 3}<ul><li>First point of the list.</li><li>Second point of it.</li></ul>{P}</div><div id="comments"><div class="comment-body">{P}</div><form class="comment-form"><label>Name</label><textarea>x</textarea></form></div></div><div id="footer">Imprint and contact of the site</div>', ["Heading here", PROSE, PROSE, PROSE, "First point of the list.", "Second point of it.", PROSE]),
@@ -177,7 +177,7 @@ def model(spark):
     return html_text.trained(spark.read.parquet(f"{DATA}/pages.parquet"))
 
 
-def test_held_out_pages(model):
+def test_development_pages(model):
     for (_, want), got in zip(PAGES, html_text.texts_of([html for html, _ in PAGES], model), strict=True):
         assert got.split("\n") == want
 
