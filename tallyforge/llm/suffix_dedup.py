@@ -122,7 +122,7 @@ def _extended(docs: DataFrame, again: DataFrame, passage: int, prefix: int, hot_
     return of(False), of(True) if len(hot) else None
 
 
-FOUND = "uid long, tid long, start int, n int, first long, kept boolean"
+FOUND = "uid long, tid long, start int, n int, first long, kept boolean, own boolean"
 
 
 def _windows_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -134,16 +134,16 @@ def _windows_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return wh, vh, uid, tid, start.astype(np.int64) + np.arange(len(wh)) - offsets[:-1][own]
 
 
-def _runs(uid: np.ndarray, tid: np.ndarray, start: np.ndarray, twice: np.ndarray, first: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+def _runs(uid: np.ndarray, tid: np.ndarray, start: np.ndarray, twice: np.ndarray, first: np.ndarray, kept: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
     """FOUND rows of the windows that are there twice; windows of one kind that follow one another in a text are one run."""
     apart = (uid[1:] != uid[:-1]) | (tid[1:] != tid[:-1]) | (start[1:] != start[:-1] + 1)
-    cut = np.append(True, apart | (kept[1:] != kept[:-1]) | (twice[1:] != twice[:-1]))
+    cut = np.append(True, apart | (kept[1:] != kept[:-1]) | (own[1:] != own[:-1]) | (twice[1:] != twice[:-1]))
     runs = np.flatnonzero(cut)
     n = np.diff(np.append(runs, len(uid)))
     least = np.minimum.reduceat(first, runs)
     hit = twice[runs]
-    columns = [uid[runs][hit], tid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit]]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "tid", "start", "n", "first", "kept"])
+    columns = [uid[runs][hit], tid[runs][hit], start[runs][hit].astype(np.int32), n[hit].astype(np.int32), least[hit], kept[runs][hit], own[runs][hit]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "tid", "start", "n", "first", "kept", "own"])
 
 
 def _often(often: DataFrame, lookup_rows: int) -> DataFrame:
@@ -155,7 +155,8 @@ def _often(often: DataFrame, lookup_rows: int) -> DataFrame:
     least = stored(least.select("whs", "vhs", "least.uid", "least.tid", "least.start"), "least")
     if least.count() > lookup_rows:
         windows = windows.join(least.withColumnsRenamed({"uid": "u", "tid": "t", "start": "s"}), ["whs", "vhs"])
-        return windows.select("at.uid", "at.tid", "at.start", F.lit(1), "u", (F.col("at.uid") == F.col("u")) & (F.col("at.tid") == F.col("t")) & (F.col("at.start") == F.col("s")))
+        own = (F.col("at.uid") == F.col("u")) & (F.col("at.tid") == F.col("t"))
+        return windows.select("at.uid", "at.tid", "at.start", F.lit(1), "u", own & (F.col("at.start") == F.col("s")), own)
     t = least.toArrow()
     wh, vh = (np.asarray(t[c]).view(U64) for c in ("whs", "vhs"))
     order = np.lexsort((vh, wh))
@@ -175,14 +176,14 @@ def _often(often: DataFrame, lookup_rows: int) -> DataFrame:
                     break
                 place = place + on
             twice = (place < len(keys)) & (keys[inside] == wh)
-            kept = twice & (uids[inside] == uid) & (tids[inside] == tid) & (starts[inside] == start)
-            yield _runs(uid, tid, start, twice, uids[inside], kept)
+            own = twice & (uids[inside] == uid) & (tids[inside] == tid)
+            yield _runs(uid, tid, start, twice, uids[inside], own & (starts[inside] == start), own)
 
     return often.mapInArrow(tidy(look_up), FOUND)
 
 
 def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, hot_rows: int = HOT_ROWS, map_rows: int = MAP_ROWS, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """(uid, tid, start, n, first, kept): n windows of `passage` words, the first at start, that stand at two or more places of docs (uid, tid, text).
+    """(uid, tid, start, n, first, kept, own): n windows of `passage` words, the first at start, that stand at two or more places of docs (uid, tid, text).
 
     Suffixes are retained at minimiser positions only, and first sorted by
     their prefix; one whose prefix is met nowhere else goes. The others are
@@ -194,7 +195,8 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
     compared with their least place, found by partial aggregation, instead of in
     one task's order, so no task holds more than hot_rows suffixes of a prefix.
     first is the least uid that holds one of the windows; kept tells whether the
-    windows stand here at their least place (uid, tid, start).
+    windows stand here at their least place (uid, tid, start), own whether that
+    is in this text at all.
     """
     again = stored(_prefix_counts(docs, passage, prefix), "prefixes")
     plain, often = _extended(docs, again, passage, prefix, hot_rows, map_rows)
@@ -208,37 +210,60 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREF
             other = np.append(False, (u[1:] != u[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])) & ~new  # a row that is there twice is one place
             head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
             many = np.bincount(head, other, len(w))[head] > 0
-            twice, first, kept = np.zeros(len(w), bool), np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-            twice[order], first[order], kept[order] = many, u[head], (u == u[head]) & (x == x[head]) & (s == s[head])
-            yield _runs(uid, tid, start, twice, first, kept)
+            here = (u == u[head]) & (x == x[head])
+            twice, first, kept, own = np.zeros(len(w), bool), np.zeros(len(w), np.int64), np.zeros(len(w), bool), np.zeros(len(w), bool)
+            twice[order], first[order], kept[order], own[order] = many, u[head], here & (s == s[head]), here
+            yield _runs(uid, tid, start, twice, first, kept, own)
 
     found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), FOUND)
     return found if often is None else found.union(_often(often, lookup_rows))
 
 
-SPANS = "uid long, tid long, cut array<struct<start:int,n:int,first:long>>, kept array<struct<start:int,n:int,first:long>>"
+RUNS = "array<struct<start:int,n:int,first:long>>"
+SPANS = f"uid long, tid long, cut {RUNS}, kept {RUNS}, gone {RUNS}"
 #: Spans, and rows that have some, up to which they are broadcast (about 60 bytes each).
 BROADCAST_SPANS = 500_000
 
 
-def _spans(start: np.ndarray, n: np.ndarray, first: np.ndarray, passage: int) -> list[dict]:
-    """Maximal runs of words under the windows, with the least first place."""
+def _merged(start: np.ndarray, end: np.ndarray, first: np.ndarray) -> list[dict]:
+    """Maximal runs of words in [start, end), with the least first place."""
     if not len(start):
         return []
     order = np.argsort(start, kind="stable")
     start, first = start[order], first[order]
-    end = np.maximum.accumulate(start + n[order] - 1 + passage)
+    end = np.maximum.accumulate(end[order])
     new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
     least = np.minimum.reduceat(first, new)
     return [{"start": int(a), "n": int(b - a), "first": int(f)} for a, b, f in zip(start[new], end[np.append(new[1:], len(start)) - 1], least, strict=True)]
 
 
+def _without(runs: list[dict], kept: list[dict]) -> list[tuple[int, int, int]]:
+    """(start, end, first) of what the kept runs leave of runs; both are apart and in order."""
+    parts, i = [], 0
+    for r in runs:
+        at, end = r["start"], r["start"] + r["n"]
+        while i < len(kept) and kept[i]["start"] + kept[i]["n"] <= at:
+            i += 1
+        j = i
+        while j < len(kept) and kept[j]["start"] < end:
+            if kept[j]["start"] > at:
+                parts.append((at, kept[j]["start"], r["first"]))
+            at = kept[j]["start"] + kept[j]["n"]
+            j += 1
+        if at < end:
+            parts.append((at, end, r["first"]))
+    return parts
+
+
 def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """(uid, tid, cut, kept) for each document with a repeated passage; uid is its doc_id, tid a hash of its text.
+    """(uid, tid, cut, kept, gone) for each document with a repeated passage; uid is its doc_id, tid a hash of its text.
 
     cut: runs of words (start, n, least first doc_id) inside windows that stood
     at an earlier place, by doc_id and then position; kept: runs inside windows
-    that stand here first. Words are what stands between ASCII white space, as
+    that stand here first; gone: the runs that go so that a passage is left once.
+    Those are the cut runs, but of windows whose first place is in this same text
+    only the words that no kept window covers, as a period would else cut its own
+    first place. Words are what stands between ASCII white space, as
     written. A text of fewer than `passage` words, empty or null repeats nothing.
     Equal rows are one place; rows with one doc_id and different texts are places
     of their own, in the order of tid. doc_ids of any type are taken: uid is a
@@ -246,19 +271,22 @@ def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     text where there is none. Other columns are not read.
     """
     found = repeated_windows(named(docs), passage)
-    names = ["start", "n", "first", "kept"]
+    names = ["start", "n", "first", "kept", "own"]
     per = found.groupBy("uid", "tid").agg(F.collect_list(F.struct(*names)).alias("s")).select("uid", "tid", *[F.col("s")[c].alias(c) for c in names])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
         for b in batches:
-            cut, kept = [], []
+            cut, kept, gone = [], [], []
             for i in range(b.num_rows):
-                s, n, f, k = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (2, 3, 4, 5))
-                k = k.astype(bool)
-                cut.append(_spans(s[~k], n[~k], f[~k], passage))
-                kept.append(_spans(s[k], n[k], f[k], passage))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, types), pa.array(kept, types)], names=["uid", "tid", "cut", "kept"])
+                s, n, f, k, own = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (2, 3, 4, 5, 6))
+                k, own, end = k.astype(bool), own.astype(bool), s + n - 1 + passage
+                cut.append(_merged(s[~k], end[~k], f[~k]))
+                kept.append(_merged(s[k], end[k], f[k]))
+                again = own & ~k
+                parts = np.array(_without(_merged(s[again], end[again], f[again]), kept[-1]), np.int64).reshape(-1, 3)
+                gone.append(_merged(*(np.append(x[~own], parts[:, j]) for j, x in enumerate((s, end, f)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, types) for x in (cut, kept, gone))], names=["uid", "tid", "cut", "kept", "gone"])
 
     return per.mapInArrow(tidy(spans), SPANS)
 
@@ -268,16 +296,18 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     Bytes from the first to the last word of each cut run go, the rest stays as
     it is. A document of which no word is left goes too; one without a cut is
-    unchanged to the byte, a null or blank text included. Rows are told apart by
+    unchanged to the byte, a null or blank text included. Of a passage that
+    repeats inside one text, overlapping itself or not, the first place stays whole.
+    Where windows of two texts overlap, the words shared with the earlier text go. Rows are told apart by
     id and text, so rows that share an id keep what repeats nowhere; equal rows
     are cut alike. Columns of any name may stand beside doc_id and text.
     """
-    spans = stored(repeats(docs, passage).where(F.size("cut") > 0).select("uid", "tid", "cut"), "spans")
-    many = spans.agg(F.sum(1 + F.size("cut"))).first()[0] or 0
+    spans = stored(repeats(docs, passage).where(F.size("gone") > 0).select("uid", "tid", "gone"), "spans")
+    many = spans.agg(F.sum(1 + F.size("gone"))).first()[0] or 0
     schema, at = docs.schema, docs.columns.index("text")
     u, t, c, u2, t2 = (free_name(docs, n) for n in ("uid", "tid", "cut", "span_uid", "span_tid"))
     d = docs.select("*", row_number_of(docs, text_hash()).alias(u), text_hash().alias(t))
-    spans = spans.select(F.col("uid").alias(u2), F.col("tid").alias(t2), F.col("cut").alias(c))
+    spans = spans.select(F.col("uid").alias(u2), F.col("tid").alias(t2), F.col("gone").alias(c))
     d = d.join(F.broadcast(spans) if many <= BROADCAST_SPANS else spans, (F.col(u) == F.col(u2)) & (F.col(t) == F.col(t2)), "left").select(*docs.columns, c)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,27 @@ def test_cut_repeats_keeps_first_places_and_clean_bytes(spark, texts):
     assert set(docs.columns) == set(suffix_dedup.cut_repeats(docs).columns)
 
 
+def test_cut_repeats_leaves_periods_their_first_place(spark):
+    """Held against a plain rule, word by word: a word goes under a window first met in an earlier text, or in this one where no first window covers it."""
+    r = random.Random(5)
+    some = [f"w{i}" for i in range(200)]
+    tail = " ".join(some[60:130])
+    texts = ["the same " * 3000, "the same " * 1000, " ".join(some[:70] + some[:70] + some[:55]), "a b c d e f g " * 30 + tail, "q " * 120 + tail + " q" * 120, " ".join(r.choice("xy") for _ in range(700)), "intro " + tail + " a b c d e f g" * 9]
+    seen, want = {}, []
+    count = collections.Counter(tuple(t.split()[s : s + 50]) for t in texts for s in range(len(t.split()) - 49))
+    for i, t in enumerate(texts):
+        ws, far, near, kept = t.split(), set(), set(), set()
+        for s in range(len(ws) - 49):
+            w = tuple(ws[s : s + 50])
+            at = seen.setdefault(w, (i, s))
+            if count[w] > 1:
+                (kept if at == (i, s) else near if at[0] == i else far).update(range(s, s + 50))
+        want.append([w for p, w in enumerate(ws) if p not in far and (p not in near or p in kept)])
+    got = {x.doc_id: x.text.split() for x in suffix_dedup.cut_repeats(make(spark, texts)).collect()}
+    assert got == {i: w for i, w in enumerate(want) if w}
+    assert len(got[0]) == 51 and 1 not in got and len(got[2]) == 70 + 49
+
+
 def test_contamination_matches_brute_force(spark, texts):
     items = [texts[3].upper()[:300], "one two", "", None, texts[33], "w1, w2 w3", "one two", "the same " * 30, " ".join(texts[30].split()[:8])]
     texts = [*texts, "the same " * 300 + "end", " ".join(x + (" new" if i % 5 == 4 else "") for i, x in enumerate(texts[3].split()[:40]))]
