@@ -147,6 +147,21 @@ def compare_sources(a: DataFrame, b: DataFrame, keys: list[str], key: str = "ite
     return j.groupBy(*keys).agg(F.count("*").alias("matched"), F.count_if(gap < 0.01).alias("same_price"), F.count_if(gap >= 0.01).alias("differ"), F.round(F.max(gap), 2).alias("widest"))
 
 
+def compare_offers(a: DataFrame, b: DataFrame, keys: list[str], key: str = "item_id", price: str = "price", offer: str = "bo_accepted") -> DataFrame:
+    """keys, matched, same_price, differ, offers, offers_agreed, offers_below: two sources on shared ids, accepted offers apart.
+
+    For an accepted offer a shows what was asked and b what was paid, so its
+    prices are not held against each other: offers_agreed counts those that b
+    marks too, offers_below those it has at a lower price. Prices under a cent
+    apart are one; an unknown mark is no offer, an unknown price counts as 0.
+    """
+    side = lambda d, n: d.where(F.col(key).isNotNull()).select(*keys, key, F.coalesce(F.col(price), F.lit(0)).alias(f"_p{n}"), F.coalesce(F.col(offer), F.lit(False)).alias(f"_o{n}"))
+    j = side(a, "a").join(side(b, "b"), [*keys, key])
+    near, oa = F.abs(F.col("_pa") - F.col("_pb")) < 0.01, F.col("_oa")
+    c = lambda cond, n: F.count_if(cond).alias(n)
+    return j.groupBy(*keys).agg(F.count("*").alias("matched"), c(~oa & near, "same_price"), c(~oa & ~near, "differ"), c(oa, "offers"), c(oa & F.col("_ob"), "offers_agreed"), c(oa & (F.col("_pb") < F.col("_pa") - 0.005), "offers_below"))
+
+
 def capture_quality(comps: DataFrame, keys: list[str]) -> DataFrame:
     c = lambda cond, n: F.count_if(cond).alias(n)
     return comps.groupBy(*keys).agg(F.count("*").alias("n"), c(F.col("total_price").isNotNull(), "with_delivered"), c(F.col("bo_accepted"), "n_bo_accepted"), c(F.col("condition").isNull(), "no_condition"), c(S.charm_ending(F.col("price")) != "other", "n_charm"))

@@ -67,6 +67,27 @@ def normalize_active(raw: DataFrame) -> DataFrame:
     return d.select("item_id", "title", "price", "shipping", (F.col("price") + F.col("shipping")).alias("delivered"), "seller")
 
 
+#: Formats of sold rows and what listings call them.
+SOLD_FORMATS = {"AUCTION": "Auction", "FIXED_PRICE": "Buy It Now"}
+
+
+def normalize_sold(raw: DataFrame) -> DataFrame:
+    """Comps of sold rows (json): title, sold_price, url, item_id, sold_date, condition, shipping_cost, shipping_type, total_price, listing_type, bo_accepted.
+
+    Rows without a title or a price that is a number go. An accepted offer is one
+    marked true, not one that could not be looked up; it names the listing type.
+    total_price is known where the postage is, shipping_type is 'free' at 0.
+    """
+    text = "price string, title string, url string, item_id string, shipping_cost string, best_offer string, format string, last_sold string, condition string"
+    d = raw.select(F.from_json("json", text).alias("j")).select("j.*").withColumn("price", F.col("price").try_cast(S.Money)).where("price is not null and title <> ''")
+    ship, offer = F.col("shipping_cost").try_cast(S.Money), F.coalesce(F.col("best_offer") == "true", F.lit(False))
+    kinds = F.create_map(*[F.lit(x) for pair in SOLD_FORMATS.items() for x in pair])
+    return d.select(
+        "title", F.col("price").alias("sold_price"), F.coalesce("url", F.lit("")).alias("url"), "item_id", F.substring("last_sold", 1, 10).try_cast("date").alias("sold_date"), "condition", ship.alias("shipping_cost"), F.when(ship == 0, "free").alias("shipping_type"),
+        (F.col("price") + ship).cast(S.Money).alias("total_price"), F.when(offer, "Best Offer").otherwise(F.try_element_at(kinds, F.upper("format"))).alias("listing_type"), offer.alias("bo_accepted"),
+    )
+
+
 def extract_tiers(text: Column) -> Column:
     """struct(floor, recommended, ceiling) of the lines 'Conservative', 'Recommended', 'Push high' of a price note, before its end mark."""
     now = F.substring_index(text, "\n=== END", 1)
