@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chains, comps, elements, labels, listing_rules, listing_text, markdown, matching, money, performance, reports, selection, sessions, studies
+from . import chains, comps, elements, labels, listing_rules, listing_text, markdown, matching, money, performance, replies, reports, selection, sessions, studies
 
-MODULES = (comps, money, matching, sessions, listing_rules, reports, performance, selection, studies, markdown, labels, chains, listing_text, elements)
+MODULES = (comps, money, matching, sessions, listing_rules, reports, performance, selection, studies, markdown, labels, chains, listing_text, elements, replies)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
