@@ -18,12 +18,18 @@ def comps_of(runs: DataFrame, source: str, price_field: str = "sold") -> DataFra
     is known (fell_back marks the others). The first comp of a price_high run is
     is_row0. A run that is reduced to a cohort gives it to comps of unknown condition.
     """
-    d = runs.select("run_id", F.col("exact_match.condition_cohort").alias("reduced"), F.posexplode("comps").alias("pos", "c")).where("c.sold_price is not null")
+    d = runs.select("run_id", F.col("exact_match.condition_cohort").alias("reduced"), F.posexplode("comps").alias("pos", "c"))
+    return comp_rows(d.select("run_id", "reduced", (F.col("pos") == 0).alias("leads"), "c"), source, price_field)
+
+
+def comp_rows(comps: DataFrame, source: str, price_field: str = "sold") -> DataFrame:
+    """As comps_of, from one row for each comp: run_id, reduced (the run's cohort), leads (it is the run's first comp), c (the comp). No run is held whole."""
+    d = comps.where("c.sold_price is not null")
     total, sold = F.col("c.total_price"), F.col("c.sold_price")
     own = S.condition_cohort(F.col("c.condition"))
     cohort = F.when((own == "unknown") & F.col("reduced").isin("new", "used"), F.col("reduced")).otherwise(own)
     price = F.coalesce(total, sold) if price_field == "total" else sold
-    return d.select("run_id", "c.*", price.alias("price"), (total.isNull() if price_field == "total" else F.lit(False)).alias("fell_back"), ((F.col("pos") == 0) & F.lit(source == "price_high")).alias("is_row0"), cohort.alias("cohort"), F.lit(source).alias("source"))
+    return d.select("run_id", "c.*", price.alias("price"), (total.isNull() if price_field == "total" else F.lit(False)).alias("fell_back"), (F.col("leads") & F.lit(source == "price_high")).alias("is_row0"), cohort.alias("cohort"), F.lit(source).alias("source"))
 
 
 def read_comp_runs(spark: SparkSession, path: str, source: str, price_field: str = "sold") -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge import plans
 from tallyforge.functions import scalars as S
 from tallyforge.functions.titles import gestalt_ratio
 from tallyforge.operators import audit, buckets, copy, fuzzy_titles, matching, money
@@ -134,3 +135,8 @@ def test_events_and_states(spark):
     fees = spark.createDataFrame([("NON_SALE_CHARGE", "o1", None, None, "Promoted ad", None, "3.00", ["a", "b"]), ("SHIPPING_LABEL", "", "o2", None, None, None, "4.00", ["a"]), ("TRANSFER", "o3", None, None, None, None, "1.00", ["a"])], "transaction_type string, order_id string, ref_order_id string, fee_type string, memo string, booking string, amount string, skus array<string>").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     got = sorted((x.kind, x.order_id, x.sku, str(abs(x.amount))) for x in money.split_transactions(fees).collect())
     assert got == [("AD", "o1", "a", "1.50"), ("AD", "o1", "b", "1.50"), ("POSTAGE", "o2", "a", "4.00")] and day
+
+
+def test_comp_runs_hold_no_run_whole(spark):
+    plan = plans.QUERIES["s1_comp_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
