@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import Money
 from .pages import ENTITIES
 
-# What a page is cut into, elements without an end, and the weights of members' groups (the first that fits counts).
-TOKEN = r"""(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[a-z/!](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[a-z/!][^<>]*>|[^<]+|<"""
+# The tags and whole comments, scripts and styles of a page, elements without an end, and the weights of members' groups (the first that fits counts).
+TAG = r"""<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[a-z/!](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[a-z/!][^<>]*>"""
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 GROUPS = [
     ("administrator", 4.0), ("admin", 4.0), ("global moderator", 3.5), ("moderator", 3.5), ("supporting member", 2.5), ("advanced member", 2.0),
@@ -17,31 +20,68 @@ GROUPS = [
 ]
 
 
-def elements(pages: DataFrame, keys: list[str], html: str = "html", names: list[str] | None = None) -> DataFrame:
-    """(keys, name, tag, start, inner, close, stop) of the elements of pages; keys name a page, names limits the elements.
+SPANS = "array<struct<name string, tag string, start int, inner int, close int, stop int, part string>>"
+
+
+def element_spans(html: Column, names: list[str] | None = None, like: str | None = None, parts: bool = False) -> Column:
+    """SPANS of the elements of a page in the order of their opening tags, found by one scan of it; see elements.
+
+    like: a pattern that an opening tag must hold to be given; parts: with the
+    element's own html, which pages nested deeply should ask for few elements only.
+    """
+    token, word, wanted = re.compile(TAG, re.I | re.S | re.A), re.compile(r"</?([a-z][a-z0-9-]*)", re.I | re.A), like and re.compile(like)
+    kept, left_out = names and frozenset(names), frozenset(["script", "style", *VOID])
+    fields = [("name", pa.string()), ("tag", pa.string()), *((c, pa.int32()) for c in ("start", "inner", "close", "stop")), ("part", pa.string())]
+
+    def spans(page: str) -> list[tuple]:
+        found, unclosed = [], {}
+        for m in token.finditer(page):
+            tag = m.group()
+            # Elements that are not asked for matter only inside one of their name that is.
+            if wanted and not unclosed and (tag[1] == "/" or not wanted.search(tag)):
+                continue
+            n = word.match(tag)
+            name = n and n[1].lower()
+            if not name or name in left_out or (kept and name not in kept):
+                continue
+            if tag[1] != "/":
+                asked = not wanted or wanted.search(tag)
+                if asked or name in unclosed:
+                    unclosed.setdefault(name, []).append(len(found) if asked else -1)
+                if asked:
+                    found.append([name, tag, m.start(), m.end(), len(page), len(page)])
+            elif name in unclosed:
+                at = unclosed[name].pop()
+                if at >= 0:
+                    found[at][4:] = m.span()
+                if not unclosed[name]:
+                    del unclosed[name]
+        return [(*x, page[x[2] : x[5]] if parts else None) for x in found]
+
+    @F.arrow_udf(SPANS)
+    def run(pages: pa.Array) -> pa.Array:
+        rows = [[] if p is None else spans(p) for p in pages.to_pylist()]
+        flat = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * len(fields)
+        ends = [0]
+        for r in rows:
+            ends.append(ends[-1] + len(r))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(flat, fields, strict=True)], [n for n, _ in fields]))
+
+    return run(html)
+
+
+def elements(pages: DataFrame, keys: list[str], html: str = "html", names: list[str] | None = None, like: str | None = None) -> DataFrame:
+    """(keys, name, tag, start, inner, close, stop) of the elements of pages; keys name a page, names limits the elements, like is a pattern their opening tags hold.
 
     tag is the opening tag; start, inner, close and stop are the characters before
-    it, up to its content, up to its closing tag and up to its end. A running
-    count over the tags of one name gives their depth, and an opening tag is
-    closed by the next tag of its depth, so elements may lie in others of their
-    name. One that is never closed reaches to the end of the page; void
+    it, up to its content, up to its closing tag and up to its end. A closing tag
+    ends the last element of its name that is open, so elements may lie in others
+    of their name. One that is never closed reaches to the end of the page; void
     elements, comments, scripts and styles are none, a stray closing tag closes
-    nothing. Null pages have no elements.
+    nothing. Null pages have no elements. A page is scanned where it stands, none is shuffled.
     """
-    size = F.char_length("t")
-    page = Window.partitionBy(*keys).orderBy("_i")
-    d = pages.select(*keys, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("_i", "t"))
-    d = d.select(*keys, "_i", F.when(F.col("t").startswith("<"), F.col("t")).alias("t"), size.alias("size"), F.sum(size).over(page).alias("stop"), F.sum(size).over(Window.partitionBy(*keys)).alias("whole"))
-    name = F.lower(F.regexp_extract("t", r"\A</?([a-zA-Z][a-zA-Z0-9-]*)", 1))
-    d = d.withColumn("name", name).where((F.col("name") != "") & ~F.col("name").isin("script", "style", *VOID))
-    if names is not None:
-        d = d.where(F.col("name").isin(names))
-    end = F.col("t").startswith("</")
-    d = d.withColumn("end", end).withColumn("depth", F.sum(F.when(F.col("end"), -1).otherwise(1)).over(Window.partitionBy(*keys, "name").orderBy("_i")) + F.col("end").cast("int"))
-    after = Window.partitionBy(*keys, "name", "depth").orderBy("_i")
-    d = d.withColumn("close", F.lead(F.col("stop") - F.col("size")).over(after)).withColumn("last", F.lead("stop").over(after)).where("not end")
-    whole = F.col("whole")
-    return d.select(*keys, "name", F.col("t").alias("tag"), (F.col("stop") - F.col("size")).alias("start"), F.col("stop").alias("inner"), F.coalesce("close", whole).alias("close"), F.coalesce("last", whole).alias("stop"))
+    d = pages.select(*keys, F.explode(element_spans(F.col(html), names, like)).alias("s"))
+    return d.select(*keys, *[f"s.{c}" for c in ("name", "tag", "start", "inner", "close", "stop")])
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -67,10 +107,10 @@ def _slice(html: Column, start: Column, stop: Column) -> Column:
     return F.substring(html, start + 1, stop - start)
 
 
-def _parts(pages: DataFrame, keys: list[str], html: str, found: DataFrame, part: str) -> DataFrame:
-    """(keys, i, part): the html of found elements in page order, i from 0."""
-    n = (F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1).alias("i")
-    return found.select(*keys, n, "start", "stop").join(pages.select(*keys, html), keys).select(*keys, "i", _slice(F.col(html), F.col("start"), F.col("stop")).alias(part))
+def _parts(pages: DataFrame, keys: list[str], html: str, name: str, like: str, wanted, part: str) -> DataFrame:
+    """(keys, i, part): the html of the elements of that name whose span is wanted, in page order, i from 0."""
+    found = F.filter(element_spans(F.col(html), [name], like, parts=True), wanted)
+    return pages.select(*keys, F.posexplode(F.transform(found, lambda s: s["part"])).alias("i", part))
 
 
 def thread_posts(pages: DataFrame, thread: str = "thread", html: str = "html") -> DataFrame:
@@ -86,8 +126,7 @@ def thread_posts(pages: DataFrame, thread: str = "thread", html: str = "html") -
     null pages have no posts.
     """
     c = F.col("tag")
-    articles = elements(pages, [thread], html, ["article"]).where(attribute(c, "id").isNotNull() & attribute(c, "class").contains("ipsComment"))
-    posts = _parts(pages, [thread], html, articles, "post")
+    posts = _parts(pages, [thread], html, "article", "ipsComment", lambda s: attribute(s["tag"], "id").isNotNull() & F.coalesce(attribute(s["tag"], "class").contains("ipsComment"), F.lit(False)), "post")
     keys = [thread, "i"]
     content = (attribute(c, "data-role") == "commentContent") | ((F.col("name") == "div") & attribute(c, "class").contains("cPost_contentWrap"))
     kind = (
@@ -127,18 +166,20 @@ def sold_cards(pages: DataFrame, page: str = "page_id", html: str = "html") -> D
     hidden parts. A seller stands in one piece of text with its share of
     positive ratings or in the piece before it. Pages are unique.
     """
-    cards = _parts(pages, [page], html, elements(pages, [page], html, ["li"]).where(has_class(F.col("tag"), "s-card")).join(pages.select(page, F.locate("matching fewer words", F.lower(html)).alias("loose")), page).where("loose = 0 or start < loose"), "card")
-    keys, tag = [page, "i"], F.col("tag")
-    part = F.when(has_class(tag, "s-card__title"), "title").when(has_class(tag, "s-card__price"), "price")
-    inner = elements(cards, keys, "card").withColumn("part", part).where("part is not null")
-    spans = inner.groupBy(*keys).agg(*[F.min(F.when(F.col("part") == p, F.struct("start", "inner", "close"))).alias(p) for p in ("title", "price")])
-    d = cards.join(spans, keys)
+    loose = F.locate("matching fewer words", F.lower(F.col(html)))
+    cards = _parts(pages, [page], html, "li", "s-card", lambda s: has_class(s["tag"], "s-card") & ((loose == 0) | (s["start"] < loose)), "card")
+    keys = [page, "i"]
+    first = lambda name: F.get(F.filter("spans", lambda s: has_class(s["tag"], name)), F.lit(0))
+    d = cards.withColumn("spans", element_spans(F.col("card"), like="s-card__"))
+    d = d.select(*keys, "card", first("s-card__title").alias("title"), F.get(F.filter("spans", lambda s: has_class(s["tag"], "s-card__price") & ~has_class(s["tag"], "s-card__title")), F.lit(0)).alias("price"))
     hidden = r"""(?is)<([a-z0-9]+)\b[^>]*(?:class\s*=\s*"[^"]*\bclipped\b|aria-hidden\s*=\s*"true")[^>]*>.*?</\1\s*>"""
     money = lambda s: F.replace(F.regexp_extract(s, r"\$([\d,]+(?:\.\d{1,2})?)", 1), F.lit(","), F.lit("")).try_cast(Money)
     item = F.regexp_extract(F.regexp_extract("card", r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*/itm/[^"']*)""", 1), r"/itm/(\d{9,})", 1)
     title = F.trim(F.regexp_replace(inner_text(F.regexp_replace(_slice(F.col("card"), F.col("title.inner"), F.col("title.close")), hidden, " ")), "Opens in a new window or tab$", ""))
     lines = F.filter(F.transform(F.split(inner_text(F.col("card"), "\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    d = d.select(*keys, item.alias("item_id"), title.alias("title"), money(inner_text(_slice(F.col("card"), F.col("price.inner"), F.col("price.close")))).alias("sold_price"), lines.alias("lines"))
+    # In an array of one, so that what filters ask for is not worked out again below them.
+    card = F.struct(item.alias("item_id"), title.alias("title"), money(inner_text(_slice(F.col("card"), F.col("price.inner"), F.col("price.close")))).alias("sold_price"), lines.alias("lines"))
+    d = d.select(*keys, F.explode(F.array(card)).alias("x")).select(*keys, "x.*")
     d = d.where("item_id <> '' and title <> '' and sold_price is not null").withColumn("w", F.array_join("lines", "\n"))
     w, bids = F.col("w"), F.regexp_extract("w", r"(\d+)\s+bids?\b", 1).try_cast("long")
     offer = w.rlike("(?i)Best offer accepted")

@@ -82,3 +82,17 @@ def test_sold_cards(spark):
     d = spark.createDataFrame([(1, html), (2, None), (3, "<ul></ul>")], "page_id int, html string")
     rows = [tuple(r) for r in E.sold_cards(d).orderBy("i").collect()]
     assert rows == [(1, 0, "123456789", "A lamp", D("1204.50"), datetime.date(2024, 3, 3), D("4.50"), "Buy It Now or Best Offer", None, False, "a.b*c", 99.9, 6500), (1, 4, "444444444", "B & C", D("5.00"), None, D("0.00"), "Auction", 12, True, "shop_1", 100.0, 1905)]
+
+
+def test_pages_are_scanned_where_they_stand(spark):
+    d = spark.createDataFrame([(1, card("123456789"))], "page_id int, html string")
+    for found in (E.sold_cards(d), E.elements(d, ["page_id"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_elements_asked_for_by_their_tag(spark):
+    page = "<p><p class=k>a<p>b</p>c</p></p></li><li><li class=k>x<li>y</li></li><i class=k>"
+    d = spark.createDataFrame([(1, page)], "p int, html string")
+    tags = lambda like: sorted((x.name, x.start, x.inner, x.close, x.stop) for x in E.elements(d, ["p"], like=like).collect() if "class=k" in x.tag)
+    assert tags("class=k") == tags(None) and len(tags(None)) == 3
