@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import checkpointed
 
 
 def _one(d: DataFrame, key: str, name: str) -> DataFrame:
@@ -64,10 +65,10 @@ def snapshot_drift(live: DataFrame, ledger: DataFrame) -> DataFrame:
 SAME_BIN, HINTED, ROUNDING = 0.1, 0.25, 0.005
 
 
-def likely_pairs(left: DataFrame, right: DataFrame, least: float, also: tuple[str, ...] = ()) -> DataFrame:
+def likely_pairs(left: DataFrame, right: DataFrame, least: float, also: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """(cand, row) of all pairs of token sets whose cosine is `least` or more, and some others; never rows paired by a word that cannot decide.
 
-    left: cand, t; right: row, t2; also: columns of both that must be equal. Two sets of
+    left: cand, t; right: row, t2; also: columns of both that must be equal, keep: those of them in the result. Two sets of
     sizes a and b need o = ceil(least * sqrt(a b)) words in common, so with words in order of
     rarity one of them is among the first a - o + 1 of the one and b - o + 1 of the other. Pairs
     meet by word, b and o: a frequent word stands last and meets nothing but sets that need a single word.
@@ -86,7 +87,7 @@ def likely_pairs(left: DataFrame, right: DataFrame, least: float, also: tuple[st
     wanted = a.select("a").distinct().select("a", F.explode(span).alias("b")).join(sizes, "b").withColumn("o", need(F.col("a"), F.col("b")))  # sizes of sets, not sets
     c = ranked(left, "cand", "t").withColumnRenamed("size", "a").join(wanted, "a").where(F.col("pos") <= F.col("a") - F.col("o")).select("cand", *also, "w", "b", "o")
     r = ranked(right, "row", "t2").withColumnRenamed("size", "b").join(wanted.select("b", "o").distinct(), "b").where(F.col("pos") <= F.col("b") - F.col("o")).select("row", *also, "w", "b", "o")
-    return c.join(r, ["w", "b", "o", *also]).select("cand", "row").distinct()
+    return c.join(r, ["w", "b", "o", *also]).select("cand", "row", *keep).distinct()
 
 
 def decide_duplicates(candidates: DataFrame, rows: DataFrame, threshold: float = 0.35) -> DataFrame:
@@ -100,29 +101,41 @@ def decide_duplicates(candidates: DataFrame, rows: DataFrame, threshold: float =
     and that is filed in the row's folder. attach: hard evidence for one row;
     possible: for several, or a score of threshold or more; else new. Pairs that may
     reach the threshold come from likely_pairs, at the threshold, and in one bin
-    below it; hard evidence and hints join by equality. All scores are computed from the sets.
+    below it, over the distinct sets of words; hard evidence and hints join by equality. All scores are computed from the sets.
     """
     c = candidates.select("cand", S.tokens(F.col("description")).alias("t"), S.norm_bin(F.col("bin")).alias("b"), S.frames(F.col("photos")).alias("f"), S.norm_folder(F.col("folder")).alias("d"), "hint")
     r = rows.select("row", S.tokens(F.col("description")).alias("t2"), S.norm_bin(F.col("bin")).alias("b2"), S.frames(F.col("photos")).alias("f2"), S.norm_folder(F.col("folder")).alias("d2"), "lot_id", "filed")
-    binned = (c.where("b <> ''").select("cand", "t", F.col("b").alias("bin")), r.where("b2 <> ''").select("row", "t2", F.col("b2").alias("bin")))
-    likely = likely_pairs(c.select("cand", "t"), r.select("row", "t2"), threshold - ROUNDING).union(likely_pairs(*binned, threshold - SAME_BIN - ROUNDING, ("bin",)))
+    # Sets of words stand once, however many candidates and rows have them: rows are counted by set, and by set and bin, and
+    # only pairs with hard evidence or a hint, whose score is their own, are pairs of a candidate and a row.
+    c, r = (checkpointed(d.withColumn(k, F.xxhash64(F.array_sort(w)))) for d, k, w in ((c, "ck", "t"), (r, "rk", "t2")))
+    sets = lambda d, k, w, name, *more: d.groupBy(F.col(k).alias(name), *more).agg(F.first(w).alias(w))
+    kc, kr = sets(c, "ck", "t", "cand"), sets(r, "rk", "t2", "row")
+    bc, br = sets(c.where("b <> ''"), "ck", "t", "cand", F.col("b").alias("bin")), sets(r.where("b2 <> ''"), "rk", "t2", "row", F.col("b2").alias("bin"))
+    cosine = F.when((F.size("t") > 0) & (F.size("t2") > 0), F.size(F.array_intersect("t", "t2")) / F.sqrt(F.size("t") * F.size("t2"))).otherwise(0.0)
+    score = lambda same, hinted=F.lit(False): F.round(F.least(F.lit(1.0), cosine + F.when(same, SAME_BIN).otherwise(0.0) + F.when(hinted, HINTED).otherwise(0.0)), 2)
+    many = lambda *by: r.groupBy(F.col("rk").alias("row"), *by).agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    top = F.min(F.struct((-F.col("score")).alias("less"), "least"))
+    any_bin = likely_pairs(kc, kr, threshold - ROUNDING).join(kc, "cand").join(kr, "row").select("cand", "row", score(F.lit(False)).alias("score")).where(F.col("score") >= threshold)
+    any_bin = any_bin.join(many(), "row").groupBy(F.col("cand").alias("ck")).agg(F.sum("n").alias("n_any"), top.alias("top_any"))
+    one_bin = likely_pairs(bc, br, threshold - SAME_BIN - ROUNDING, ("bin",), keep=("bin",)).join(kc, "cand").join(kr, "row").select("cand", "row", "bin", score(F.lit(False)).alias("plain"), score(F.lit(True)).alias("score")).where(F.col("score") >= threshold)
+    one_bin = one_bin.join(many(F.col("b2").alias("bin")).where("bin <> ''"), ["row", "bin"]).groupBy(F.col("cand").alias("ck"), F.col("bin").alias("b")).agg(F.sum(F.when(F.col("plain") < threshold, F.col("n")).otherwise(0)).alias("n_bin"), top.alias("top_bin"))
     folder = c.where("d <> ''").select("cand", "d").join(r.where("lot_id is null").select("row", F.col("d2").alias("d")), "d").select("cand", "row")
     owned = r.select("row", "filed", F.explode(F.array_distinct("f2")).alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("filed").alias("filed")).where((F.col("n") == 1) & F.expr("array_contains(filed, f)"))
     frame = c.select("cand", F.explode(F.array_distinct("f")).alias("f")).join(owned, "f").select("cand", "row")
     hinted = c.where("hint is not null").select("cand", F.col("hint").alias("row"))
     mark = lambda d, kind: d.select("cand", "row", F.lit(kind).alias("kind"))
-    pairs = mark(likely, "words").unionByName(mark(folder.union(frame), "hard")).unionByName(mark(hinted, "hint"))
+    pairs = mark(folder.union(frame), "hard").unionByName(mark(hinted, "hint"))
     pairs = pairs.groupBy("cand", "row").agg(F.bool_or(F.col("kind") == "hard").alias("hard"), F.bool_or(F.col("kind") == "hint").alias("hinted"))
     pairs = pairs.join(c.select("cand", "t", "b"), "cand").join(r.select("row", "t2", "b2"), "row")
-    cosine = F.when((F.size("t") > 0) & (F.size("t2") > 0), F.size(F.array_intersect("t", "t2")) / F.sqrt(F.size("t") * F.size("t2"))).otherwise(0.0)
-    score = F.round(F.least(F.lit(1.0), cosine + F.when((F.col("b") != "") & (F.col("b") == F.col("b2")), SAME_BIN).otherwise(0.0) + F.when(F.col("hinted"), HINTED).otherwise(0.0)), 2)
-    pairs = pairs.select("cand", "row", score.alias("score"), "hard")
+    same = (F.col("b") != "") & (F.col("b") == F.col("b2"))
+    pairs = pairs.select("cand", "row", "hard", score(same).alias("plain"), score(same, F.col("hinted")).alias("score"))
     soft = ~F.col("hard") & (F.col("score") >= threshold)
-    best = F.min_by(F.struct("row", "score"), F.struct(~F.col("hard"), -F.col("score"), F.col("row")))
-    g = pairs.where(F.col("hard") | soft).groupBy("cand").agg(F.count_if("hard").alias("n_hard"), F.count_if(soft).alias("n_soft"), best.alias("top"))
-    out = candidates.select("cand").join(g, "cand", "left").fillna(0, ["n_hard", "n_soft"])
+    g = pairs.groupBy("cand").agg(F.count_if("hard").alias("n_hard"), (F.count_if(soft) - F.count_if(F.col("plain") >= threshold)).alias("n_more"), F.min(F.when(F.col("hard"), F.struct((-F.col("score")).alias("less"), F.col("row").alias("least")))).alias("top_hard"), F.min(F.when(soft, F.struct((-F.col("score")).alias("less"), F.col("row").alias("least")))).alias("top_soft"))
+    out = c.select("cand", "ck", "b").join(g, "cand", "left").join(any_bin, "ck", "left").join(one_bin, ["ck", "b"], "left").fillna(0, ["n_hard", "n_more", "n_any", "n_bin"])
+    best = F.coalesce("top_hard", F.least("top_soft", "top_any", "top_bin"))
+    out = out.select("cand", "n_hard", (F.col("n_any") + F.col("n_bin") + F.col("n_more")).alias("n_soft"), best.alias("top"))
     action = F.when(F.col("n_hard") == 1, "attach").when(F.col("n_hard") + F.col("n_soft") > 0, "possible").otherwise("new")
-    return out.select("cand", action.alias("action"), F.col("top.row").alias("best"), F.col("top.score").alias("score"), "n_hard", "n_soft")
+    return out.select("cand", action.alias("action"), F.col("top.least").alias("best"), (-F.col("top.less")).alias("score"), "n_hard", "n_soft")
 
 
 def calibrate(scores: DataFrame, query: str = "query_id", score: str = "score", look_alike: float = 3.0, gap: float = 0.05) -> DataFrame:

@@ -47,3 +47,17 @@ def test_decisions_are_those_of_all_pairs(spark):
                 soft.append((-s, j))
         want = ("possible", 0, len(soft), min(soft)[1], -min(soft)[0]) if soft else ("new", 0, 0, None, None)
         assert got[i] == want
+
+
+def test_equal_descriptions_are_scored_once(spark, monkeypatch):
+    met, whole = [], audit.likely_pairs
+
+    def counted(left, right, *more, **options):
+        met.append((left.count(), right.count()))
+        return whole(left, right, *more, **options)
+
+    monkeypatch.setattr(audit, "likely_pairs", counted)
+    rows = spark.range(300).selectExpr("id as row", "'carved brass lamp' as description", "'bin 1' as bin", "null as photos", "null as folder", "null as lot_id", "array('x') as filed")
+    cands = spark.range(200).selectExpr("id as cand", "'brass lamp' as description", "'bin ' || id % 2 as bin", "cast(null as string) as photos", "cast(null as string) as folder", "case when id = 7 then 9L end as hint")
+    got = {tuple(x) for x in audit.decide_duplicates(cands, rows.withColumns({c: rows[c].cast("string") for c in ("photos", "folder", "lot_id")})).select("best", "n_hard", "n_soft").collect()}
+    assert got == {(0, 0, 300), (9, 0, 300)} and max(a * b for a, b in met) <= 2
