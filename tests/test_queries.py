@@ -88,3 +88,16 @@ def test_overlaps_and_last_changes_take_all_rows(spark, tmp_path):
 def test_deep_trees_are_not_cut(spark):
     nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d")], "id int, parent int, name string")
     assert {r.id: r.path for r in matching.flatten_tree(nodes).collect()} == {1: "a", 2: "a > b", 3: "a > b > c", 4: "a > b > c > d"}
+
+
+def test_overlaps_of_all_lengths_meet_by_sweep(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PAIRS", 7)
+    r = random.Random(8)
+    day = datetime.datetime(2001, 1, 1)
+    after = lambda s: day + datetime.timedelta(seconds=s)
+    spans = [(i, r.choice("xyz"), s, s + r.choice([0, 60, 1200, 9000])) for i in range(80) for s in [60 * r.randint(0, 300)]]
+    d = spark.createDataFrame([(i, by, after(s), after(e)) for i, by, s, e in spans] + [(900, None, day, after(99)), (None, "x", day, after(99))], "id long, by string, start timestamp, close timestamp")
+    found = matching.overlaps(d, "by")
+    got = [tuple(x) for x in found.collect()]
+    want = {(a[0], b[0]) for a, b in itertools.combinations(spans, 2) if a[1] != b[1] and a[2] < b[3] and b[2] < a[3]}
+    assert len(got) == len(set(got)) and set(got) == want and "Join" not in found._jdf.queryExecution().executedPlan().toString()
