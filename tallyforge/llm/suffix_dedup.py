@@ -149,11 +149,27 @@ def _runs(uid: np.ndarray, tid: np.ndarray, start: np.ndarray, twice: np.ndarray
 def _often(often: DataFrame, lookup_rows: int) -> DataFrame:
     """FOUND rows of suffixes whose prefix is frequent: each window is held against its least place, which partial aggregation finds."""
     often = stored(often.drop("key"), "often")
-    at = F.struct("uid", "tid", (F.col("start") + F.col("i")).alias("start")).alias("at")
-    windows = often.select("uid", "tid", "start", F.posexplode(F.arrays_zip("whs", "vhs")).alias("i", "h")).select("h.whs", "h.vhs", at)
-    least = windows.groupBy("whs", "vhs").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wh, vh, uid, tid, start = _windows_of(b)
+            if not len(wh):
+                continue
+            order = np.lexsort((start, tid, uid, vh, wh))
+            w, v = wh[order], vh[order]
+            head = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
+            low, high = order[head], order[np.append(head[1:], len(w)) - 1]
+            columns = [wh[low].view(np.int64), vh[low].view(np.int64), *(c[at] for at in (low, high) for c in (uid, tid, start))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["whs", "vhs", "u0", "t0", "s0", "u1", "t1", "s1"])
+
+    # The least and the last place of each window inside a batch: a window of many texts is one row of it.
+    places = often.mapInArrow(tidy(ends), "whs long, vhs long, u0 long, t0 long, s0 long, u1 long, t1 long, s1 long")
+    place = lambda n: F.struct(F.col(f"u{n}").alias("uid"), F.col(f"t{n}").alias("tid"), F.col(f"s{n}").cast("int").alias("start"))
+    least = places.groupBy("whs", "vhs").agg(F.min(place(0)).alias("least"), F.max(place(1)).alias("most")).where("least <> most")
     least = stored(least.select("whs", "vhs", "least.uid", "least.tid", "least.start"), "least")
     if least.count() > lookup_rows:
+        at = F.struct("uid", "tid", (F.col("start") + F.col("i")).alias("start")).alias("at")
+        windows = often.select("uid", "tid", "start", F.posexplode(F.arrays_zip("whs", "vhs")).alias("i", "h")).select("h.whs", "h.vhs", at)
         windows = windows.join(least.withColumnsRenamed({"uid": "u", "tid": "t", "start": "s"}), ["whs", "vhs"])
         own = (F.col("at.uid") == F.col("u")) & (F.col("at.tid") == F.col("t"))
         return windows.select("at.uid", "at.tid", "at.start", F.lit(1), "u", own & (F.col("at.start") == F.col("s")), own)
