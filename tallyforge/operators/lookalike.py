@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Vectors and query vectors that meet in one task, at most.
-PART_ROWS, BLOCK_ROWS = 50_000, 10_000
+PART_ROWS, BLOCK_ROWS = 25_000, 10_000
 #: Scores held at once in a task.
-SCORES = 8_000_000
+SCORES = 2_000_000
 #: Buckets: hyperplane sets, vectors of a bucket aimed at, and buckets looked into in each set.
 TABLES, BUCKET_ROWS, PROBES = 16, 50, 24
 
@@ -61,7 +61,8 @@ def _best(k: int, own: bool) -> Callable:
             at = 0
             while at < len(cols):
                 end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + step, "right")) - 1)
-                s = np.round(v @ q[bounds[at] : bounds[end]].T, 12)  # copies of a vector score alike
+                s = v @ q[bounds[at] : bounds[end]].T
+                np.round(s, 12, out=s)  # copies of a vector score alike
                 s = np.maximum.reduceat(s, rows, axis=0)  # best image of an item
                 s = np.maximum.reduceat(s, bounds[at:end] - bounds[at], axis=1).T  # best image of a query
                 for i, score in enumerate(s, at):

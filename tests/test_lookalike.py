@@ -1,6 +1,9 @@
 """Look-alikes against all pairs: images of items and queries, copies, hot buckets, recall, mixed models."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyforge.operators import lookalike
@@ -65,3 +68,16 @@ def test_empty_sides_and_mixed_models(spark, vectors):
     lookalike.refuse_mixed(a, a)
     with pytest.raises(ValueError, match="more than one model"):
         lookalike.refuse_mixed(a, b)
+
+
+def test_scores_are_held_once(monkeypatch):
+    monkeypatch.setattr(lookalike, "SCORES", 4_000_000)
+    r = np.random.default_rng(5)
+    vectors = lambda n: pa.array(list(r.standard_normal((n, 4))), pa.list_(pa.float64()))
+    left = pa.table({"item": np.arange(20_000) // 10, "embedding": vectors(20_000)})
+    right = pa.table({"query_id": np.arange(200) // 10, "embedding": vectors(200)})
+    tracemalloc.start()
+    lookalike._best(5, False)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 8 * lookalike.SCORES
