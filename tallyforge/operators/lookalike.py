@@ -22,6 +22,8 @@ PART_ROWS, BLOCK_ROWS = 25_000, 10_000
 SCORES = 2_000_000
 #: Buckets: hyperplane sets, vectors of a bucket aimed at, and buckets looked into in each set.
 TABLES, BUCKET_ROWS, PROBES = 16, 50, 24
+#: Queries from which the hyperplanes of a set are fitted, at most, and the share of their exact items that must be found.
+FIT_QUERIES, FIT_RECALL = 200, 0.95
 
 
 def refuse_mixed(*frames: DataFrame, model: str = "model") -> None:
@@ -113,6 +115,46 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, own: bool = False) ->
     return _merged(v, q, ["dim", "part", "block"], k, own)
 
 
+def _nearest_codes(x: np.ndarray, table: int, bits: int, probes: int) -> np.ndarray:
+    """For each vector the codes of the buckets of a set that lie nearest to it, its own first."""
+    dim = x.shape[1]
+    planes = np.random.default_rng([dim, table]).standard_normal((dim, bits))
+    side = x @ planes
+    code = (side > 0) @ (1 << np.arange(bits))
+    # Flips of no, one or two sides by how near the vector is to their planes.
+    flips = [0] + [1 << i for i in range(bits)] + [1 << i | 1 << j for i in range(bits) for j in range(i)]
+    near = np.abs(side)
+    cost = np.column_stack([np.zeros(len(x)), near] + [near[:, [i]] + near[:, [j]] for i in range(bits) for j in range(i)])
+    return code[:, None] ^ np.array(flips)[np.argsort(cost, axis=1, kind="stable")[:, :probes]]
+
+
+def _fitted_bits(v: DataFrame, q: DataFrame, k: int, own: bool, bits: int, tables: int, probes: int) -> int | None:
+    """The most hyperplanes up to `bits` with which at most FIT_QUERIES queries find FIT_RECALL of their exact items, None if no number does.
+
+    The sample is the queries of least hash; each is compared with every vector. At most k items of each come to the driver.
+    """
+    ids = q.select("query_id").distinct().orderBy(F.xxhash64("query_id"), "query_id").limit(FIT_QUERIES).collect()
+    some = q.where(F.col("query_id").isin([r[0] for r in ids]))
+    exact = nearest(v, some, k, own).select("query_id", "item")
+    near = F.row_number().over(Window.partitionBy("query_id", "item").orderBy(F.desc("score")))
+    score = F.aggregate(F.zip_with("a", "b", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    pairs = exact.join(v.select("item", "dim", F.col("embedding").alias("a")), "item").join(some.select("query_id", "dim", F.col("embedding").alias("b")), ["query_id", "dim"])
+    pairs = pairs.withColumn("score", score).withColumn("n", near).where("n = 1").select("dim", "a", "b").collect()  # the images that are nearest
+    if not pairs:
+        return bits
+    sides = {}
+    for r in pairs:
+        sides.setdefault(r["dim"], []).append((r["a"], r["b"]))
+    for b in range(bits, 3, -1):
+        met = 0
+        for rows in sides.values():
+            x, y = (np.array([r[i] for r in rows], np.float64) for i in (0, 1))
+            met += np.any([(_nearest_codes(x, t, b, 1) == _nearest_codes(y, t, b, probes)).any(axis=1) for t in range(tables)], axis=0).sum()
+        if met >= FIT_RECALL * len(pairs):
+            return b
+    return None
+
+
 def _codes(df: DataFrame, name: str, bits: int, tables: int, probes: int) -> DataFrame:
     """(name, embedding, dim, table, code): the buckets of each vector, the `probes` that lie nearest to it in each set of hyperplanes."""
 
@@ -124,15 +166,8 @@ def _codes(df: DataFrame, name: str, bits: int, tables: int, probes: int) -> Dat
                 at = np.flatnonzero(dims == dim)
                 x = _matrix(pa.chunked_array([b.column("embedding").take(pa.array(at))]))
                 for t in range(tables):
-                    planes = np.random.default_rng([int(dim), t]).standard_normal((int(dim), bits))
-                    side = x @ planes
-                    code = (side > 0) @ (1 << np.arange(bits))
-                    # Flips of no, one or two sides by how near the vector is to their planes.
-                    flips = [0] + [1 << i for i in range(bits)] + [1 << i | 1 << j for i in range(bits) for j in range(i)]
-                    near = np.abs(side)
-                    cost = np.column_stack([np.zeros(len(at)), near] + [near[:, [i]] + near[:, [j]] for i in range(bits) for j in range(i)])
-                    best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-                    codes.append((code[:, None] ^ np.array(flips)[best]).ravel())
+                    best = _nearest_codes(x, t, bits, probes)
+                    codes.append(best.ravel())
                     rows.append(np.repeat(at, best.shape[1]))
                     nos.append(np.full(best.size, t, np.int32))
             if rows:
@@ -146,12 +181,17 @@ def nearest_indexed(index: DataFrame, queries: DataFrame, k: int, own: bool = Fa
     """As nearest, from the items that share a bucket with a query in one of `tables` sets of random hyperplanes; scores are exact.
 
     Every vector is in one bucket of each set, a query looks into `probes`. bits:
-    hyperplanes of a set, so that a bucket has about BUCKET_ROWS vectors if None. Buckets
+    hyperplanes of a set; if None, so many that a bucket has about BUCKET_ROWS vectors, or fewer,
+    until a sample of the queries finds FIT_RECALL of its exact items; where no number does, the exact way is taken. Buckets
     of more than PART_ROWS vectors are dealt to several tasks. What share of the
     exact result is found depends on the data; recall() measures it.
     """
     v, q = _shaped(index, "item"), _shaped(queries, "query_id")
-    bits = bits or min(30, max(4, math.ceil(math.log2(max(v.count(), 1) / BUCKET_ROWS + 1))))
+    if bits is None:
+        most = min(30, max(4, math.ceil(math.log2(max(v.count(), 1) / BUCKET_ROWS + 1))))
+        bits = _fitted_bits(v, q, k, own, most, tables, probes)
+        if bits is None:
+            return nearest(index, queries, k, own)
     v, q = _codes(v, "item", bits, tables, 1), _codes(q, "query_id", bits, tables, probes)
     keys = ["dim", "table", "code"]
     size = v.groupBy(*keys).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")

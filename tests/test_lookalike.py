@@ -81,3 +81,11 @@ def test_scores_are_held_once(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1.5 * 8 * lookalike.SCORES
+
+
+def test_index_of_unrelated_vectors_reaches_its_recall(spark):
+    r = np.random.default_rng(6)
+    index = [(i, v / np.linalg.norm(v)) for i, v in enumerate(r.standard_normal((6000, 256)))]
+    v, q = frames(spark, index, [(i, v) for i, v in index if i % 60 == 0])
+    exact = lookalike.nearest(v, q, 5, own=True)
+    assert lookalike.recall(lookalike.nearest_indexed(v, q, 5, own=True, tables=4), exact).first()["recall"] >= 0.9
