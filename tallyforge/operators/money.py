@@ -43,9 +43,9 @@ def flatten_orders(lines: DataFrame, order_id: str = "order_id") -> tuple[DataFr
     less, or, due being unknown, whose refund is 95 % of the order or more.
     """
     value = (F.col("item_price") + F.col("buyer_shipping")).cast(Money)
-    # An order's figures are added up and joined, so wide rows are not sorted by order.
-    orders = lines.groupBy(order_id).agg(F.sum(value).cast(Money).alias("_basis"))
-    d = lines.join(orders, order_id).withColumns({"_value": value, "_basis": F.when(F.col("_basis") == 0, 1).otherwise(F.col("_basis")).cast(Money)})
+    # One window by order: lines that come dealt and sorted by order are neither made nor sorted a second time.
+    d = lines.where(F.col(order_id).isNotNull()).withColumn("_basis", F.sum(value).over(Window.partitionBy(order_id)).cast(Money))
+    d = d.withColumns({"_value": value, "_basis": F.when(F.col("_basis") == 0, 1).otherwise(F.col("_basis")).cast(Money)})
     gone = F.when(F.col("due").isNotNull(), F.col("due") <= 0).otherwise(F.col("refunded") >= F.col("_basis") * F.lit("0.95").cast("decimal(4,2)"))
     d = d.withColumn("reason", F.when(F.col("cancelled"), "cancelled").when((F.col("refunded") > 0) & gone, "refunded"))
     part = lambda c: share_in_cents(F.col(c), F.col("_value"), F.col("_basis"))

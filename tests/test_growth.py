@@ -1,13 +1,20 @@
 """Steps whose work or memory must not grow faster than their input."""
 
 import hashlib
+from decimal import Decimal
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from tallyforge.functions.scalars import share_in_cents
 from tallyforge.operators.chains import GENESIS
 from tallyforge.plans import chains
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hashes_follow_one_another_over_batches():
     t = pa.table({"chain": list("aaabb"), "front": list("12345"), "back": list("vwxyz")})
     got = pa.Table.from_batches(list(chains._hashed(iter(t.to_batches(max_chunksize=2))))).to_pylist()
@@ -17,3 +24,10 @@ def test_hashes_follow_one_another_over_batches():
         assert r["prev"] == before
         before, last = hashlib.sha256((r["front"] + before + r["back"]).encode()).hexdigest(), r["chain"]
         assert r["hash"] == before
+
+
+def test_shares_of_large_orders_are_exact_and_go_by_doubles(spark):
+    rows = [(Decimal(t), Decimal(p), Decimal(w)) for t, p, w in (("91000.13", "104999.99", "700000.01"), ("0.01", "1.00", "2.00"), ("0.03", "1.00", "2.00"), ("40000000.05", "300000.00", "900000.00"), ("900000000000.01", "7.77", "12345678901.23"))]
+    d = spark.createDataFrame(rows, "t decimal(18,2), p decimal(18,2), w decimal(18,2)").select("t", "p", "w", share_in_cents(F.col("t"), F.col("p"), F.col("w")).alias("s"))
+    assert all(r["s"] == (r["t"] * r["p"] / r["w"]).quantize(Decimal("0.01"), "ROUND_HALF_EVEN") for r in d.collect())
+    assert "round(" not in optimized(d).lower()
