@@ -85,7 +85,8 @@ def normalize_sold(raw: DataFrame) -> DataFrame:
     total_price is known where the postage is, shipping_type is 'free' at 0.
     """
     text = "price string, title string, url string, item_id string, shipping_cost string, best_offer string, format string, last_sold string, condition string"
-    d = raw.select(F.from_json("json", text).alias("j")).select("j.*").withColumn("price", F.col("price").try_cast(S.Money)).where("price is not null and title <> ''")
+    # As rows of an array each text is read once; conditions on its fields would read it again.
+    d = raw.select(F.inline(F.array(F.from_json("json", text)))).withColumn("price", F.col("price").try_cast(S.Money)).where("price is not null and title <> ''")
     ship, offer = F.col("shipping_cost").try_cast(S.Money), F.coalesce(F.col("best_offer") == "true", F.lit(False))
     kinds = F.create_map(*[F.lit(x) for pair in SOLD_FORMATS.items() for x in pair])
     return d.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.scalars import share_in_cents
 from tallyforge.operators.chains import GENESIS
 from tallyforge.plans import chains
+from tallyforge.sources.runs import normalize_sold
 
 
 def optimized(df):
@@ -31,3 +32,10 @@ def test_shares_of_large_orders_are_exact_and_go_by_doubles(spark):
     d = spark.createDataFrame(rows, "t decimal(18,2), p decimal(18,2), w decimal(18,2)").select("t", "p", "w", share_in_cents(F.col("t"), F.col("p"), F.col("w")).alias("s"))
     assert all(r["s"] == (r["t"] * r["p"] / r["w"]).quantize(Decimal("0.01"), "ROUND_HALF_EVEN") for r in d.collect())
     assert "round(" not in optimized(d).lower()
+
+
+def test_sold_rows_are_parsed_once(spark):
+    raw = spark.createDataFrame([('{"price":"5.00","title":"a"}',), ('{"price":"x","title":"a"}',), ("no json",), (None,)], "json string")
+    d = normalize_sold(raw)
+    assert [(r["title"], r["sold_price"]) for r in d.collect()] == [("a", Decimal("5.00"))]
+    assert optimized(d).count("from_json") == 1
