@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by chosen paths: sets are split on sampled shared tokens, small buckets compared in full."""
+"""N-gram Jaccard join by chosen paths: sets are split on sampled shared tokens, small buckets compared in full, then the pairs that no bucket holds by their rarest shingles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, U64, gram_hashes, group_bounds, list_column, mix, row_number_of, small_side, stored, text_hash, text_slices, tidy, whole_groups
@@ -16,7 +16,7 @@ from .graph import connected_components
 #: Words in a shingle, and the least similarity of a link.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Chance at least with which each linked pair is found.
+#: Chance at least with which paths find each linked pair. The others are found by their rarest shingles.
 RECALL = 0.999
 #: Tokens each set follows out of a bucket. Two sets of the least similarity share 1.6 of 2 on average, so their paths
 #: meet at any depth with a chance that does not fall to zero.
@@ -29,6 +29,10 @@ DENSE = 0.7
 #: Shingles in one block of such a bucket; its blocks are compared pair by pair.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 1024
+#: Rows sampled to tell common shingles from rare ones, and the most shingles held as common. They only order the
+#: shingles of a set, and every order finds all pairs.
+ORDER_ROWS = 20_000
+ORDER_SHINGLES = 1 << 18
 
 
 def runs_for(recall: float, similarity: float, branches: int = BRANCHES) -> int:
@@ -86,8 +90,52 @@ def _seeds(first: int, n: int) -> np.ndarray:
     return mix(np.arange(1 + first, 1 + first + n, dtype=np.uint64))
 
 
-def _sketch(docs: DataFrame, k: int, tokens: int) -> DataFrame:
-    """(doc_id, tid, k1, k2, n, mins) of each row: a hash of its text, its set's two names and size, and the first `tokens` sampled tokens."""
+def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one text of a sample has, in order, and the number of those texts."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, h, offsets, _, _ in text_slices(b.column(0), fold=True):
+                with np.errstate(over="ignore"):
+                    found = list(shingle_sets(h, offsets, k))
+                yield pa.RecordBatch.from_arrays([_shingle_lists(found).values], names=["shingle"])
+
+    some = docs.select("text").sample(min(1.0, ORDER_ROWS / max(1, docs.count())), seed=1).dropDuplicates()
+    often = some.mapInArrow(tidy(every), "shingle long").groupBy("shingle").count().where("count > 1")
+    t = stored(often.orderBy(F.desc("count")).limit(ORDER_SHINGLES), "common").toArrow()
+    shingle, count = np.asarray(t["shingle"]).view(U64), np.asarray(t["count"])
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
+
+
+def _rarest(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that it shares one with the rarest of every set at that similarity.
+
+    Two such sets have similarity * n shingles in common at least, n the size of
+    either. The rarest of these, in an order that holds for all sets, has so few
+    of either set before it.
+    """
+    if not len(s):
+        return s
+    few, (shingle, count) = len(s) - math.ceil(similarity * len(s) - 1e-6) + 1, common
+    if not len(shingle):
+        return s[:few]
+    at = np.minimum(np.searchsorted(shingle, s), len(shingle) - 1)
+    often = np.where(shingle[at] == s, count[at], 0)
+    return s[np.argsort(often, kind="stable")[:few]] if often.any() else s[:few]
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each place that hashes fall on, set where an odd number do; at least as many bits as shingles, a power of two of words."""
+    bits = 64
+    while bits < len(s):
+        bits *= 2
+    odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+def _sketch(docs: DataFrame, k: int, tokens: int, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(doc_id, tid, k1, k2, n, mins, rare, bits) of each row: a hash of its text, its set's two names and size, the first `tokens` sampled tokens, its rarest shingles and parities."""
     seeds = _seeds(0, tokens)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +145,13 @@ def _sketch(docs: DataFrame, k: int, tokens: int) -> DataFrame:
                     found = list(shingle_sets(h, offsets, k))
                     both = _signed(np.array([_set_names(s) for s in found], U64)).reshape(-1, 2)
                     mins = _samples(found, seeds)
+                rare, bits = _shingle_lists([_rarest(s, common, similarity) for s in found]), _shingle_lists([_parity(s) for s in found])
                 part = b.slice(lo, hi - lo)
                 size = pa.array([len(s) for s in found], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), size, mins], names=["doc_id", "tid", "k1", "k2", "n", "mins"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), size, mins, rare, bits], names=["doc_id", "tid", "k1", "k2", "n", "mins", "rare", "bits"])
 
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("tid"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("mins")).schema
+    long = F.lit(0).cast("long")
+    schema = docs.select("doc_id", long.alias("tid"), long.alias("k1"), long.alias("k2"), F.lit(0).alias("n"), *[F.array(long).alias(c) for c in ("mins", "rare", "bits")]).schema
     return docs.select("doc_id", text_hash().alias("tid"), "text").mapInArrow(tidy(sets), schema)
 
 
@@ -175,11 +225,12 @@ def _leaves(classes: DataFrame, docs: DataFrame, k: int, runs: int, small: int,
     return out
 
 
-def _first_met(values: np.ndarray, offsets: np.ndarray, path: int) -> np.ndarray:
-    """Pairs of the sets with these paths (offsets: where each set's begin) that share no path less than this one: there they have met."""
+def _first_met(values: np.ndarray, offsets: np.ndarray, path: int | None = None) -> np.ndarray:
+    """Pairs of the sets with these paths (offsets: where each set's begin) that share no path less than this one, or none at all: there they have met."""
     m = len(offsets) - 1
     own, ids = np.repeat(np.arange(m), np.diff(offsets)), values[offsets[0] : offsets[-1]]
-    own, ids = own[ids < path], ids[ids < path]
+    if path is not None:
+        own, ids = own[ids < path], ids[ids < path]
     fresh = np.ones((m, m), bool)
     if len(ids):
         _, which, often = np.unique(ids, return_inverse=True, return_counts=True)
@@ -195,6 +246,12 @@ def _first_met(values: np.ndarray, offsets: np.ndarray, path: int) -> np.ndarray
     return fresh
 
 
+def _near(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of sets whose sizes allow a link."""
+    size = size.astype(float)
+    return np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size) - 1e-9
+
+
 def _needed(members: DataFrame, similarity: float) -> DataFrame:
     """Members of small buckets that meet some other set there for the first time, at a size that allows a link."""
 
@@ -204,14 +261,74 @@ def _needed(members: DataFrame, similarity: float) -> DataFrame:
             paths, at = list_column(t["paths"])
             paths, keep = paths.view(np.int64), np.zeros(t.num_rows, bool)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                size = n[a:b].astype(float)
-                near = np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size)
-                keep[a:b] = (near & _first_met(paths, at[a : b + 1], path[a])).any(axis=0)
+                keep[a:b] = (_near(n[a:b], similarity) & _first_met(paths, at[a : b + 1], path[a])).any(axis=0)
             yield from t.filter(pa.array(keep)).to_batches()
 
     return members.repartition("path").sortWithinPartitions("path").mapInArrow(tidy(fresh), members.schema)
 
 
+def _paired_blocks(members: DataFrame) -> DataFrame:
+    """members with bi, bj and side: every pair of `blocks` blocks of a bucket is one group; a set goes to the pairs its block is in."""
+    many = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return many.withColumns({"bi": F.least("own", "o"), "bj": F.greatest("own", "o"), "side": F.when(F.col("own") <= F.col("o"), 0).otherwise(1)}).drop("own", "o")
+
+
+def _apart(words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair (i, j) of sets with these parities a number of shingles, at least, that only one of the two has."""
+    width = np.array([len(w) for w in words])
+    least, out = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(least):
+        which = np.flatnonzero(least == w)
+        members, at = np.unique(np.concatenate([i[which], j[which]]), return_inverse=True)
+        x, y = np.split(at.reshape(-1), 2)
+        folded = np.stack([np.bitwise_xor.reduce(words[m].reshape(-1, w), axis=0) for m in members])
+        step = max(1, (1 << 20) // int(w))
+        for lo in range(0, len(which), step):
+            out[which[lo : lo + step]] = np.bitwise_count(folded[x[lo : lo + step]] ^ folded[y[lo : lo + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _unmet(classes: DataFrame, paths: DataFrame, similarity: float) -> DataFrame:
+    """(path, rep) of the pairs of sets that may be linked and that no bucket holds, each pair as a bucket of its own.
+
+    Linked sets share one of their rarest shingles. Shingles with the same sets
+    make one group. In it, pairs are left of fitting sizes, without a common
+    bucket, whose parities differ in no more bits than linked sets in shingles.
+    As paths find nearly all that is similar, few are left.
+    """
+    those = Window.partitionBy("shingle")
+    shared = classes.select("rep", "n", F.explode("rare").alias("shingle"))
+    shared = shared.select("rep", F.count("*").over(those).alias("sets"), F.sum("n").over(those).alias("shingles"), F.bit_xor(F.xxhash64("rep")).over(those).alias("names")).where("sets > 1")
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / (64 * BLOCK_SHINGLES))).cast("int")
+    groups = stored(shared.select(F.xxhash64("names", "sets").alias("path"), "rep", blocks.alias("blocks")).distinct(), "groups")
+    members = _paired_blocks(groups).drop("blocks").join(classes.select("rep", "n", "bits"), "rep").join(paths, "rep", "left")
+    members = members.withColumn("paths", F.coalesce("paths", F.array().cast("array<long>")))
+    keys = ["path", "bi", "bj"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, keys):
+            rep, n, bi, bj, side = (np.asarray(t[c]) for c in ("rep", "n", "bi", "bj", "side"))
+            (paths, at), (bits, cuts) = list_column(t["paths"]), list_column(t["bits"])
+            bounds, out = group_bounds(t, keys), []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                allowed = np.triu(_near(n[a:b], similarity), 1)
+                if bi[a] != bj[a]:
+                    allowed &= side[a:b, None] != side[None, a:b]
+                if not allowed.any():
+                    continue
+                i, j = np.nonzero(allowed & _first_met(paths, at[a : b + 1]))
+                if len(i):
+                    most = (1 - similarity) / (1 + similarity) * (n[a:b][i].astype(float) + n[a:b][j])
+                    left = _apart([bits[cuts[r] : cuts[r + 1]] for r in range(a, b)], i, j) <= most + 1e-6
+                    out.append(np.sort(np.column_stack([rep[a:b][i[left]], rep[a:b][j[left]]]), axis=1))
+            if out:
+                x = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, i].copy()) for i in range(2)], names=["a", "b"])
+
+    left = members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(pairs), "a long, b long").distinct()
+    return left.select(F.xxhash64("a", "b").alias("path"), F.explode(F.array("a", "b")).alias("rep"))
+
+
 def _compare(size: np.ndarray, sets: list[np.ndarray], allowed: np.ndarray, similarity: float) -> np.ndarray:
     """Boolean matrix of the allowed pairs whose Jaccard similarity is enough."""
     m = len(sets)
@@ -257,26 +374,26 @@ def links(
     number of runs follows from the recall wanted. A pair counts in the first
     bucket that both are in. Links are added up inside tasks and never leave
     them as pairs: only counts and one edge for each set to the least set it is
-    linked to, which keep components whole.
+    linked to, which keep components whole. Pairs that no bucket holds are
+    looked for by their rarest shingles and compared too, so no link is left
+    out, whatever the recall.
     """
     runs = runs_for(recall, similarity)
-    sets = stored(_sketch(docs, k, LEVELS * runs * BRANCHES), "sets")
+    sets = stored(_sketch(docs, k, LEVELS * runs * BRANCHES, _common(docs, k), similarity), "sets")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
-    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(row).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mins").alias("mins"))
+    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(row).alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "mins", "rare", "bits")])
     classes = classes.withColumns({"rep": F.monotonically_increasing_id(), "doc_id": F.col("least.doc_id"), "tid": F.col("least.tid")})
     classes = stored(classes.withColumn("uid", row_number_of(classes, F.col("tid"))).drop("doc_id"), "classes")
     leaves = stored(_leaves(classes, docs, k, runs, small, dense), "leaves")
-    paths = leaves.groupBy("rep").agg(F.collect_set("path").alias("paths"))
+    paths = stored(leaves.groupBy("rep").agg(F.collect_set("path").alias("paths")), "paths")
     members = leaves.join(classes.select("rep", "copies", "n"), "rep").join(paths, "rep")
 
     blocks = F.greatest(F.ceil(F.col("bsets") / BLOCK_SETS), F.ceil(F.col("bshingles") / BLOCK_SHINGLES)).cast("int")
     members = stored(members.withColumn("blocks", blocks).drop("bsets", "bshingles"), "members")
     parted = _needed(members.where("blocks = 1"), similarity).withColumns({"bi": F.lit(0), "bj": F.lit(0), "side": F.lit(0)})
-    # Every pair of blocks of a large bucket is one group; a set goes to the pairs its block is in.
-    many = members.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    many = many.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    many = many.withColumns({"bi": F.least("own", "o"), "bj": F.greatest("own", "o"), "side": F.when(F.col("own") <= F.col("o"), 0).otherwise(1)}).drop("own", "o")
-    asked = stored(parted.unionByName(many).drop("blocks"), "asked")
+    rest = _unmet(classes, paths, similarity).join(classes.select("rep", "copies", "n"), "rep")
+    rest = rest.withColumns({"paths": F.array().cast("array<long>"), "bi": F.lit(0), "bj": F.lit(0), "side": F.lit(0)})
+    asked = stored(parted.unionByName(_paired_blocks(members.where("blocks > 1"))).drop("blocks").unionByName(rest), "asked")
 
     wanted = classes.select("rep", "uid", "tid", "k1", "k2").join(small_side(stored(asked.select("rep").distinct(), "needed")), "rep", "left_semi")
     full = asked.join(_contents(docs, stored(wanted, "wanted"), k, "set", _shingle_lists), "rep")
@@ -297,7 +414,7 @@ def links(
                 if bi[a] != bj[a]:
                     allowed &= side[a:b, None] != side[None, a:b]
                 size = n[a:b]
-                allowed &= np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size)
+                allowed &= _near(size, similarity)
                 if not allowed.any():
                     continue
                 linked = _compare(size, [flat[offsets[i] : offsets[i + 1]] for i in range(a, b)], allowed, similarity)
@@ -315,7 +432,7 @@ def links(
     found = stored(found, "found")
     roots = connected_components(found.select(F.col("rep").alias("u"), F.col("other").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    return sets.drop("mins"), classes.select("rep", "k1", "k2", "n", "copies", "least"), counts.join(roots.withColumnRenamed("node", "rep"), "rep", "full")
+    return sets.drop("mins", "rare", "bits"), classes.select("rep", "k1", "k2", "n", "copies", "least"), counts.join(roots.withColumnRenamed("node", "rep"), "rep", "full")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

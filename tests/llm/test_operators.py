@@ -54,6 +54,35 @@ def test_near_duplicates_match_brute_force(spark, texts):
     assert {i: (got[i].n_links, got[i].class_id) for i in got} == {i: (links[i], root[i]) for i in range(len(texts))}
 
 
+def test_links_that_no_bucket_holds(spark):
+    # Pairs of 4 and 5 shingles of which 4 are shared; in two of them no sampled token of any run is shared.
+    rows = [" ".join(f"w{i}.{x}" for x in range(n)) for i in (1, 7048, 35456) for n in (8, 9)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(make(spark, rows)).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(6)}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_links_do_not_hang_on_recall(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    r = random.Random(3)
+    common, rows = [f"c{i}" for i in range(300)], []
+    for i in range(100):
+        base = common[: r.randint(0, 60)] + [f"b{i}.{x}" for x in range(r.randint(20, 200))]
+        n = len(base) - 4
+        rows += [" ".join(base), " ".join(base + [f"e{i}.{x}" for x in range(n // 4)]), " ".join(base[n // 5 :])]
+    rows += [" ".join([*common[:200], *[f"u{i}.{x}" for x in range(25)]]) for i in range(30)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    links = collections.Counter(x for a, b in itertools.combinations(range(len(rows)), 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) for x in (a, b))
+    got = {x.doc_id: x.n_links for x in jaccard_join.near_duplicates(make(spark, rows), recall=0.1, small=4).collect()}
+    assert got == {i: links[i] for i in range(len(rows))}
+
+
+def test_sizes_at_the_threshold_of_any_similarity(spark):
+    base = [f"s{i}" for i in range(104)]  # 0.55 * 100 is above 55 in floats
+    got = jaccard_join.near_duplicates(make(spark, [" ".join(base), " ".join(base[:59])]), similarity=0.55).collect()
+    assert [r.n_links for r in got] == [1, 1]
+
+
 def test_huge_words_are_hashed_whole(spark):
     n = common.SLICE_BYTES
     a = "a" * 2 * n
