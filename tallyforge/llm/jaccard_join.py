@@ -358,6 +358,21 @@ def _compare(size: np.ndarray, sets: list[np.ndarray], allowed: np.ndarray, simi
     return allowed & (both >= similarity * total - 1e-9)
 
 
+def _least_reached(linked: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """For each set the least rep that links lead to over any number of sets. The least direct neighbour would part chains."""
+    order = np.argsort(rep, kind="stable")
+    x, least = linked[np.ix_(order, order)], np.arange(len(rep))
+    while True:
+        now = np.minimum(least, np.where(x, least[None, :], len(rep)).min(axis=1))
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    out = np.empty_like(rep)
+    out[order] = rep[order][least]
+    return out
+
+
 def links(
     docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, dense: float = DENSE
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -373,8 +388,8 @@ def links(
     until its bucket has at most `small` sets, or is as alike as it gets. The
     number of runs follows from the recall wanted. A pair counts in the first
     bucket that both are in. Links are added up inside tasks and never leave
-    them as pairs: only counts and one edge for each set to the least set it is
-    linked to, which keep components whole. Pairs that no bucket holds are
+    them as pairs: only counts and one edge for each set to the least set that
+    links in the bucket lead to, which keep components whole. Pairs that no bucket holds are
     looked for by their rarest shingles and compared too, so no link is left
     out, whatever the recall.
     """
@@ -422,8 +437,7 @@ def links(
                     continue
                 has = np.flatnonzero(linked.any(axis=1))
                 r = rep[a:b]
-                least = np.where(linked[has], r[None, :], np.iinfo(np.int64).max).min(axis=1)
-                out.append(np.column_stack([r[has], least, linked[has] @ copies[a:b]]))
+                out.append(np.column_stack([r[has], _least_reached(linked, r)[has], linked[has] @ copies[a:b]]))
             if out:
                 x = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, i].copy()) for i in range(3)], names=["rep", "other", "links"])

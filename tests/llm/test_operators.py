@@ -61,6 +61,13 @@ def test_links_that_no_bucket_holds(spark):
     assert got == {i: (i - i % 2, 1) for i in range(6)}
 
 
+def test_chains_of_links_are_one_class(spark):
+    words = [f"c{i}" for i in range(600)]
+    rows = [" ".join(words[10 * i : 10 * i + 104]) for i in range(40)]  # only neighbours are linked
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(make(spark, rows)).collect()}
+    assert got == {i: (0, 1 if i in (0, 39) else 2) for i in range(40)}
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_links_do_not_hang_on_recall(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
