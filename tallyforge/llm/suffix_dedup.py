@@ -324,7 +324,7 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     u, t, c, u2, t2 = (free_name(docs, n) for n in ("uid", "tid", "cut", "span_uid", "span_tid"))
     d = docs.select("*", row_number_of(docs, text_hash()).alias(u), text_hash().alias(t))
     spans = spans.select(F.col("uid").alias(u2), F.col("tid").alias(t2), F.col("gone").alias(c))
-    d = d.join(F.broadcast(spans) if many <= BROADCAST_SPANS else spans, (F.col(u) == F.col(u2)) & (F.col(t) == F.col(t2)), "left").select(*docs.columns, c)
+    same = (F.col(u) == F.col(u2)) & (F.col(t) == F.col(t2))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,5 +348,10 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             out = pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
             yield out.filter(pa.array(keep))
 
-    out = d.mapInArrow(tidy(cut), schema)
+    # Stored, so that tasks hold BATCH_ROWS texts at once; what is then left to the caller's plan is no Python over whole texts.
+    if many > BROADCAST_SPANS:
+        out = stored(d.join(spans, same, "left").select(*docs.columns, c).mapInArrow(tidy(cut), schema), "cut")
+    else:
+        done = stored(d.join(F.broadcast(spans), same).select(*docs.columns, c).mapInArrow(tidy(cut), schema), "cut")
+        out = d.join(F.broadcast(spans.select(u2, t2)), same, "left_anti").select(*docs.columns).union(done)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
