@@ -200,7 +200,7 @@ def group_bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -242,7 +242,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def text_slices(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, word offsets of the rows, starts, ends) of whole texts, a few MB at a time.
+    """(first row, end row, word hashes, word offsets of the rows, starts, ends) of whole texts, SLICE_BYTES at a time.
 
     Words stand between ASCII white space; starts and ends are byte places in
     their own text. fold lower-cases A-Z first. Null texts have no words.
