@@ -96,3 +96,15 @@ def test_elements_asked_for_by_their_tag(spark):
     d = spark.createDataFrame([(1, page)], "p int, html string")
     tags = lambda like: sorted((x.name, x.start, x.inner, x.close, x.stop) for x in E.elements(d, ["p"], like=like).collect() if "class=k" in x.tag)
     assert tags("class=k") == tags(None) and len(tags(None)) == 3
+
+
+def test_cards_are_read_in_one_step_either_way(spark):
+    r, whole = random.Random(6), card("123456789", "A &amp; B", "$7", "<p>a  b</p>\n<i>3 bids</i>")
+    bits = [whole, '<li class="s-card">', "<li>", "</li>", "</LI >", '<a href="/itm/123456789">', '<i class="s-card__title">t', "<b class=s-card__price>$5", "</i>", "</b>", "<img class=s-card__title>", "<p title='a>b'>", " x \t y ", "&nbsp;", "matching fewer words"]
+    short, long = E._card_reader(), E._card_reader(short=False)
+    for n in range(3000):
+        odd = ["<!-- <li> -->", "<script>", "</script>", "<", ">", '"'] if n % 4 == 0 else []
+        page = "".join(r.choice(bits + odd) for _ in range(r.randint(1, 25)))
+        assert list(short(page)) == list(long(page))
+    plan = E.sold_cards(spark.createDataFrame([(1, whole)], "page_id int, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
