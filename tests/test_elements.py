@@ -5,6 +5,7 @@ import random
 from decimal import Decimal as D
 from html.parser import HTMLParser
 
+from tallyforge import plans
 from tallyforge.sources import elements as E
 
 
@@ -108,3 +109,14 @@ def test_cards_are_read_in_one_step_either_way(spark):
         assert list(short(page)) == list(long(page))
     plan = E.sold_cards(spark.createDataFrame([(1, whole)], "page_id int, html string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_cards_of_order_lines_take_one_shuffle(spark, tmp_path):
+    day = datetime.datetime(2001, 1, 2)
+    rows = [(1, 2, 4, 7.25, 1.0, 0.0, 0.0, day, 2), (1, 3, 5, 8.5, 1.0, 0.0, 0.0, day, 1), (2, 5, 4, 9.0, 1.0, 0.0, 0.0, day, 1)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_shipdate timestamp_ntz, l_linenumber int")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = plans.QUERIES["s12_sold_cards"](spark, str(tmp_path))
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = sorted((r.page_id, r.title, str(r.sold_price), r.listing_type, r.seller) for r in d.collect())
+    assert got == [(1, "Part & 2", "7.25", "Best Offer", "s4"), (1, "Part & 3", "8.50", "Buy It Now or Best Offer", "s5")]
